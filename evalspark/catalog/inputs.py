@@ -440,3 +440,22 @@ def with_inputs(sql: str, extra: dict[str, str] | None = None) -> str:
         parts.append(f"{name} as ({_dialect(text, 1).format(**{d: d for d in deps})})")
     parts += [f"{name} as ({body})" for name, body in (extra or {}).items()]
     return (f"with {', '.join(parts)} " if parts else "") + sql
+
+# one model call, task, move and score per event, as the posting builders take them
+_define(
+    "calls",
+    "events",
+    """
+    select 'x' || cast(event_id as string) as exchange_id, 'p' || cast(user_id % 3 as string) as project_id,
+        'v' || cast(event_id % 2 as string) as provider, 'agent-' || cast(user_id % 5 as string) as agent_id,
+        'm' || cast(event_id % 3 as string) as model, cast(floor(value) as bigint) as prompt_tokens,
+        cast(floor(value / 3) as bigint) as completion_tokens, cast(floor(value * 10) as bigint) as wall_ms,
+        case when event_id % 5 = 0 then null else cast(cast(floor(value) as bigint) as double) / 100 end as cost_money,
+        'run-' || cast(user_id % 10 as string) as run_id, 't' || cast(event_id as string) as task_id,
+        event_type in ('click', 'view') as is_correct, event_type <> 'error' as finished,
+        case when event_type = 'error' then 'FAILED' else 'DONE' end as to_state, 'WIP' as from_state,
+        case when event_id % 4 = 0 then 'k' || cast(event_id as string) else null end as move_key,
+        'accuracy' as metric, round(value, 2) as score, 'e' || cast(event_id as string) as event_key
+    from {events}
+    """,
+)

@@ -459,3 +459,39 @@ _define(
     from {events}
     """,
 )
+
+# investigations, judgements and review sets that belong to the evaluation results
+_define(
+    "investigations",
+    "eval_raw",
+    """
+    select run_id, question_id, model, event_time, event_id,
+        case event_id % 4 when 0 then 'join' when 1 then 'filter' when 2 then 'aggregate' else 'format' end as category,
+        case event_id % 5 when 0 then 'GOLD_CORRECT' when 1 then 'PREDICTED_CORRECT' when 2 then 'BOTH_CORRECT'
+            when 3 then 'BOTH_WRONG' else 'UNCLEAR' end as verdict,
+        case event_id % 3 when 0 then 'KEEP_GOLD' when 1 then 'ADD_TO_PLATINUM' else 'NEEDS_REVIEW' end as recommendation,
+        case when event_id % 2 = 0 then 'HIGH' else 'LOW' end as confidence
+    from {eval_raw} where level in ('incorrect', 'partial', 'error')
+    """,
+)
+_define(
+    "judgements",
+    "eval_raw",
+    "select run_id, question_id, event_time, event_id, event_id % 2 = 0 as judged_correct from {eval_raw} where level in ('judge_correct', 'incorrect')",
+)
+_define("reviewed", "eval_raw", "select distinct question_id from {eval_raw} where review = 'approve' and level = 'error'")
+_define("second_reference", "eval_raw", "select distinct question_id, db_id from {eval_raw} where review = 'approve' and level = 'hit_limit'")
+_define(
+    "eval_events",
+    "eval_raw",
+    """
+    select cast(event_id as string) as event_id, run_id, event_time, 'evaluation_result' as kind,
+        '{{"question_id":"' || cast(question_id as string) || '","db_id":"' || db_id || '","model":"' || model
+        || '","correctness_level":"' || level || '","is_correct":' || case when is_correct then 'true' else 'false' end
+        || ',"tool_calls":' || cast(turns as string)
+        || ',"duration_ms":' || case when event_id % 6 = 0 then '"soon"' else cast(duration_ms as string) end
+        || ',"cost_usd":' || case when event_id % 5 = 0 then 'null' when event_id % 5 = 1 then '"cheap"' else cast(cost_units as string) end
+        || '}}' as payload_json
+    from {eval_raw}
+    """,
+)

@@ -106,6 +106,7 @@ def register(r: Registry) -> None:
         """,
         doubles="total_cost cost_per_puzzle avg_latency",
         longs="prompt_tok completion_tok",
+        digits=6,
         extra=_P,
     )
     replay = """

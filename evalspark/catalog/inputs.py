@@ -349,7 +349,7 @@ _define(
     f"""
     select case_id, 'gold' as side, row_no,
         case when kind = 8 then @array@(part_text, {_PRICE})
-            when kind = 12 then @array@(part_text, qty_text || '.0', cast(cast(floor((cents + 50) / 100) as bigint) as string), flag)
+            when kind = 12 then @array@(part_text, qty_text || '.0', case when cents % 100 = 50 then {_PRICE} else cast(cast(floor((cents + 50) / 100) as bigint) as string) end, flag)
             else @array@(part_text, qty_text || '.0', {_PRICE}, flag) end as cells
     from {{result_base}}
     union all
@@ -495,3 +495,40 @@ _define(
     from {eval_raw}
     """,
 )
+
+# predicted and reference answer strings with layout hints, and the rows behind an answer
+_define(
+    "answer_pairs",
+    "orders",
+    """
+    select o_orderkey as case_id,
+        case k when 0 then '[' || a || ', ' || b || ']' when 1 then b || ',' || a when 2 then price || '00' when 3 then '-' || price
+            when 4 then lower(a) when 5 then 'n/a' when 6 then a || ':' || price when 7 then '[' || a || ':' || price || ', ' || b || ':7.123]'
+            when 8 then 'no' when 9 then a || ', ' || b || ', c' when 10 then '"' || a || '"' when 11 then price else 'wrong' end as answer,
+        case k when 0 then a || ', ' || b when 1 then a || ', ' || b when 2 then price when 3 then price
+            when 4 then a when 5 then 'Not Applicable' when 6 then a when 7 then '[' || a || ': ' || price || ', ' || b || ': 7.12]'
+            when 8 then 'yes' when 9 then 'C, ' || b || ', ' || a when 10 then a when 11 then cents || '.0' else price end as gold,
+        o_orderkey % 17 <> 0 as has_sql, o_orderkey % 19 = 0 as failed, o_orderkey % 23 = 0 as hit_limit
+    from (select o_orderkey, o_orderkey % 13 as k, o_orderstatus || 'x' as a, substr(o_orderpriority, 3) as b,
+            cast(cast(floor(o_totalprice) as bigint) as string) || '.' || lpad(cast(o_orderkey % 100 as string), 2, '7') as price,
+            cast(cast(floor(o_totalprice) as bigint) as string) as cents from {orders}) o
+    """,
+)
+_define(
+    "answer_guidelines",
+    "orders",
+    """
+    select o_orderkey as case_id, case o_orderkey % 6 when 0 then 'list of values, eg: A, B, C' when 1 then 'comma list'
+        when 2 then '[grouping_i: amount_i, ]' when 3 then 'a pair {{scheme}}:{{fee}} rounded to 1 decimals' when 4 then 'rounded to 2 decimals' else null end as guidelines
+    from {orders}
+    """,
+)
+_define(
+    "answer_rows",
+    "result_base answer_guidelines",
+    """
+    select case_id, row_no, case when case_id % 5 = 0 then @array@(part_text, flag) when case_id % 5 = 1 then @array@(flag, qty_text || '.25')
+        when case_id % 5 = 2 then @array@(part_text) when case_id % 5 = 3 then @array@(flag || ':' || qty_text || '.5') else @array@(flag, part_text, qty_text) end as cells
+    from {result_base}
+    """,
+)

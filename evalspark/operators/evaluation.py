@@ -157,7 +157,7 @@ def cost_by_run(exchanges: DataFrame) -> DataFrame:
     cost = F.sum(F.coalesce("cost", F.lit(0.0)))
     return exchanges.groupBy("model", "run_id").agg(
         F.round(cost, 4).alias("total_cost"),
-        F.round(cost / F.count_distinct("puzzle_id"), 4).alias("cost_per_puzzle"),
+        (cost / F.count_distinct("puzzle_id")).alias("cost_per_puzzle"),
         F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tok"),
         F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tok"),
         F.round(F.avg("latency_ms"), 0).alias("avg_latency"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.plans.keyed import join_null_safe
+from evalspark.session import materialize
 
 _CHUNK = "_chunk"
 
@@ -78,3 +79,61 @@ def previous_values(
     return joined.select(
         *df.columns, *[chosen[c].alias(name) for c, name in columns.items()]
     )
+
+
+# ---------------------------------------------------------------- ranges of any order
+
+_RANGE = "_range"
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], name: str = "ranges") -> DataFrame:
+    """Sort ranges of the rows by ``keys`` and ``order``, written once so that they stay fixed.
+
+    Spark samples the range bounds; a long group falls into several ranges. The range number
+    is kept in a written table because every later step must see the same one, also after an
+    executor was lost.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(_RANGE, F.spark_partition_id())
+    return materialize(ranged, name)
+
+
+def rank_rows(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank") -> DataFrame:
+    """``row_number`` per key for groups of any length: rank inside a range plus earlier ranges."""
+    ranged = in_ranges(df, keys, order)
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, _RANGE).orderBy(*order)))
+    sizes = ranged.groupBy(*keys, _RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, _RANGE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    joined = join_null_safe(local, offsets, [*keys, _RANGE])
+    return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(rank))
+
+
+def nearest_marked(
+    df: DataFrame, keys: list[str], order: list[str], mark: Column, payload: str
+) -> DataFrame:
+    """Add ``before`` and ``after``: the payload of the closest marked row on either side in order."""
+    ranged = in_ranges(df.withColumn("_mark", mark), keys, order)
+    position = F.struct(*order)
+    inside = Window.partitionBy(*keys, _RANGE).orderBy(*order)
+    marked = F.when(F.col("_mark"), F.col(payload))
+    local = ranged.withColumn(
+        "_b", F.last(marked, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("_a", F.first(marked, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    edges = ranged.groupBy(*keys, _RANGE).agg(
+        F.max(F.when(F.col("_mark"), F.struct(position.alias("o"), F.col(payload).alias("v")))).alias("_max"),
+        F.min(F.when(F.col("_mark"), F.struct(position.alias("o"), F.col(payload).alias("v")))).alias("_min"),
+    )
+    by_range = Window.partitionBy(*keys).orderBy(_RANGE)
+    carried = edges.select(
+        *keys,
+        _RANGE,
+        F.last("_max", ignorenulls=True).over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
+        F.first("_min", ignorenulls=True).over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("_right"),
+    )
+    joined = join_null_safe(local, carried, [*keys, _RANGE])
+    return joined.select(
+        *df.columns,
+        F.coalesce("_b", F.col("_left.v")).alias("before"),
+        F.coalesce("_a", F.col("_right.v")).alias("after"),
+    )

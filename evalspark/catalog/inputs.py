@@ -532,3 +532,24 @@ _define(
     from {result_base}
     """,
 )
+_define(
+    "sql_pairs",
+    "query_log",
+    """
+    select g.query_id, g.query_text as gold_sql, p.query_text as pred_sql
+    from {query_log} g join {query_log} p on cast(g.query_id as bigint) = cast(p.query_id as bigint) - 3
+    """,
+)
+_define(
+    "annotations",
+    "nation",
+    """
+    select case n_nationkey % 5 when 4 then 'nowhere' else 'orders' end as "table@as@",
+        case n_nationkey % 6 when 0 then 'o_orderkey' when 1 then 'o_orderstatus' when 2 then 'o_missing' when 3 then null
+            when 4 then 'o_totalprice' else 'o_custkey' end as "column@as@",
+        case n_nationkey % 7 when 0 then '' when 1 then 'the o orderstatus column' when 2 then repeat('long ', 60) else 'Set by ' || n_name end as annotation
+    from {nation}
+    """.replace('"table@as@"', "@q@table@q@").replace('"column@as@"', "@q@column@q@"),
+)
+_DIALECT["@q@table@q@"] = ("`table`", '"table"')
+_DIALECT["@q@column@q@"] = ("`column`", '"column"')

@@ -553,3 +553,70 @@ _define(
 )
 _DIALECT["@q@table@q@"] = ("`table`", '"table"')
 _DIALECT["@q@column@q@"] = ("`column`", '"column"')
+
+# messages of recorded conversations in two dialects; texts are replaced by their hash
+_define(
+    "trace_messages",
+    "conversations",
+    """
+    select conv_id as trace_id, turn as seq, case when conv_id % 2 = 0 then
+            case when role = 'assistant' then '{{"role":"assistant","thinking":"' || case when turn % 3 = 1 then 'hm ' || md5(text) else '' end || '","content":"'
+                    || case when turn % 4 = 3 then 'FINAL_SQL: ' else '' end || md5(text) || '","tool_calls":[' || case when turn % 4 = 1 then
+                    '{{"id":"c' || cast(turn as string) || '","function":{{"name":"run_sql","arguments":"{{}}"}}}},{{"id":"d' || cast(turn as string) || '","name":"look","arguments":"{{}}"}}' else '' end || ']}}'
+                when role = 'user' and turn % 4 = 2 then '{{"role":"tool","tool_call_id":"' || case when conv_id % 4 = 0 then 'c' || cast(turn - 1 as string) else '' end || '","result":"' || md5(text) || '"}}'
+                else '{{"role":"' || role || '","content":[{{"type":"text","text":"' || md5(text) || '"}}]}}' end
+        else case when role = 'assistant' then case turn % 4 when 1 then '{{"type":"function_call","call_id":"f' || cast(turn as string) || '","name":"query","arguments":"{{}}"}}'
+                else '{{"type":"message","role":"assistant","content":"' || md5(text) || '"}}' end
+            when role = 'user' and turn % 4 = 2 then '{{"type":"function_call_output","call_id":"f' || cast(turn - 1 as string) || '","output":"' || md5(text) || '"}}'
+            else '{{"role":"' || role || '","content":"' || md5(text) || '"}}' end
+        end as message
+    from {conversations}
+    """,
+)
+_define(
+    "responses",
+    "conversations",
+    """
+    select conv_id, turn, case when turn % 3 = 0 then '<thinking>A, b</thinking> <guess>' || role || ', w2 ,W3, w4</guess><confidence> high </confidence>'
+        when turn % 3 = 1 then 'I say ' || upper(role) || ', TWO, THREE, FOUR' else role || ',x' end as response,
+        '**Question:** what is ' || role || '? **Hints:** see ' || md5(text) || case when turn % 2 = 0 then '
+
+Hints define things' else '' end as prompt,
+        case when turn % 2 = 0 then 'FINAL_SQL:
+```sql
+select ' || cast(turn as string) || '
+```' else md5(text) end as answer,
+        case turn % 3 when 0 then 'x ```json {{"verdict":"GOLD_CORRECT","confidence":"HIGH","reasoning":"' || role || '","recommendation":"KEEP_GOLD"}} ``` y'
+            when 1 then 'see {{"verdict":"BOTH_WRONG","confidence":"LOW","reasoning":"r","recommendation":"NEEDS_REVIEW","more":{{"a":1}}}} end' else 'no json' end as judgement
+    from {conversations}
+    """,
+)
+_define(
+    "guesses",
+    "events",
+    """
+    select user_id as run_id, event_id % 20 as puzzle_id, event_id as guess_index, '<guess>' || case event_id % 9
+        when 6 then 'W' || cast(b as string) || ', W' || cast(b + 1 as string) || ', W' || cast(b + 2 as string) || ', W' || cast((b + 4) % 16 as string)
+        when 7 then 'W0, W5, W10, W15' when 8 then 'W1, W2'
+        else 'W' || cast(b as string) || ', w' || cast(b + 1 as string) || ', W' || cast(b + 2 as string) || ', W' || cast(b + 3 as string) end || '</guess>' as response
+    from (select *, (cast(floor(value) as bigint) % 4) * 4 as b from {events}) e
+    """,
+)
+_define(
+    "puzzles",
+    "events",
+    """
+    select distinct event_id % 20 as puzzle_id, @array@(@array@('W0', 'W1', 'W2', 'W3'), @array@('w4', 'W5', 'W6', 'W7'), @array@('W8', 'W9', 'W10', 'W11'),
+        @array@('W12', 'W13', 'W14', 'W15')) as groups from {events}
+    """,
+)
+_define(
+    "schema_columns",
+    "customer",
+    "select cast(c_nationkey as bigint) as db_id, c_custkey as column_index, 'T' || cast(c_custkey % 9 as string) as table_name, c_name as column_name from {customer}",
+)
+_define(
+    "schema_keys",
+    "orders",
+    "select o_orderkey % 25 as db_id, o_custkey as from_index, (o_custkey * 7) % 1600 as to_index from {orders}",
+)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 RELATIVE_TOLERANCE = 1e-4
 CLOSE_TOLERANCE = 0.05
 
-_INTEGER = r"^[+-]?[0-9]+$"
 _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -20,22 +19,31 @@ def is_number(text: Column) -> Column:
     return F.coalesce(F.trim(text).rlike(_DECIMAL), F.lit(False))
 
 
-def normalize_value(text: Column) -> Column:
-    """Trim, read truth words as 1 and 0, read numbers, lower everything else."""
+def _read(text: Column) -> Column:
+    """Lower-case word and its number, if it is one."""
     word = F.lower(F.trim(text))
     num = (
         F.when(word.isin("true", "yes"), 1.0)
         .when(word.isin("false", "no"), 0.0)
         .when(word.rlike(_DECIMAL), word.try_cast("double"))
     )
-    digits = F.length(F.regexp_replace(word, "[^0-9]", ""))
-    long_integer = word.rlike(_INTEGER) & (digits > 15)
-    txt = F.when(num.isNull(), word).when(long_integer, F.regexp_replace(word, r"^\+?(-?)0*", "$1"))
-    return F.struct(num.alias("num"), txt.alias("txt"))
+    return F.named_struct(F.lit("word"), word, F.lit("num"), num)
+
+
+def _normal(read: Column) -> Column:
+    word = read["word"]
+    long_integer = (F.length(word) > 15) & word.rlike(r"^[+-]?0*[1-9][0-9]{15,}$")
+    txt = F.when(read["num"].isNull(), word).when(long_integer, F.regexp_replace(word, r"^\+?(-?)0*", "$1"))
+    return F.named_struct(F.lit("num"), read["num"], F.lit("txt"), txt)
+
+
+def normalize_value(text: Column) -> Column:
+    """Trim, read truth words as 1 and 0, read numbers, lower everything else."""
+    return _normal(_read(text))
 
 
 def normalize_row(cells: Column) -> Column:
-    return F.transform(cells, lambda c: normalize_value(c))
+    return F.transform(F.transform(cells, lambda c: _read(c)), lambda r: _normal(r))
 
 
 def decimal_places(text: Column) -> Column:

@@ -191,7 +191,7 @@ def comparison_facts(results: DataFrame, cases: DataFrame) -> DataFrame:
     """All findings per case that the verdict is made of."""
     # read by five steps, so it is written once
     distinct = materialize(_distinct_rows(normalized(results)), "distinct_rows")
-    stats = case_stats(distinct)
+    stats = materialize(case_stats(distinct), "case_stats")
     out = cases.select("case_id", "gold_error", "pred_error").join(stats, "case_id", "left")
     out = out.fillna(0, ["n_gold", "n_pred", "d_gold", "d_pred", "common", "left_gold", "left_pred"])
     for part in (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators.profile import contiguous_from_zero
 from evalspark.plans.keyed import pick_per_key, top_n
+from evalspark.session import materialize
 
 UNIQUE_SHARE = 0.95
 USAGE_MINIMUM = 5
@@ -221,7 +222,10 @@ def schema_facts(
     orphans: DataFrame,
 ) -> DataFrame:
     """One row of facts per column."""
-    confirmed = join_targets(joins)
+    # profile, joins and similarities are read by several of the steps below
+    profile = materialize(profile, "profile")
+    similarities = materialize(similarities, "similarities")
+    confirmed = materialize(join_targets(joins), "joins")
     guessed = speculative_joins(similarities, confirmed)
     target_order = [F.desc("_weight"), F.col("target_table"), F.col("target_column")]
     first_confirmed = top_n(confirmed.withColumn("_weight", F.col("count").cast("double")).drop("count"), _KEY, target_order, 1)

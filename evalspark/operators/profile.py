@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.plans.keyed import top_n
+from evalspark.session import materialize
 
 # Thresholds of the profile.
 CATEGORICAL_LIMIT = 20
@@ -198,12 +199,13 @@ def detect_pattern(samples: Column) -> Column:
 def profile_columns(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
     """Full profile per column. ``exact`` counts distinct values instead of estimating them."""
     stats = column_statistics(tables)
-    values = column_values(tables)
+    # counted and sampled below, so it is written once
+    values = materialize(column_values(tables), "values")
     if exact:
         stats = stats.join(distinct_counts(values), ["table", "column"])
     else:
         stats = stats.withColumn("unique_count", F.col("approx_unique"))
-    flagged = categorical_flag(stats)
+    flagged = materialize(categorical_flag(stats), "statistics")
     wanted = F.when(F.col("is_categorical"), F.least(F.col("unique_count"), F.lit(CATEGORICAL_SAMPLES))).when(
         F.col("dtype") == "VARCHAR", F.lit(PATTERN_SAMPLES)
     )

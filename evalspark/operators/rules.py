@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.plans.keyed import join_null_safe, pick_per_key
+from evalspark.session import broadcast_if_small, materialize
 
 # Bucket bounds (exclusive upper bounds) and their labels.
 VOLUME_BOUNDS = [(100000, "<100k"), (1000000, "100k-1m"), (5000000, "1m-5m")]
@@ -142,7 +143,8 @@ def wildcard_rule_join(
     A direct ``equal or NULL`` condition has no hash key, so Spark would compare every fact
     with every rule. Each rule has a wildcard mask over ``key_dims``; a fact is expanded into
     one probe per mask (``2 ** len(key_dims)``, a constant) and meets rules through an equi
-    join. The full condition is checked again on the candidates, so the result is exact.
+    join. The full condition is checked again on the candidates, so the result is exact. A rule
+    set of checked size is broadcast, so facts are not shuffled; a larger one is hash joined.
     Rule columns come out with the prefix ``rule_``.
     """
     keys = [d for d in KEY_DIMS if d in dims] if key_dims is None else key_dims
@@ -152,8 +154,10 @@ def wildcard_rule_join(
         lambda a, b: a.bitwiseOR(b),
         [F.when(F.col(f"rule_{d}").isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, d in enumerate(keys)],
     )
-    right = prefixed.withColumn("_rmask", mask).withColumn(
-        "_rkey", _mask_key([F.col(f"rule_{d}") for d in keys], F.col("_rmask"))
+    right = broadcast_if_small(
+        prefixed.withColumn("_rmask", mask).withColumn(
+            "_rkey", _mask_key([F.col(f"rule_{d}") for d in keys], F.col("_rmask"))
+        )
     )
     masks = F.array(*[F.lit(m) for m in range(1 << len(keys))])
     left = facts.withColumn("_mask", F.explode(masks)).withColumn(
@@ -283,8 +287,26 @@ def _fact_groups(facts: DataFrame, extra: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("txns"), F.sum("eur_amount").alias("amount"))
 
 
+def _with_rule_sums(groups: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add the summed fixed amounts and rates of all rules that match a group.
+
+    Groups of many merchants and months share their dimension tuple, and the number of different
+    tuples stops growing with the data; so each tuple meets the rules once. Groups without a
+    matching rule are left out.
+    """
+    # read twice; written once, so that the facts behind the groups are scanned once
+    groups = materialize(groups, "fact_groups")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few tuples with much work each: keep them spread over all tasks
+    tuples = groups.select(*RULE_DIMS).repartition(parts, *RULE_DIMS).distinct()
+    sums = wildcard_rule_join(tuples, rules).groupBy(*RULE_DIMS).agg(
+        F.sum("rule_fixed_amount").alias("sum_fixed"), F.sum("rule_rate").alias("sum_rate")
+    )
+    return join_null_safe(groups, sums, RULE_DIMS)
+
+
 def _group_fee() -> Column:
-    return F.col("txns") * F.col("rule_fixed_amount") + F.col("amount") / F.lit(10000.0) * F.col("rule_rate")
+    return F.col("txns") * F.col("sum_fixed") + F.col("amount") / F.lit(10000.0) * F.col("sum_rate")
 
 
 def total_fees(
@@ -293,7 +315,7 @@ def total_fees(
     """Sum of all applicable fees per ``by`` (merchant, year, month, day_of_year, ...)."""
     by = MONTH if by is None else by
     groups = _fact_groups(payment_facts(payments, merchants), by)
-    return wildcard_rule_join(groups, fees).groupBy(*by).agg(F.sum(_group_fee()).alias("total_fee"))
+    return _with_rule_sums(groups, fees).groupBy(*by).agg(F.sum(_group_fee()).alias("total_fee"))
 
 
 def applicable_fee_ids(
@@ -377,8 +399,7 @@ def fee_delta_mcc_change(
 
     def totals(mcc: int | None, name: str) -> DataFrame:
         groups = _fact_groups(payment_facts(payments, merchants, mcc), ["merchant"])
-        pairs = wildcard_rule_join(groups, fees)
-        return pairs.groupBy("merchant").agg(F.sum(_group_fee()).alias(name))
+        return _with_rule_sums(groups, fees).groupBy("merchant").agg(F.sum(_group_fee()).alias(name))
 
     both = totals(new_mcc, "hypothetical").unionByName(totals(None, "actual"), allowMissingColumns=True)
     merged = both.groupBy("merchant").agg(
@@ -461,13 +482,8 @@ def steering_costs(
         F.count(F.lit(1)).alias("amounts"),
     )
     redirected = groups.withColumn("aci", F.explode(F.array(*[F.lit(a) for a in CANDIDATE_ACIS])))
-    per_group = (
-        wildcard_rule_join(redirected, rules)
-        .groupBy(*MONTH, *RULE_DIMS)
-        .agg(F.sum(_group_fee()).alias("fee"), F.first("amounts").alias("amounts"), F.first("txns").alias("txns"))
-    )
-    return per_group.groupBy(*MONTH, "aci").agg(
-        F.sum("fee").alias("derived_total_fee"),
+    return _with_rule_sums(redirected, rules).groupBy(*MONTH, "aci").agg(
+        F.sum(_group_fee()).alias("derived_total_fee"),
         F.sum("amounts").alias("derived_fraud_txn_count"),
         F.sum("txns").alias("fraud_transactions"),
     ).select(

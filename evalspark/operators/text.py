@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from evalspark.plans.keyed import join_null_safe, top_n
 from evalspark.plans.sequence import running_sums
+from evalspark.session import materialize
 
 # Message types of the second trace dialect, and the mark of a final answer.
 RESPONSE_TYPES = ["function_call", "function_call_output", "message", "reasoning"]
@@ -137,7 +138,10 @@ def pair_tool_calls(steps: DataFrame) -> DataFrame:
     within the trace, provided the call came first. Labels number the calling message, with a
     letter when it made several calls.
     """
-    numbered = step_counters(steps).filter(F.col("kind").isin("tool_call", "tool_result"))
+    # the steps and the pairs by id are read several times, so both are written once
+    numbered = materialize(
+        step_counters(materialize(steps, "steps")).filter(F.col("kind").isin("tool_call", "tool_result")), "calls"
+    )
     is_call = F.col("kind") == "tool_call"
     ranked = running_sums(
         numbered,
@@ -153,7 +157,7 @@ def pair_tool_calls(steps: DataFrame) -> DataFrame:
 
     # results without an id never match by id
     known = ranked.withColumn("_id", F.coalesce("call_id", F.concat(F.lit("#"), F.col("kind"), F.col("seq"), F.lit("."), F.col("part"))))
-    by_id = sides(known, ["trace_id", "_id", "_use"])
+    by_id = materialize(sides(known, ["trace_id", "_id", "_use"]), "by_id")
     done = by_id.filter(F.col("c").isNotNull() & F.col("r").isNotNull()).select("trace_id", "c", "r")
     open_calls = by_id.filter(F.col("r").isNull()).select("trace_id", F.lit("tool_call").alias("kind"), "c.*")
     open_results = by_id.filter(F.col("c").isNull()).select("trace_id", F.lit("tool_result").alias("kind"), "r.*")

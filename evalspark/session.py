@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings every operator relies on. All of them can be set on a live session.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # small but expensive stages keep one partition per core
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # hot join keys are split at run time, also where the split costs one more exchange
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -43,15 +46,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return session
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints; a temporary one only on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="evalspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="evalspark-")
+        return _LOCAL_DIRS[app]
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
@@ -60,7 +67,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = "stage"):
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast a narrow table of at most ``max_rows`` rows; a larger one is left to a shuffle join."""
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df.hint("shuffle_hash")
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage of ``df`` through a written table in the shared folder."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)

@@ -225,6 +225,23 @@ def register(r: Registry) -> None:
         """,
         extra=_FULL,
     )
+    # the same checks one rule at a time
+    for rule, check, source in (
+        ("missing_columns", G.check_columns, "check_columns"),
+        ("extra_columns", G.check_columns, "check_columns"),
+        ("aggregated_equivalent", G.check_duplicates, "check_duplicates"),
+        ("implicit_distinct", G.check_duplicates, "check_duplicates"),
+        ("extra_duplicates", G.check_duplicates, "check_duplicates"),
+        ("missing_rows", G.check_rows, "check_rows"),
+        ("extra_rows", G.check_rows, "check_rows"),
+    ):
+        whole = r.entries[source]
+        r.add(
+            f"check_{rule}",
+            lambda t, c=check, n=rule: c(t.result_cells).filter(F.col("reason").startswith(f"{n}:")),
+            f"select * from ({whole.sql}) where starts_with(reason, '{rule}:')",
+            extra=whole.extra,
+        )
     r.add(
         "check_close_values",
         lambda t: G.check_close_values(t.result_cells),

@@ -333,7 +333,7 @@ _define(
     "lineitem",
     """
     select l_orderkey as case_id, l_orderkey % 14 as kind,
-        row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber) as row_no,
+        row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_returnflag) as row_no,
         count(*) over (partition by l_orderkey) as n,
         cast(l_partkey as string) as part_text,
         cast(cast(l_quantity as bigint) as string) as qty_text,

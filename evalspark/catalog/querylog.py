@@ -20,7 +20,8 @@ select *, regexp_replace(cleaned, '''[^'']*''', '''''', 'g') as scan from (
 _REFS = f"""
 select cleaned, tbl, coalesce(alias, tbl) as name from (
     select cleaned, lower(list_extract(string_split(f, '.'), -1)) as tbl, case when a = '' or lower(a) in {_WORDS} then null else lower(a) end as alias
-    from (select cleaned, unnest(regexp_extract_all(scan, {_text(Q._REFERENCE)}, 1)) as f, unnest(regexp_extract_all(scan, {_text(Q._REFERENCE)}, 2)) as a from stm))
+    from (select cleaned, unnest(regexp_extract_all(so, {_text(Q._REFERENCE)}, 1)) as f, unnest(regexp_extract_all(so, {_text(Q._REFERENCE)}, 2)) as a
+        from (select cleaned, regexp_replace(scan, {_text(Q._CLAUSE_START)}, ' ; \\1', 'g') as so from stm)))
 """
 _CTES = f"select cleaned, lower(unnest(regexp_extract_all(scan, {_text(Q._CTE_NAME)}, 1))) as cte from stm"
 _BASE = {"stm": _STM, "refs": _REFS, "ctes": _CTES}
@@ -191,7 +192,7 @@ def register(r: Registry) -> None:
         lambda t: joined(Q.mine_ctes(t.query_log), "tables"),
         f"""
         select lower(name) as cte_name, case when length(body) > 500 then substr(body, 1, 500) || '...' else body end as definition,
-            array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(body, {_text(Q._REFERENCE)}, 1), lambda f: lower(list_extract(string_split(f, '.'), -1))))), ',') as tables,
+            array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(body, {_text(Q._CLAUSE_START)}, ' ; \\1', 'g'), {_text(Q._REFERENCE)}, 1), lambda f: lower(list_extract(string_split(f, '.'), -1))))), ',') as tables,
             regexp_matches(body, '(?i)\\sgroup\\s+by\\s|\\b(sum|avg|count|min|max)\\s*\\(') as has_aggregation, sum(frequency) as occurrence_count
         from ({_BODIES}) group by all
         """,

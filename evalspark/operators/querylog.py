@@ -25,6 +25,7 @@ IMPORTANCE_MINIMUM = 50
 MINIMUM_OCCURRENCES = 2
 OCCURRENCE_SHARE = 0.5 / 100
 EXAMPLES = 5
+ALIASES = 3
 METRIC_CHARS, DERIVED_CHARS, CTE_CHARS = 100, 200, 500
 SAMPLES = 30
 
@@ -38,6 +39,8 @@ _SEGMENTS = {
     "having": rf"(?i)\shaving\s+(.*?)(?:\sorder\s+by\s|\slimit\s|{_END})",
 }
 _REFERENCE = r"(?i)\b(?:from|join|update|into)\s+([\w.]+)(?:\s+(?:as\s+)?(\w+))?"
+# set off before table references are read, so that a clause word is never taken for an alias
+_CLAUSE_START = r"(?i)\s(join|left|right|inner|full|cross|natural|on|where|group|order|limit|having|union|set|using|values)\b"
 _CTE_NAME = r"(?i)(\w+)\s+as\s*\(\s*select\b"
 _CTE_BODY = r"(?i)(\w+)\s+as\s*\(\s*(select.*?)\)\s*(?:select\b|,\s*\w+\s+as\s*\()"
 _COLUMN = r"\b([A-Za-z_]\w*)\.(\w+)"
@@ -54,6 +57,10 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _set_off(text: Column) -> Column:
+    return F.regexp_replace(text, _CLAUSE_START, " ; $1")
+
+
 def _zip(text: Column, pattern: str, names: list[str]) -> Column:
     """Array of structs with one field per group of the pattern."""
     return F.arrays_zip(*[_all(text, pattern, i + 1).alias(n) for i, n in enumerate(names)])
@@ -105,7 +112,7 @@ def _statements(log: DataFrame) -> DataFrame:
     counted = log_normalize(log).groupBy("cleaned").agg(F.count(F.lit(1)).alias("frequency"))
     scan = F.regexp_replace("cleaned", "'[^']*'", "''")
     refs = F.transform(
-        _zip(F.col("scan"), _REFERENCE, ["full", "alias"]),
+        _zip(_set_off(F.col("scan")), _REFERENCE, ["full", "alias"]),
         lambda r: F.named_struct(
             F.lit("table"),
             F.lower(F.element_at(F.split(r["full"], r"\."), -1)),
@@ -259,11 +266,16 @@ def mine_metrics(log: DataFrame) -> DataFrame:
         F.nullif(F.lower("m.alias"), F.lit("")).alias("alias"),
         F.array_compact(used).alias("tables"),
     ).filter(F.length("expression") <= METRIC_CHARS)
-    return rows.groupBy("expression").agg(
+    counts = rows.groupBy("expression").agg(
         F.sum("frequency").alias("occurrence_count"),
-        F.slice(F.array_sort(F.collect_set("alias")), 1, 3).alias("aliases"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tables")))).alias("tables"),
     )
+    named = rows.filter(F.col("alias").isNotNull()).select("expression", "alias").distinct()
+    aliases = top_n(named, ["expression"], [F.col("alias")], ALIASES).groupBy("expression").agg(
+        F.array_sort(F.collect_list("alias")).alias("aliases")
+    )
+    joined = counts.join(aliases, "expression", "left")
+    return joined.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
 def mine_intra_constraints(log: DataFrame) -> DataFrame:
@@ -287,7 +299,7 @@ def mine_ctes(log: DataFrame) -> DataFrame:
     """Common table expressions: definition, tables and whether they aggregate."""
     body = F.col("m.body")
     tables = F.array_sort(
-        F.array_distinct(F.transform(_all(body, _REFERENCE, 1), lambda r: F.lower(F.element_at(F.split(r, r"\."), -1))))
+        F.array_distinct(F.transform(_all(_set_off(body), _REFERENCE, 1), lambda r: F.lower(F.element_at(F.split(r, r"\."), -1))))
     )
     grouped = body.rlike(r"(?i)\sgroup\s+by\s|\b(sum|avg|count|min|max)\s*\(")
     cut = F.when(F.length(body) > CTE_CHARS, F.concat(F.substring(body, 1, CTE_CHARS), F.lit("..."))).otherwise(body)

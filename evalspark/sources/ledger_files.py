@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.session import materialize
+
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.StringType()),
@@ -105,6 +107,8 @@ def read_json_permissive(
         .json(path)
         .withColumn("source_file", F.col("_metadata.file_name"))
     )
+    # both results need the parse outcome, which Spark only gives for rows that are stored
+    rows = materialize(rows, "parsed_lines")
     good = rows.filter(F.col("_bad").isNull()).drop("_bad")
     for name in list_columns or []:
         good = good.withColumn(name, F.to_json(F.col(name)))

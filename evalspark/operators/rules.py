@@ -396,16 +396,19 @@ def fee_delta_mcc_change(
     NULL when one of the two totals has no matching rule at all.
     """
     payments, merchants = _scoped(payments, merchants, merchant, year)
+    groups = _fact_groups(payment_facts(payments, merchants), ["merchant"])
+    # both scenarios share the facts and one pass over the rules
+    scenario = F.explode(F.array(F.lit("actual"), F.lit("hypothetical")))
+    code = F.when(F.col("scenario") == "hypothetical", F.lit(new_mcc).cast("bigint")).otherwise(
+        F.col("merchant_category_code")
+    )
+    both = groups.withColumn("scenario", scenario).withColumn("merchant_category_code", code)
 
-    def totals(mcc: int | None, name: str) -> DataFrame:
-        groups = _fact_groups(payment_facts(payments, merchants, mcc), ["merchant"])
-        return _with_rule_sums(groups, fees).groupBy("merchant").agg(F.sum(_group_fee()).alias(name))
+    def total(name: str) -> Column:
+        return F.sum(F.when(F.col("scenario") == name, _group_fee()))
 
-    both = totals(new_mcc, "hypothetical").unionByName(totals(None, "actual"), allowMissingColumns=True)
-    merged = both.groupBy("merchant").agg(
-        F.max("hypothetical").alias("hypothetical"), F.max("actual").alias("actual")
-    )
-    return merged.select("merchant", F.round(F.col("hypothetical") - F.col("actual"), 6).alias("delta"))
+    delta = total("hypothetical") - total("actual")
+    return _with_rule_sums(both, fees).groupBy("merchant").agg(F.round(delta, 6).alias("delta"))
 
 
 def merchants_affected_by_fee(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, near, packing, quality, repeats
+from evalspark.llm import bpe, near, packing, quality, repeats, templates
 from evalspark.llm.frames import prepare, table
 
 
@@ -32,6 +32,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.drop_recurring(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,6 +49,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, near, packing, quality, repeats, templates, weak
+from evalspark.llm import bpe, near, packing, quality, repeats, templates, vafile, weak
 from evalspark.llm.frames import prepare, table
 
 
@@ -31,6 +31,26 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP6_SQL = """
+with v as (
+    select vec_id, min(list_transform(embedding, lambda x: floor(64 * cast(x as double)))) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    group by vec_id),
+s as (
+    select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+    from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 20
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,8 +73,9 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_exact_topk": op6_exact_topk,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": weak.oracle()}
+ORACLES: dict[str, str] = {"op1_quality_rules": weak.oracle(), "op6_exact_topk": OP6_SQL}

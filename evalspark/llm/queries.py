@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, near, packing, quality, repeats, templates, vafile, weak
+from evalspark.llm import bpe, near, packing, quality, repeats, templates, vafile, wacz, weak
 from evalspark.llm.frames import prepare, table
 
 
@@ -14,6 +14,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak.judge(table(prepare(spark), sf_dir, "documents")).drop("votes", "posterior")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = wacz.write_archives(table(prepare(spark), sf_dir, "pages"))
+    r = wacz.read_records(archives)
+    number = lambda c: F.nullif(F.regexp_extract(c, r"urn:page:(-?\d*)>", 1), F.lit("")).cast("long")
+    # what a response says of its payload is what is read; a revisit says it in its headers
+    return r.select(
+        number("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), F.col("digest")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as h, cast(strlen(coalesce(html, '')) as bigint) as n, sha1(coalesce(html, '')) as d from pages),
+r as (select d, max(page_id) as m from p where n >= 1000 group by d),
+t as (select p.*, r.m, coalesce(m is not null and (page_id is null or page_id < m), false) as again from p left join r on p.d = r.d)
+select page_id, n as payload_bytes, d as payload_digest, case when again then 'revisit' else 'response' end as record_type,
+    case when again then m end as refers_to
+from t
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(prepare(spark), sf_dir, "documents"), words=4, similarity=(85, 100))
 
@@ -70,6 +94,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
@@ -78,4 +103,4 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": weak.oracle(), "op6_exact_topk": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": weak.oracle(), "op2_warc": OP2_SQL, "op6_exact_topk": OP6_SQL}

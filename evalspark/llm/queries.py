@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, near, packing, quality, repeats, templates, vafile, wacz, weak
+from evalspark.llm import bpe, mainpage, near, packing, quality, repeats, templates, vafile, wacz, weak
 from evalspark.llm.frames import prepare, table
 
 
@@ -84,6 +84,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.drop_recurring(table(prepare(spark), sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(prepare(spark), sf_dir, "pages")
+    return mainpage.extract(pages, mainpage.train(pages), ["page_id", "url"])
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,6 +106,7 @@ QUERIES = {
     "op6_exact_topk": op6_exact_topk,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": weak.oracle(), "op2_warc": OP2_SQL, "op6_exact_topk": OP6_SQL}

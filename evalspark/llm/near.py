@@ -241,6 +241,6 @@ def link(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100
 
     full = named.where("n > 0").join(roots, "set", "left").select("id", "n", F.coalesce("root", "set").alias("root"))
     least = full.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = full.join(least, "root").select("id", "n", "component_id")
+    found = full.join(written(least, "least-ids"), "root").select("id", "n", "component_id")
     empty = named.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return found.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

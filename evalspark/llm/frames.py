@@ -38,7 +38,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` through a table in the shared folder."""
+    """Cut the lineage of ``df`` through a table in the shared folder.
+
+    Aggregates that are joined back to their rows are written too: Spark splits a hot key of a join only if both
+    sides come from shuffles of their own, which the result of an aggregate by that key doesn't.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -122,6 +122,7 @@ def remove_repeats(
 
     marks = written(_marks(rows.select("id", "text"), window, gram), "marks")
     common = marks.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("mark", "low")
+    common = written(common, "shared-marks")
     met = marks.join(common, "mark").groupBy("id")
     is_anchor = F.col("mark").bitwiseAND(F.lit(1)) == 0
     known = met.agg(
@@ -163,6 +164,7 @@ def remove_repeats(
 
     suffixes = held.where("paths is not null").select("id", F.explode("paths").alias("path"))
     nodes = suffixes.groupBy("path").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("path", "low")
+    nodes = written(nodes, "nodes")
     below = suffixes.join(nodes, "path").where("low < id").groupBy("id").agg(F.collect_set("path").alias("repeats"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

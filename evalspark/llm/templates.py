@@ -131,6 +131,7 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, similar: float,
     spelt = written(tokens.dropDuplicates(["leaf", "body"]).join(known, ["leaf", "body"]), "leaf-lines")
     long = spelt.select("leaf", "body", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")).where("token is not null")
     constant = long.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("seen")).where(F.col("seen") >= min_docs).drop("seen")
+    constant = written(constant, "constant-tokens")
     parts = long.join(constant, ["leaf", "place", "token"])
     named = parts.groupBy("leaf", "body").agg(
         F.bit_xor(F.xxhash64("place", "token")).alias("template"), (F.count(F.lit(1)) / F.first("n")).alias("share")
@@ -141,7 +142,8 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, similar: float,
     counted = held.select("template", "id", "other").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
     apart = held.select("template", "other").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("apart"))
     found = counted.join(apart, "template").where((F.col("apart") >= min_docs) & (F.col("apart") * 2 >= F.col("docs")))
-    return lines, named.join(found.select("template"), "template", "left_semi").select("leaf", "body", "template")
+    recurring = named.join(found.select("template"), "template", "left_semi").select("leaf", "body", "template")
+    return lines, written(recurring, "recurring-lines")
 
 
 def drop_recurring(

@@ -168,6 +168,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
     first = long.groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = written(first, "responses")
     is_revisit = F.coalesce(F.col("response").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("response"))), F.lit(False))
     # payloads below the limit have no partner: their digests are not in the table
     told = rows.join(first, "digest", "left").withColumn("is_revisit", is_revisit)

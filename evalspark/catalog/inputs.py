@@ -359,7 +359,7 @@ _define(
     select case_id, 'pred' as side, case when kind = 0 then 100000 - row_no else row_no end as row_no,
         case when kind = 5 then @array@(part_text, qty_text, {_PRICE}, flag, 'more')
             when kind = 6 then @array@(part_text, qty_text, {_PRICE})
-            when kind = 7 then @array@(part_text, qty_text, {_scaled('cents * 100001', 10000000, 7)}, flag)
+            when kind = 7 then @array@(part_text, {_scaled('cast(qty_text as bigint) * 100001', 100000, 5)}, {_scaled('cents * 100001', 10000000, 7)}, flag)
             when kind = 8 then @array@(part_text, {_scaled('cents * 103', 10000, 4)})
             when kind = 9 then @array@(part_text, ' ' || qty_text, {_PRICE}, lower(flag))
             when kind = 11 then @array@(part_text, qty_text, {_cents('cents * 2')}, flag)

@@ -5,19 +5,20 @@ cases are compared in one pass, and one case may hold any share of the rows: row
 normal form first, and only rows without an identical twin take part in the tolerant steps, which
 work on sort ranges instead of whole cases.
 
-Tolerant pairing takes the rows without a twin that agree in their text cells and pairs them in
-sort order, columns of whole numbers first. With one inexact column this finds a pairing whenever
-there is one; with several, rows that lie within each other's tolerance may be paired differently
-from a greedy search.
+Tolerant steps look for candidates by hash keys. Text cells, and columns of small whole numbers, have to
+agree literally; of the other columns the one with most values gives tolerance buckets, such that equal cells
+share one. Only candidates are compared cell by cell. Where rows have one candidate each, these are pairs;
+the others are paired greedily in row order.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import cells as X
-from evalspark.plans.sequence import nearest_marked, rank_rows
+from evalspark.plans.sequence import rank_rows
 from evalspark.session import materialize
 
 
@@ -44,6 +45,8 @@ def _distinct_rows(norm: DataFrame) -> DataFrame:
         F.count_if(pred).alias("p"),
         F.min(F.when(gold, F.col("places"))).alias("gold_places"),
         F.min(F.when(pred, F.col("places"))).alias("pred_places"),
+        F.min(F.when(gold, F.col("row_no"))).alias("gold_no"),
+        F.min(F.when(pred, F.col("row_no"))).alias("pred_no"),
     )
 
 
@@ -51,14 +54,6 @@ def case_stats(distinct: DataFrame) -> DataFrame:
     """Per case: rows, widths, distinct rows and rows without a twin on either side."""
     g, p = F.col("g"), F.col("p")
     width = F.size("row")
-    whole = F.aggregate(
-        F.transform(
-            "row",
-            lambda c, i: F.when(c["num"].isNotNull() & (c["num"] == F.floor(c["num"])), F.pow(F.lit(2.0), i % 62).cast("bigint")).otherwise(F.lit(0).cast("bigint")),
-        ),
-        F.lit(0).cast("bigint"),
-        lambda acc, bit: acc.bitwiseOR(bit),
-    )
     return distinct.groupBy("case_id").agg(
         F.sum("g").alias("n_gold"),
         F.sum("p").alias("n_pred"),
@@ -69,51 +64,102 @@ def case_stats(distinct: DataFrame) -> DataFrame:
         F.count_if((g > 0) & (p > 0)).alias("common"),
         F.sum(F.greatest(g - p, F.lit(0))).alias("left_gold"),
         F.sum(F.greatest(p - g, F.lit(0))).alias("left_pred"),
-        F.bit_and(whole).alias("whole_columns"),
     )
 
 
-def _sort_key(row: Column, whole_columns: Column) -> Column:
-    """Numbers of a row, columns that only hold whole numbers first."""
-    indexed = F.transform(
-        row, lambda c, i: F.named_struct(
-            F.lit("w"), whole_columns.bitwiseAND(F.pow(F.lit(2.0), i % 62).cast("bigint")), F.lit("n"), c["num"]
-        ),
-    )
-    exact = F.filter(indexed, lambda c: c["w"] != 0)
-    loose = F.filter(indexed, lambda c: c["w"] == 0)
-    return F.transform(F.concat(exact, loose), lambda c: c["n"])
+# whole numbers below this differ by more than the tolerance unless they are equal
+_EXACT_BELOW = 5000
+# buckets of logarithms, wider than the tolerance
+_BUCKET = 2 * X.RELATIVE_TOLERANCE
 
 
-def _signature(row: Column) -> Column:
-    """What must be equal literally: text cells and the places of numbers and NULLs."""
-    return F.transform(row, lambda c: F.named_struct(F.lit("n"), c["num"].isNotNull(), F.lit("t"), F.when(c["num"].isNull(), c["txt"])))
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of rows of one case that are equal within tolerance.
+
+    ``rows`` has case_id, is_needle, row and places (the decimals of needles, which govern). The result has
+    case_id, part (a hash of the literal cells), and the rows ``a`` (needle) and ``b``.
+    """
+    cells = rows.select("case_id", "places", F.posexplode("row").alias("pos", "c"))
+    num = F.col("c.num")
+    small = num.isNull() | ((num == F.floor(num)) & (F.abs(num) < _EXACT_BELOW))
+    columns = cells.groupBy("case_id", "pos").agg(
+        F.bool_and(small).alias("exact"), F.approx_count_distinct(num).alias("values"), F.collect_set(F.get("places", "pos")).alias("decimals")
+    )
+    block = F.when(~F.col("exact"), F.struct("values", F.col("pos").alias("pos"), "decimals"))
+    layout = columns.groupBy("case_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "exact"))).alias("exact"), F.max(block).alias("block")
+    )
+    literal = F.transform(
+        "row", lambda c, i: F.when(c["num"].isNull() | F.col("exact")[i], F.struct(c["num"].alias("n"), c["txt"].alias("t"), F.lit(True).alias("l")))
+    )
+    keyed = rows.join(layout.where("block is not null"), "case_id").select(
+        "case_id", "is_needle", "row", "places", F.xxhash64(literal).alias("part"),
+        F.get("row", F.col("block.pos"))["num"].alias("v"), F.get("places", F.col("block.pos")).alias("own"), F.col("block.decimals").alias("decimals"),
+    )
+    v = F.col("v")
+    bucket = F.floor(F.ln(F.abs(v)) / _BUCKET) * 2 + (v > 0).cast("long")
+
+    def rounded(places: Column) -> Column:
+        return F.xxhash64(F.lit("rounded"), places.cast("int"), F.bround(v * F.pow(F.lit(10.0), places), 0) + F.lit(0.0))
+
+    def close(step: int) -> Column:
+        return F.when(v != 0, F.xxhash64(F.lit("close"), bucket + 2 * step))
+
+    near_zero = F.when(F.abs(v) <= X.RELATIVE_TOLERANCE, F.xxhash64(F.lit("zero")))
+    none = F.when(v.isNull(), F.xxhash64(F.lit("none")))
+    needle_keys = F.array(none, near_zero, rounded(F.col("own")), close(-1), close(0), close(1))
+    other_keys = F.concat(F.array(none, near_zero, close(0)), F.transform("decimals", rounded))
+    keys = F.array_distinct(F.array_compact(F.when(F.col("is_needle"), needle_keys).otherwise(other_keys)))
+    dealt = keyed.select("case_id", "part", "is_needle", "row", "places", F.explode(keys).alias("key"))
+    a = dealt.where("is_needle").select("case_id", "part", "key", F.col("row").alias("a"), "places")
+    b = dealt.where("not is_needle").select("case_id", "part", "key", F.col("row").alias("b"))
+    same = X.rows_equal_adaptive(F.col("a"), F.col("b"), F.col("places"))
+    return a.join(b, ["case_id", "part", "key"]).where(same).select("case_id", "part", "a", "b").distinct()
+
+
+def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
+    """Pair gold rows in their order with the first predicted row that is left."""
+    left = dict(zip(edges["b_no"], edges["b_times"], strict=True))
+    paired = 0
+    for _, own in edges.sort_values(["a_no", "b_no"]).groupby("a_no", sort=True):
+        need = int(own["a_times"].iloc[0])
+        for b in own["b_no"]:
+            taken = min(need, left[b])
+            left[b] -= taken
+            need -= taken
+            paired += taken
+    return pd.DataFrame({"case_id": [edges["case_id"].iloc[0]], "paired": [paired]})
 
 
 def _unpaired(distinct: DataFrame, stats: DataFrame) -> DataFrame:
-    """Per case of equal size: rows without a twin that find no partner within tolerance."""
+    """Per case of equal size: gold rows that find no partner within tolerance."""
     open_cases = stats.filter(
         (F.col("n_gold") == F.col("n_pred")) & (F.col("w_gold") == F.col("w_pred")) & (F.col("left_gold") > 0)
-    ).select("case_id", "whole_columns")
-    rest = distinct.filter(F.col("g") != F.col("p")).join(open_cases, "case_id")
-    times = F.abs(F.col("g") - F.col("p"))
-    rows = rest.select(
-        "case_id",
-        F.when(F.col("g") > F.col("p"), "gold").otherwise("pred").alias("side"),
-        _signature(F.col("row")).alias("signature"),
-        _sort_key(F.col("row"), F.col("whole_columns")).alias("sort_key"),
-        "row",
-        "gold_places",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("copy"),
+    ).select("case_id", "n_gold")
+    # rows with a twin take part too: a row in front of them may take the twin
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_needle"), F.col("gold_places").alias("places"), F.col("g").alias("times"), F.col("gold_no").alias("no")),
+        F.struct(F.lit(False).alias("is_needle"), F.lit(None).cast("array<int>").alias("places"), F.col("p").alias("times"), F.col("pred_no").alias("no")),
+    )
+    rest = distinct.join(open_cases.select("case_id"), "case_id").select("case_id", "row", F.explode(sides).alias("s")).select("case_id", "row", "s.*").where("times > 0")
+    rest = materialize(rest, "open_rows")
+    found = _candidates(rest.select("case_id", "is_needle", "row", "places"))
+    for side, flag in (("a", "is_needle"), ("b", "not is_needle")):
+        own = rest.where(flag).select("case_id", F.col("row").alias(side), F.col("times").alias(f"{side}_times"), F.col("no").alias(f"{side}_no"))
+        found = found.join(own, ["case_id", side])
+    edges = materialize(found.drop("a", "b"), "candidate_pairs")
+    for side in ("a", "b"):
+        degree = edges.groupBy("case_id", f"{side}_no").agg(F.count(F.lit(1)).alias(f"{side}_degree"))
+        edges = edges.join(degree, ["case_id", f"{side}_no"])
+    single = (F.col("a_degree") == 1) & (F.col("b_degree") == 1)
+    plain = edges.where(single).select("case_id", F.least("a_times", "b_times").alias("paired"))
+    kind = rest.schema["case_id"].dataType.simpleString()
+    rest_edges = edges.where(~single).select("case_id", "part", "a_no", "b_no", "a_times", "b_times")
+    other = rest_edges.groupBy("case_id", "part").applyInPandas(_greedy, f"case_id {kind}, paired long")
+    paired = plain.unionByName(other).groupBy("case_id").agg(F.sum("paired").alias("paired"))
+    return open_cases.join(paired, "case_id", "left").select(
+        "case_id", (F.col("n_gold") - F.coalesce("paired", F.lit(0))).alias("unpaired")
     )
-    ranked = rank_rows(rows, ["case_id", "signature", "side"], ["sort_key", "copy"])
-
-    def only(side: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.struct("row", "gold_places")))
-
-    pairs = ranked.groupBy("case_id", "signature", "rank").agg(only("gold").alias("a"), only("pred").alias("b"))
-    same = X.rows_equal_adaptive(F.col("a.row"), F.col("b.row"), F.col("a.gold_places"))
-    return pairs.groupBy("case_id").agg(F.count_if(~F.coalesce(same, F.lit(False))).alias("unpaired"))
 
 
 def _unfound(distinct: DataFrame, stats: DataFrame) -> DataFrame:
@@ -123,23 +169,23 @@ def _unfound(distinct: DataFrame, stats: DataFrame) -> DataFrame:
         (F.col("n_gold") != F.col("n_pred"))
         & (F.col("w_gold") == F.col("w_pred"))
         & (F.when(fewer_pred, F.col("d_pred")).otherwise(F.col("d_gold")) > F.col("common"))
-    ).select("case_id", "whole_columns", fewer_pred.alias("fewer_pred"))
+    ).select("case_id", fewer_pred.alias("fewer_pred"))
     small = F.when(F.col("fewer_pred"), F.col("p")).otherwise(F.col("g")) > 0
     large = F.when(F.col("fewer_pred"), F.col("g")).otherwise(F.col("p")) > 0
-    rows = distinct.join(open_cases, "case_id").select(
-        "case_id",
-        _signature(F.col("row")).alias("signature"),
-        _sort_key(F.col("row"), F.col("whole_columns")).alias("sort_key"),
-        "row",
-        F.when(F.col("fewer_pred"), F.col("pred_places")).otherwise(F.col("gold_places")).alias("places"),
-        (small & ~large).alias("is_needle"),
+    rows = distinct.join(open_cases, "case_id").where(small != large)
+    twins = distinct.join(open_cases, "case_id").where(small & large)
+    places = F.when(F.col("fewer_pred"), F.col("pred_places")).otherwise(F.col("gold_places"))
+    rows = materialize(
+        rows.select("case_id", small.alias("is_needle"), "row", F.when(small, places).alias("places"))
+        # a row with a twin may be near to others as well
+        .unionByName(twins.select("case_id", F.lit(False).alias("is_needle"), "row", F.lit(None).cast("array<int>").alias("places"))),
+        "open_rows",
     )
-    near = nearest_marked(rows, ["case_id", "signature"], ["sort_key", "is_needle"], ~F.col("is_needle"), "row")
-    found = F.lit(False)
-    for side in ("before", "after"):
-        hit = X.rows_equal_adaptive(F.col("row"), F.col(side), F.col("places"))
-        found = found | F.coalesce(hit, F.lit(False))
-    return near.filter("is_needle").groupBy("case_id").agg(F.count_if(~found).alias("unfound"))
+    found = _candidates(rows).select("case_id", F.col("a").alias("row")).distinct()
+    missing = rows.where("is_needle").join(found, ["case_id", "row"], "left_anti")
+    return rows.where("is_needle").select("case_id").distinct().join(
+        missing.groupBy("case_id").agg(F.count(F.lit(1)).alias("unfound")), "case_id", "left"
+    ).select("case_id", F.coalesce("unfound", F.lit(0)).alias("unfound"))
 
 
 def _column_subset(distinct: DataFrame, stats: DataFrame) -> DataFrame:

@@ -98,20 +98,9 @@ def in_ranges(df: DataFrame, keys: list[str], order: list[str], name: str = "ran
     return materialize(ranged, name)
 
 
-def has_long_group(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """Is any group longer than ``limit`` rows? Counts are summed in the tasks first."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.filter(F.col("n") > limit).isEmpty()
-
-
-def rank_rows(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank", limit: int = 1_000_000) -> DataFrame:
-    """``row_number`` per key for groups of any length.
-
-    When every group has at most ``limit`` rows, a plain window does. Otherwise a row's rank is
-    its rank inside a sort range plus the sizes of the earlier ranges.
-    """
-    if not has_long_group(df, keys, limit):
-        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+def rank_rows(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank") -> DataFrame:
+    """``row_number`` per key for groups of any length: a row's rank is its rank inside a sort range plus the
+    sizes of the earlier ranges."""
     ranged = in_ranges(df, keys, order)
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, _RANGE).orderBy(*order)))
     sizes = ranged.groupBy(*keys, _RANGE).agg(F.count(F.lit(1)).alias("_n"))
@@ -119,42 +108,3 @@ def rank_rows(df: DataFrame, keys: list[str], order: list[str], rank: str = "ran
     offsets = sizes.select(*keys, _RANGE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     joined = join_null_safe(local, offsets, [*keys, _RANGE])
     return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(rank))
-
-
-def nearest_marked(
-    df: DataFrame, keys: list[str], order: list[str], mark: Column, payload: str, limit: int = 1_000_000
-) -> DataFrame:
-    """Add ``before`` and ``after``: the payload of the closest marked row on either side in order."""
-    up, down = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
-    marked = F.when(F.col("_mark"), F.col(payload))
-    flagged = df.withColumn("_mark", mark)
-    if not has_long_group(df, keys, limit):
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        return flagged.select(
-            *df.columns,
-            F.last(marked, ignorenulls=True).over(whole.rowsBetween(*up)).alias("before"),
-            F.first(marked, ignorenulls=True).over(whole.rowsBetween(*down)).alias("after"),
-        )
-    ranged = in_ranges(flagged, keys, order)
-    position = F.struct(*order)
-    inside = Window.partitionBy(*keys, _RANGE).orderBy(*order)
-    local = ranged.withColumn(
-        "_b", F.last(marked, ignorenulls=True).over(inside.rowsBetween(*up))
-    ).withColumn("_a", F.first(marked, ignorenulls=True).over(inside.rowsBetween(*down)))
-    edges = ranged.groupBy(*keys, _RANGE).agg(
-        F.max(F.when(F.col("_mark"), F.struct(position.alias("o"), F.col(payload).alias("v")))).alias("_max"),
-        F.min(F.when(F.col("_mark"), F.struct(position.alias("o"), F.col(payload).alias("v")))).alias("_min"),
-    )
-    by_range = Window.partitionBy(*keys).orderBy(_RANGE)
-    carried = edges.select(
-        *keys,
-        _RANGE,
-        F.last("_max", ignorenulls=True).over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
-        F.first("_min", ignorenulls=True).over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("_right"),
-    )
-    joined = join_null_safe(local, carried, [*keys, _RANGE])
-    return joined.select(
-        *df.columns,
-        F.coalesce("_b", F.col("_left.v")).alias("before"),
-        F.coalesce("_a", F.col("_right.v")).alias("after"),
-    )

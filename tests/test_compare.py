@@ -72,9 +72,13 @@ def test_fallback(spark):
 def python_equal(gold, pred):
     if gold == pred:
         return True
+    if gold.isalpha() or pred.isalpha():
+        return False
     places = len(gold.split(".")[1].rstrip("0")) if "." in gold else 0
     g, p = float(gold), float(pred)
-    return round(g, places) == round(p, places) or (max(abs(g), abs(p)) > 0 and abs(g - p) / max(abs(g), abs(p)) < 1e-4)
+    if 0 in (g, p):
+        return round(g, places) == round(p, places) or abs(g - p) < 1e-4
+    return round(g, places) == round(p, places) or abs(g - p) / max(abs(g), abs(p)) < 1e-4
 
 
 def brute_force(gold, pred):
@@ -104,10 +108,51 @@ def test_bag_match_against_brute_force(spark):
     assert 10 < sum(got.values()) < 80
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_long_cases_take_ranges(spark, monkeypatch, limit):
-    """One case with most of the rows, once through sort ranges."""
-    monkeypatch.setattr(G, "rank_rows", lambda df, k, o: __import__("evalspark.plans.sequence", fromlist=["x"]).rank_rows(df, k, o, limit=limit))
+def test_several_inexact_columns(spark):
+    cases = {
+        "crossed": ([["100.001", "5.5"], ["100.002", "9.5"]], [["100.003", "5.5"], ["100.0015", "9.5"]]),
+        "extra": ([["100.003", "5.5"]], [["100.001", "5.5"], ["100.002", "9.5"], ["200.5", "1.5"]]),
+        "missing": ([["100.001", "5.5"], ["100.002", "9.5"], ["200.5", "1.5"]], [["100.003", "5.5"]]),
+    }
+    results, heads = frame(spark, cases)
+    got = {r["case_id"]: (r["level"], r["reason"]) for r in G.compare_results(results, heads).collect()}
+    assert got == {"crossed": ("correct", None), "extra": ("partial", "extra_rows:2"), "missing": ("incorrect", "missing_rows:2")}
+
+
+@pytest.mark.parametrize("inexact", [2, 3])
+def test_inexact_columns_against_brute_force(spark, inexact):
+    rnd = random.Random(inexact)
+    cases = {}
+    for n in range(120):
+        gold = [
+            [rnd.choice(["a", "b"]), str(rnd.randint(0, 3)), *[f"{rnd.choice([0.0, 2.5, 40, 41, 800]) + rnd.uniform(0, 0.01):.{rnd.randint(0, 4)}f}" for _ in range(inexact)]]
+            for _ in range(rnd.randint(1, 9))
+        ]
+        change = lambda x: repr(float(x) * (1 + rnd.choice([0, 0, 3e-5, -3e-5, 8e-5, 2e-3 if n % 3 == 0 else 0])))  # noqa: B023, E731
+        pred = [[*r[:2], *map(change, r[2:])] for r in gold]
+        rnd.shuffle(pred)
+        extra = rnd.randint(0, 2) if n % 2 else 0
+        cases[f"c{n}"] = (gold, pred + pred[:extra]) if n % 4 == 1 else (gold + gold[:extra], pred)
+    results, heads = frame(spark, cases)
+    bag = {r["case_id"]: r["matches"] for r in G.results_match_bag(results).collect()}
+    assert bag == {name: brute_force(*pair) for name, pair in cases.items()}
+    assert 10 < sum(bag.values()) < 110
+    rows = {r["case_id"]: r["reason"] for r in G.check_rows(results).collect()}
+
+    def contained(few, many):
+        return all(any(all(python_equal(x, y) for x, y in zip(a, b)) for b in many) for a in few)
+
+    want = {}
+    for name, (gold, pred) in cases.items():
+        if len(gold) > len(pred) and contained(pred, gold):
+            want[name] = f"missing_rows:{len(gold) - len(pred)}"
+        if len(gold) < len(pred) and contained(gold, pred):
+            want[name] = f"extra_rows:{len(pred) - len(gold)}"
+    assert rows == want and want
+
+
+def test_long_case(spark):
+    """One case with most of the rows."""
     gold = [[str(i), f"{i}.25"] for i in range(400)]
     pred = [[str(i), f"{i * (1 + 1e-5) + 0.25:.6f}"] for i in reversed(range(400))]
     results, heads = frame(spark, {"big": (gold, pred), "small": ([["1"]], [["1"]]), "wide": (gold, [[*r, "x"] for r in gold])})

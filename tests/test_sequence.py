@@ -52,10 +52,9 @@ def test_previous_values(spark, data, width):
     assert {r["id"]: r["before"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_rank_rows(spark, data, limit):
+def test_rank_rows(spark, data):
     df = spark.createDataFrame(data, SCHEMA)
-    got = sequence.rank_rows(df, ["k"], ["v", "id"], limit=limit)
+    got = sequence.rank_rows(df, ["k"], ["v", "id"])
     want = {}
     for rows in grouped(data).values():
         for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[3])), start=1):
@@ -63,19 +62,6 @@ def test_rank_rows(spark, data, limit):
     assert {r["id"]: r["rank"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_nearest_marked(spark, data, limit):
-    df = spark.createDataFrame(data, SCHEMA)
-    got = sequence.nearest_marked(df, ["k"], ["pos", "id"], F.col("v") == 0, "id", limit=limit)
-    for key, rows in grouped(data).items():
-        marks = [(i, r[3]) for i, r in enumerate(rows) if r[2] == 0]
-        found = {r["id"]: (r["before"], r["after"]) for r in got.filter(F.col("k").eqNullSafe(F.lit(key).cast("string"))).collect()}
-        for i, r in enumerate(rows):
-            before = [m for j, m in marks if j <= i]
-            after = [m for j, m in marks if j >= i]
-            assert found[r[3]] == (before[-1] if before else None, after[0] if after else None)
-
-
 def test_latest_per_key_nulls_lose(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("b", None, 3), (None, 1, 4)], "k string, t int, v int")
     got = {(r["k"], r["t"], r["v"]) for r in keyed.latest_per_key(df, ["k"], ["t"]).collect()}

@@ -33,7 +33,7 @@ HEADLINE = [
     "mine_field_usage",
     "pair_tool_calls",
     "link_tables_topk",
-    "guess_evaluation",
+    "guess_features",
     "stream_dedupe",
 ]
 

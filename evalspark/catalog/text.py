@@ -126,8 +126,6 @@ def register(r: Registry) -> None:
         from (select *, list_transform(string_split(regexp_extract(response, '<guess>(.*)</guess>', 1), ','), lambda w: upper(trim(w))) as words from guesses) join puzzles using (puzzle_id)
         """,
     )
-    # the game is a fold over its attempts; checked against a plain loop in the tests
-    r.add("guess_evaluation", lambda t: J.guess_evaluation(t.guesses, t.puzzles))
     r.add(
         "exception_fields",
         lambda t: J.exception_fields(

@@ -183,7 +183,7 @@ class Chain:
             labels.append(step[labels[-1]])
         return labels[::-1]
 
-    def learn(self, pages: list[tuple[list[Block], list[int]]], passes: int, rate: float = 0.3, decay: float = 1e-4) -> None:
+    def learn(self, pages: list[tuple[list[Block], list[int]]], passes: int, rate: float = 0.6, decay: float = 1e-4) -> None:
         """Gradient steps on the likelihood, with a rate per weight."""
         seen: dict = {}
 
@@ -297,7 +297,7 @@ def _layout(rng: random.Random, title: str, paragraphs: list[str], others: list[
         leaf = rng.choice(["p"] * 8 + ["h2", "li", "blockquote", "pre", "div"])
         extra = (("ul", ()),) if leaf == "li" else ()
         body.append((Block(text, path + extra + ((leaf, ()),), rng.choice([0.0] * 5 + [0.2])), 1))
-        if rng.random() < 0.12:
+        if rng.random() < 0.2:
             body += part(rng.choice(["advert", "sidebar", "share", "notice", "form"]), path)
     if rng.random() < 0.35:
         body += part("share", path)
@@ -326,7 +326,7 @@ def labelled(pages: list[tuple[int, str]], variants: int) -> list[tuple[list[Blo
     return found
 
 
-def train(pages: DataFrame, sample: int = 150, variants: int = 8, passes: int = 6, id_col: str = "page_id", html_col: str = "html") -> Chain:
+def train(pages: DataFrame, sample: int = 250, variants: int = 8, passes: int = 6, id_col: str = "page_id", html_col: str = "html") -> Chain:
     rows = pages.select(F.xxhash64(id_col).alias("seed"), F.col(html_col).alias("page"))
     marked = rows.where(F.col("page").rlike("(?i)<(article|main)[\\s>]")).orderBy("seed", "page").limit(sample)
 

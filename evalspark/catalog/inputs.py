@@ -284,7 +284,7 @@ _define(
     """,
 )
 
-# Statement texts of the recorded query log, chosen by event_id % 16.
+# Statement texts of the recorded query log, chosen by event_id modulo their number.
 LOG_STATEMENTS = [
     "SELECT o.o_custkey, SUM(o.o_totalprice) AS total FROM shop.orders o JOIN shop.customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY o.o_custkey ORDER BY total DESC",
     "SELECT l.l_orderkey, l.l_quantity FROM shop.lineitem l JOIN shop.orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity > 30 AND o.o_orderstatus = 'F'",
@@ -302,6 +302,11 @@ LOG_STATEMENTS = [
     "SELECT t.x FROM other.main.things t WHERE t.x != t.y",
     "EXPLAIN ANALYZE SELECT o.o_orderkey FROM shop.orders o",
     "SELECT query_id FROM information_schema.query_history",
+    "WITH a AS (SELECT o.o_custkey, COUNT(*) AS n FROM shop.orders o GROUP BY o.o_custkey), b AS (SELECT c.c_custkey FROM shop.customer c WHERE c.c_name = 'it''s, (not) ours') SELECT a.n FROM a JOIN b ON a.o_custkey = b.c_custkey",
+    "SELECT SUM(COALESCE(l.l_tax, 0)) AS total_tax, ROUND(AVG(l.l_discount), 2) AS mean_discount FROM shop.lineitem l WHERE l.l_quantity = (SELECT MAX(m.l_quantity) FROM shop.lineitem m)",
+    "SELECT l.l_quantity * (1 - l.l_discount) AS net, CASE WHEN l.l_tax > 0.05 THEN 'high, very' ELSE 'low' END AS level FROM shop.lineitem l",
+    "SELECT p.p_name FROM shop.part p WHERE p.p_name = 'it''s' AND p.p_container IN ('a,b', 'c')",
+    "SELECT s.s_suppkey, s.s_acctbal - s.s_nationkey AS gap FROM shop.supplier s HAVING COUNT(*) >= 2",
 ]
 
 
@@ -323,7 +328,7 @@ _define(
         'user' || cast(user_id % 6 as string) as user_name,
         cast(ts as timestamp) as start_time,
         cast(floor(value) as bigint) as execution_ms
-    from (select *, {_statement_case(LOG_STATEMENTS, "event_id % 16")} as q from {{events}}) e
+    from (select *, {_statement_case(LOG_STATEMENTS, f"event_id % {len(LOG_STATEMENTS)}")} as q from {{events}}) e
     """,
 )
 

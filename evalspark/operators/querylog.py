@@ -1,8 +1,9 @@
 """Query-log mining with regular expressions over distinct statements.
 
 Statements are counted first, so a statement that makes up a third of the log is mined once and
-weighted by its frequency. The expressions cover plain SELECT statements with aliases, joins and
-common table expressions; correlated subqueries in the middle of a clause are not taken apart.
+weighted by its frequency. The expressions cover plain SELECT statements with aliases, joins,
+common table expressions, string literals and brackets nested up to ``DEPTH`` deep; correlated subqueries
+in the middle of a clause are not taken apart. Nothing is cut or left out for its length unless asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ CLAUSE_WORDS = [
     "where", "join", "on", "group", "order", "left", "right", "inner", "full", "cross", "limit", "having", "union",
     "set", "using", "natural", "values", "select", "as",
 ]
-# Weights of a column's uses and the limits of mined patterns.
+# Weights of a column's uses, and the limits that mined patterns may be given.
 IMPORTANCE = {"select": 1, "where": 2, "join": 3, "group_by": 2, "order_by": 1}
 IMPORTANCE_MINIMUM = 50
 MINIMUM_OCCURRENCES = 2
@@ -29,6 +30,25 @@ ALIASES = 3
 METRIC_CHARS, DERIVED_CHARS, CTE_CHARS = 100, 200, 500
 SAMPLES = 30
 
+DEPTH = 5
+_LITERAL = r"'[^']*(?:''[^']*)*'"
+
+
+def _nested(depth: int) -> str:
+    """Balanced brackets with literals inside."""
+    inner = f"(?:[^()']++|{_LITERAL})*+"
+    for _ in range(depth):
+        inner = rf"(?:[^()']++|{_LITERAL}|\({inner}\))*+"
+    return rf"\({inner}\)"
+
+
+_BRACKETS = _nested(DEPTH)
+# an item of a SELECT list: up to a comma outside of brackets and literals
+_ITEM = rf"((?:[^,;()']++|{_LITERAL}|{_BRACKETS})++)"
+_NAMED_ITEM = r"(?is)^(.*\S)\s+as\s+(\w+)$"
+_AGGREGATE_CALL = r"(?i)\b(sum|avg|count|min|max|stddev|variance)\s*\("
+_ARITHMETIC = r"[\w)]\s*[-+*/]\s*[\w(]"
+_CALL_OR_CASE = r"(?i)\w\s*\(|\bcase\s+when\b"
 _END = r"\)\s*select\b|$"
 _SEGMENTS = {
     "select": r"(?i)\bselect\s+(.*?)\s+from\s",
@@ -42,15 +62,14 @@ _REFERENCE = r"(?i)\b(?:from|join|update|into)\s+([\w.]+)(?:\s+(?:as\s+)?(\w+))?
 # set off before table references are read, so that a clause word is never taken for an alias
 _CLAUSE_START = r"(?i)\s(join|left|right|inner|full|cross|natural|on|where|group|order|limit|having|union|set|using|values)\b"
 _CTE_NAME = r"(?i)(\w+)\s+as\s*\(\s*select\b"
-_CTE_BODY = r"(?i)(\w+)\s+as\s*\(\s*(select.*?)\)\s*(?:select\b|,\s*\w+\s+as\s*\()"
+_CTE_BODY = rf"(?i)(\w+)\s+as\s*\(\s*(select\b(?:[^()']++|{_LITERAL}|{_BRACKETS})*+)\)"
 _COLUMN = r"\b([A-Za-z_]\w*)\.(\w+)"
 _COLUMN_PAIR = r"\b([A-Za-z_]\w*)\.(\w+)\s*(<=|>=|<>|!=|=|<|>)\s*([A-Za-z_]\w*)\.(\w+)"
 _PREDICATE = (
     r"(?i)\b([A-Za-z_]\w*)\.(\w+)\s*(<=|>=|<>|!=|=|<|>|\s(?:not\s+)?(?:like|ilike|in|between)\s|\sis\s+not\s|\sis\s)\s*"
-    r"('[^']*'|\([^)]*\)|-?[0-9]+(?:\.[0-9]+)?|null\b|true\b|false\b|current_date\b)"
+    + rf"({_LITERAL}|(?!\(\s*select\b){_BRACKETS}|-?[0-9]+(?:\.[0-9]+)?|null\b|true\b|false\b|current_date\b)"
 )
-_AGGREGATE = r"(?i)\b(sum|avg|count|min|max|stddev|variance)\s*\(([^()]*)\)(?:\s+as\s+(\w+))?"
-_DERIVED = r"(?i)(\w+\s*\([^()]*\)|[\w.]+(?:\s*[-+*/]\s*[\w.]+)+)\s+as\s+(\w+)"
+_FIRST_VALUE = rf"^\(\s*({_LITERAL}|[^,)]*[^,)\s])"
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -110,7 +129,7 @@ def log_dedupe_frequency(log: DataFrame) -> DataFrame:
 def _statements(log: DataFrame) -> DataFrame:
     """Distinct writings with frequency, resolved references and a text without literals."""
     counted = log_normalize(log).groupBy("cleaned").agg(F.count(F.lit(1)).alias("frequency"))
-    scan = F.regexp_replace("cleaned", "'[^']*'", "''")
+    scan = F.regexp_replace("cleaned", _LITERAL, "''")
     refs = F.transform(
         _zip(_set_off(F.col("scan")), _REFERENCE, ["full", "alias"]),
         lambda r: F.named_struct(
@@ -142,10 +161,14 @@ def extract_tables(log: DataFrame) -> DataFrame:
     return st.select("cleaned", "frequency", names.alias("tables"))
 
 
+def _segment_text(*clauses: str, text: str = "cleaned") -> Column:
+    parts = [_all(F.col(text), _SEGMENTS[c], 1) for c in clauses]
+    return F.array_join(F.concat(*parts) if len(parts) > 1 else parts[0], " ; ")
+
+
 def _segment(st: DataFrame, clauses: list[str]) -> Column:
     """The text of the given clauses, joined."""
-    parts = [_all(F.col("cleaned"), _SEGMENTS[c], 1) for c in clauses]
-    return F.array_join(F.concat(*parts) if len(parts) > 1 else parts[0], " ; ")
+    return _segment_text(*clauses)
 
 
 # ---------------------------------------------------------------- patterns
@@ -193,7 +216,7 @@ def mine_field_usage(log: DataFrame) -> DataFrame:
         *[F.struct(F.lit(c).alias("clause"), _segment(st, [c]).alias("text")) for c in IMPORTANCE]
     )
     texts = st.select("frequency", "refs", F.explode(clauses).alias("s"))
-    plain = F.regexp_replace("s.text", "'[^']*'", "''")
+    plain = F.regexp_replace("s.text", _LITERAL, "''")
     uses = texts.select("frequency", "refs", "s.clause", F.explode(_zip(plain, _COLUMN, ["a", "c"])).alias("m")).select(
         "frequency", "clause", _resolve(F.col("refs"), F.col("m.a")).alias("table"), F.lower("m.c").alias("column")
     )
@@ -224,48 +247,59 @@ def _anonymous(value: Column) -> Column:
     )
 
 
-def _predicates(log: DataFrame) -> DataFrame:
+def _predicates(log: DataFrame, example_chars: int | None) -> DataFrame:
     st = _statements(log)
     text = _segment(st, ["where", "having"])
     found = st.select("frequency", "refs", F.explode(_zip(text, _PREDICATE, ["a", "c", "op", "v"])).alias("m"))
     word = F.upper(collapse(F.col("m.op")))
     operator = F.when(word == "<>", "!=").when(word.isin("IS", "IS NOT"), F.concat(word, F.lit(" NULL"))).otherwise(word)
-    item = F.trim(F.split_part(F.regexp_replace("m.v", r"^\(|\)$", ""), F.lit(","), F.lit(1)))
+    item = F.regexp_extract("m.v", _FIRST_VALUE, 1)
     return found.select(
         "frequency",
         _resolve(F.col("refs"), F.col("m.a")).alias("table"),
         F.lower("m.c").alias("column"),
         operator.alias("operator"),
         _anonymous(F.when(F.col("m.v").startswith("("), item).otherwise(F.col("m.v"))).alias("value_pattern"),
-        F.substring("m.v", 1, 50).alias("example"),
+        (F.col("m.v") if example_chars is None else F.substring("m.v", 1, example_chars)).alias("example"),
     ).filter(F.col("table").isNotNull())
 
 
-def mine_predicates(log: DataFrame) -> DataFrame:
-    """Filters per column, operator and anonymised value, with up to five written values."""
+def mine_predicates(log: DataFrame, examples: int = EXAMPLES, example_chars: int | None = None) -> DataFrame:
+    """Filters per column, operator and anonymised value, with their most frequent written values."""
     keys = ["table", "column", "operator", "value_pattern"]
-    found = _predicates(log).groupBy(*keys, "example").agg(F.sum("frequency").alias("n"))
+    found = _predicates(log, example_chars).groupBy(*keys, "example").agg(F.sum("frequency").alias("n"))
     counts = found.groupBy(*keys).agg(F.sum("n").alias("occurrence_count"))
-    examples = top_n(found, keys, [F.desc("n"), F.col("example")], EXAMPLES).groupBy(*keys).agg(
+    written = top_n(found, keys, [F.desc("n"), F.col("example")], examples).groupBy(*keys).agg(
         F.array_sort(F.collect_list("example")).alias("example_values")
     )
-    return counts.join(examples, keys)
-
-
-def mine_metrics(log: DataFrame) -> DataFrame:
-    """Aggregate expressions in SELECT lists with their aliases and tables."""
-    st = _statements(log)
-    found = st.select(
-        "frequency", "refs", F.explode(_zip(_segment(st, ["select"]), _AGGREGATE, ["f", "arg", "alias"])).alias("m")
-    )
-    expression = F.concat(F.upper("m.f"), F.lit("("), collapse(F.col("m.arg")), F.lit(")"))
-    used = F.transform(_all(F.col("m.arg"), _COLUMN, 1), lambda a: _resolve(F.col("refs"), a))
-    rows = found.select(
-        "frequency",
-        expression.alias("expression"),
-        F.nullif(F.lower("m.alias"), F.lit("")).alias("alias"),
-        F.array_compact(used).alias("tables"),
-    ).filter(F.length("expression") <= METRIC_CHARS)
+    return counts.join(written, keys)
+
+
+def _items(lists: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The items of SELECT lists with their aliases: expression, alias (NULL without one), bare (no literals)."""
+    split = lists.select(*keep, F.explode(_all(text, _ITEM, 1)).alias("item")).select(*keep, F.trim("item").alias("item"))
+    name = F.lower(F.nullif(F.regexp_extract("item", _NAMED_ITEM, 2), F.lit("")))
+    split = split.select(*keep, F.when(name.isNull(), F.col("item")).otherwise(F.regexp_extract("item", _NAMED_ITEM, 1)).alias("e"), name.alias("alias"))
+    # a subquery is no computation of its own statement
+    plain = split.where(~F.col("e").rlike(r"(?i)^\(\s*select\b"))
+    return plain.withColumn("bare", F.regexp_replace("e", _LITERAL, "''"))
+
+
+def _written_alike(e: Column) -> Column:
+    """Aggregate names in capitals, whatever their writing."""
+    for name in ("sum", "avg", "count", "min", "max", "stddev", "variance"):
+        e = F.regexp_replace(e, rf"(?i)\b{name}\s*\(", f"{name.upper()}(")
+    return e
+
+
+def mine_metrics(log: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Items of SELECT lists that aggregate or compute, with their aliases and tables."""
+    found = _items(_statements(log).withColumn("lists", _segment_text("select")), F.col("lists"), "frequency", "refs")
+    found = found.where(F.col("bare").rlike(_AGGREGATE_CALL) | F.col("bare").rlike(_ARITHMETIC))
+    used = F.transform(_all(F.col("bare"), _COLUMN, 1), lambda a: _resolve(F.col("refs"), a))
+    rows = found.select("frequency", _written_alike(F.col("e")).alias("expression"), "alias", F.array_compact(used).alias("tables"))
+    if max_chars is not None:
+        rows = rows.filter(F.length("expression") <= max_chars)
     counts = rows.groupBy("expression").agg(
         F.sum("frequency").alias("occurrence_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tables")))).alias("tables"),
@@ -295,39 +329,39 @@ def _bodies(st: DataFrame) -> DataFrame:
     return st.select("frequency", "refs", F.explode(_zip(F.col("cleaned"), _CTE_BODY, ["name", "body"])).alias("m"))
 
 
-def mine_ctes(log: DataFrame) -> DataFrame:
-    """Common table expressions: definition, tables and whether they aggregate."""
-    body = F.col("m.body")
+def mine_ctes(log: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Common table expressions: definition (cut at ``max_chars`` if given, after counting), tables and
+    whether they aggregate."""
+    body = F.trim("m.body")
     tables = F.array_sort(
         F.array_distinct(F.transform(_all(_set_off(body), _REFERENCE, 1), lambda r: F.lower(F.element_at(F.split(r, r"\."), -1))))
     )
     grouped = body.rlike(r"(?i)\sgroup\s+by\s|\b(sum|avg|count|min|max)\s*\(")
-    cut = F.when(F.length(body) > CTE_CHARS, F.concat(F.substring(body, 1, CTE_CHARS), F.lit("..."))).otherwise(body)
-    return (
+    found = (
         _bodies(_statements(log))
-        .groupBy(F.lower("m.name").alias("cte_name"), cut.alias("definition"), tables.alias("tables"), grouped.alias("has_aggregation"))
+        .groupBy(F.lower("m.name").alias("cte_name"), body.alias("definition"), tables.alias("tables"), grouped.alias("has_aggregation"))
         .agg(F.sum("frequency").alias("occurrence_count"))
     )
+    if max_chars is None:
+        return found
+    is_long = F.length("definition") > max_chars
+    return found.withColumn("definition", F.when(is_long, F.concat(F.substring("definition", 1, max_chars), F.lit("..."))).otherwise(F.col("definition")))
 
 
-def mine_derived_columns(log: DataFrame) -> DataFrame:
+def mine_derived_columns(log: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Named computations in SELECT lists: expression, tables and where they were seen."""
     st = _statements(log)
-    inner = _bodies(st).select("frequency", "refs", F.lit("CTE").alias("context"), F.col("m.body").alias("text"))
+    inner = _bodies(st).select("frequency", "refs", F.lit("CTE").alias("context"), F.concat(F.col("m.body"), F.lit(" ")).alias("text"))
     outer = st.select(
-        "frequency",
-        "refs",
-        F.lit("SELECT").alias("context"),
-        F.regexp_replace("cleaned", r"(?i)as\s*\(\s*select.*?\)\s*select\b", "as () select").alias("text"),
+        "frequency", "refs", F.lit("SELECT").alias("context"), F.regexp_replace("cleaned", _CTE_BODY, "$1 as ()").alias("text")
     )
-    lists = inner.unionByName(outer).select(
-        "frequency", "refs", "context", F.array_join(_all(F.col("text"), _SEGMENTS["select"], 1), " ; ").alias("items")
-    )
-    found = lists.select("frequency", "refs", "context", F.explode(_zip(F.col("items"), _DERIVED, ["e", "alias"])).alias("m"))
-    used = F.transform(_all(F.col("m.e"), _COLUMN, 1), lambda a: _resolve(F.col("refs"), a))
-    rows = found.select(
-        "frequency", "context", F.lower("m.alias").alias("alias"), F.col("m.e").alias("expression"), F.array_compact(used).alias("tables")
-    ).filter(F.length("expression") <= DERIVED_CHARS)
+    lists = inner.unionByName(outer).withColumn("lists", _segment_text("select", text="text"))
+    found = _items(lists, F.col("lists"), "frequency", "refs", "context").where("alias is not null")
+    found = found.where(F.col("bare").rlike(_ARITHMETIC) | F.col("bare").rlike(_CALL_OR_CASE))
+    used = F.transform(_all(F.col("bare"), _COLUMN, 1), lambda a: _resolve(F.col("refs"), a))
+    rows = found.select("frequency", "context", "alias", _written_alike(F.col("e")).alias("expression"), F.array_compact(used).alias("tables"))
+    if max_chars is not None:
+        rows = rows.filter(F.length("expression") <= max_chars)
     return rows.groupBy("alias", "expression").agg(
         F.sum("frequency").alias("occurrence_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tables")))).alias("tables"),
@@ -450,10 +484,10 @@ def sql_pattern_diff(pairs: DataFrame) -> DataFrame:
 
 # Words a statement may start with, and words it may not contain, to be read-only.
 READ_STARTS = ["with", "select", "from", "values", "table", "show", "describe", "desc", "summarize"]
-WRITE_WORDS = (
-    "insert update delete drop create alter attach detach copy install load set reset call pragma truncate merge "
-    "upsert grant revoke vacuum checkpoint begin start commit rollback export import use"
-).split()
+WRITE_WORDS = [
+    "insert", "update", "delete", "drop", "create", "alter", "attach", "detach", "copy", "install", "load", "set", "reset", "call", "pragma", "truncate",
+    "merge", "upsert", "grant", "revoke", "vacuum", "checkpoint", "begin", "start", "commit", "rollback", "export", "import", "use",
+]
 
 
 def read_only(statement: Column) -> Column:

@@ -61,6 +61,51 @@ def test_ctes_and_derived(spark):
     assert derived == {"total": ("SUM(o.v)", ["CTE"]), "twice": ("s.total * 2", ["SELECT"])}
 
 
+def test_nested_expressions(spark):
+    df = log(
+        spark,
+        "SELECT o.quantity * o.price as total FROM orders o",
+        "SELECT sum(COALESCE(o.x, 0)) AS s, ROUND(AVG(o.y), 2) AS m, CASE WHEN o.z > 1 THEN 'a, b' ELSE 'c' END AS lvl FROM orders o",
+        "SELECT unit_price * quantity * (1 - discount) as line_total FROM order_details",
+        "SELECT u.name, u.id FROM users u",
+        "BAD SQL",
+    )
+    metrics = {r["expression"]: (r["aliases"], r["tables"]) for r in Q.mine_metrics(df).collect()}
+    assert metrics == {
+        "o.quantity * o.price": (["total"], ["orders"]), "SUM(COALESCE(o.x, 0))": (["s"], ["orders"]), "ROUND(AVG(o.y), 2)": (["m"], ["orders"]),
+        "unit_price * quantity * (1 - discount)": (["line_total"], []),
+    }
+    derived = {r["alias"]: r["expression"] for r in Q.mine_derived_columns(df).collect()}
+    assert derived == {
+        "total": "o.quantity * o.price", "s": "SUM(COALESCE(o.x, 0))", "m": "ROUND(AVG(o.y), 2)", "lvl": "CASE WHEN o.z > 1 THEN 'a, b' ELSE 'c' END",
+        "line_total": "unit_price * quantity * (1 - discount)",
+    }
+    long = log(spark, "SELECT SUM(" + " + ".join(f"o.c{i}" for i in range(300)) + ") AS s FROM orders o")
+    assert Q.mine_metrics(long).count() == 1 and Q.mine_metrics(long, max_chars=100).count() == 0
+
+
+def test_every_cte(spark):
+    df = log(
+        spark,
+        "WITH a AS (SELECT x.k FROM x), b AS (SELECT COUNT(y.v) AS n FROM y WHERE y.t = ')') SELECT * FROM a JOIN b ON a.k = b.n",
+        "WITH customers_filtered AS (SELECT * FROM customers WHERE active = true), orders_recent AS (SELECT * FROM orders WHERE order_date > '2024-01-01') SELECT * FROM customers_filtered c",
+        "NOT VALID SQL",
+    )
+    got = {r["cte_name"]: (r["definition"], r["tables"], r["has_aggregation"]) for r in Q.mine_ctes(df).collect()}
+    assert got == {
+        "a": ("SELECT x.k FROM x", ["x"], False), "b": ("SELECT COUNT(y.v) AS n FROM y WHERE y.t = ')'", ["y"], True),
+        "customers_filtered": ("SELECT * FROM customers WHERE active = true", ["customers"], False),
+        "orders_recent": ("SELECT * FROM orders WHERE order_date > '2024-01-01'", ["orders"], False),
+    }
+    assert {r["definition"] for r in Q.mine_ctes(df, max_chars=6).collect()} == {"SELECT..."}
+
+
+def test_quoted_predicates(spark):
+    df = log(spark, "SELECT 1 FROM orders o WHERE o.s = 'it''s' AND o.k = (SELECT MAX(i.k) FROM items i) AND o.g IN ('a,b', 'c')")
+    got = {(r["column"], r["operator"], r["value_pattern"]): r["example_values"] for r in Q.mine_predicates(df).collect()}
+    assert got == {("s", "=", "'it''s'"): ["'it''s'"], ("g", "IN", "'a,b'"): ["('a,b', 'c')"]}
+
+
 def greedy(queries):
     """Frequency-first walk that keeps whatever adds something new."""
     seen, kept = set(), []

@@ -559,23 +559,27 @@ _define(
 _DIALECT["@q@table@q@"] = ("`table`", '"table"')
 _DIALECT["@q@column@q@"] = ("`column`", '"column"')
 
-# messages of recorded conversations in two dialects; texts are replaced by their hash
+# a text as a JSON string
+_DIALECT["@json("] = ("regexp_extract(to_json(named_struct('v', ", "cast(to_json(")
+_DIALECT[")json@"] = (")), '(?s)^.....(.*).$', 1)", ") as varchar)")
+
+# messages of recorded conversations in two dialects
 _define(
     "trace_messages",
     "conversations",
     """
     select conv_id as trace_id, turn as seq, case when conv_id % 2 = 0 then
-            case when role = 'assistant' then '{{"role":"assistant","thinking":"' || case when turn % 3 = 1 then 'hm ' || md5(text) else '' end || '","content":"'
-                    || case when turn % 4 = 3 then 'FINAL_SQL: ' else '' end || md5(text) || '","tool_calls":[' || case when turn % 4 = 1 then
+            case when role = 'assistant' then '{{"role":"assistant","thinking":' || @json(case when turn % 3 = 1 then 'hm ' || body else '' end)json@ || ',"content":'
+                    || @json(case when turn % 4 = 3 then 'FINAL_SQL: ' else '' end || body)json@ || ',"tool_calls":[' || case when turn % 4 = 1 then
                     '{{"id":"c' || cast(turn as string) || '","function":{{"name":"run_sql","arguments":"{{}}"}}}},{{"id":"d' || cast(turn as string) || '","name":"look","arguments":"{{}}"}}' else '' end || ']}}'
-                when role = 'user' and turn % 4 = 2 then '{{"role":"tool","tool_call_id":"' || case when conv_id % 4 = 0 then 'c' || cast(turn - 1 as string) else '' end || '","result":"' || md5(text) || '"}}'
-                else '{{"role":"' || role || '","content":[{{"type":"text","text":"' || md5(text) || '"}}]}}' end
+                when role = 'user' and turn % 4 = 2 then '{{"role":"tool","tool_call_id":"' || case when conv_id % 4 = 0 then 'c' || cast(turn - 1 as string) else '' end || '","result":' || @json(body)json@ || '}}'
+                else '{{"role":"' || role || '","content":[{{"type":"text","text":' || @json(body)json@ || '}}]}}' end
         else case when role = 'assistant' then case turn % 4 when 1 then '{{"type":"function_call","call_id":"f' || cast(turn as string) || '","name":"query","arguments":"{{}}"}}'
-                else '{{"type":"message","role":"assistant","content":"' || md5(text) || '"}}' end
-            when role = 'user' and turn % 4 = 2 then '{{"type":"function_call_output","call_id":"f' || cast(turn - 1 as string) || '","output":"' || md5(text) || '"}}'
-            else '{{"role":"' || role || '","content":"' || md5(text) || '"}}' end
+                else '{{"type":"message","role":"assistant","content":' || @json(body)json@ || '}}' end
+            when role = 'user' and turn % 4 = 2 then '{{"type":"function_call_output","call_id":"f' || cast(turn - 1 as string) || '","output":' || @json(body)json@ || '}}'
+            else '{{"role":"' || role || '","content":' || @json(body)json@ || '}}' end
         end as message
-    from {conversations}
+    from (select *, coalesce(text, '') as body from {conversations}) c
     """,
 )
 _define(
@@ -584,13 +588,13 @@ _define(
     """
     select conv_id, turn, case when turn % 3 = 0 then '<thinking>A, b</thinking> <guess>' || role || ', w2 ,W3, w4</guess><confidence> high </confidence>'
         when turn % 3 = 1 then 'I say ' || upper(role) || ', TWO, THREE, FOUR' else role || ',x' end as response,
-        '**Question:** what is ' || role || '? **Hints:** see ' || md5(text) || case when turn % 2 = 0 then '
+        '**Question:** what is ' || role || '? **Hints:** see ' || coalesce(text, '') || case when turn % 2 = 0 then '
 
 Hints define things' else '' end as prompt,
         case when turn % 2 = 0 then 'FINAL_SQL:
 ```sql
 select ' || cast(turn as string) || '
-```' else md5(text) end as answer,
+```' else text end as answer,
         case turn % 3 when 0 then 'x ```json {{"verdict":"GOLD_CORRECT","confidence":"HIGH","reasoning":"' || role || '","recommendation":"KEEP_GOLD"}} ``` y'
             when 1 then 'see {{"verdict":"BOTH_WRONG","confidence":"LOW","reasoning":"r","recommendation":"NEEDS_REVIEW","more":{{"a":1}}}} end' else 'no json' end as judgement
     from {conversations}

@@ -10,17 +10,17 @@ from evalspark.operators import text as J
 # the steps written out from the conversations, without reading the messages
 _STEPS = """
 select conv_id as trace_id, turn as seq, cast(part as integer) as part, kind, txt as text, call_id, name from (
-    select conv_id, turn, 1 as part, role as kind, md5(text) as txt, null as call_id, null as name from conversations where role <> 'assistant' and not (role = 'user' and turn % 4 = 2)
-    union all select conv_id, turn, 9, 'tool_result', md5(text), case when conv_id % 2 = 1 then 'f' || (turn - 1) when conv_id % 4 = 0 then 'c' || (turn - 1) else '' end, 'unknown'
+    select conv_id, turn, 1 as part, role as kind, coalesce(text, '') as txt, null as call_id, null as name from conversations where role <> 'assistant' and not (role = 'user' and turn % 4 = 2)
+    union all select conv_id, turn, 9, 'tool_result', coalesce(text, ''), case when conv_id % 2 = 1 then 'f' || (turn - 1) when conv_id % 4 = 0 then 'c' || (turn - 1) else '' end, 'unknown'
         from conversations where role = 'user' and turn % 4 = 2
-    union all select conv_id, turn, 0, 'thinking', 'hm ' || md5(text), null, null from conversations where role = 'assistant' and conv_id % 2 = 0 and turn % 3 = 1
-    union all select conv_id, turn, 1, case when turn % 4 = 3 then 'final' else 'thinking' end, case when turn % 4 = 3 then 'FINAL_SQL: ' else '' end || md5(text), null, null
+    union all select conv_id, turn, 0, 'thinking', 'hm ' || coalesce(text, ''), null, null from conversations where role = 'assistant' and conv_id % 2 = 0 and turn % 3 = 1
+    union all select conv_id, turn, 1, case when turn % 4 = 3 then 'final' else 'thinking' end, case when turn % 4 = 3 then 'FINAL_SQL: ' else '' end || coalesce(text, ''), null, null
         from conversations where role = 'assistant' and conv_id % 2 = 0
     union all select conv_id, turn, 2, 'tool_call', null, 'c' || turn, 'run_sql' from conversations where role = 'assistant' and conv_id % 2 = 0 and turn % 4 = 1
     union all select conv_id, turn, 3, 'tool_call', null, 'd' || turn, 'look' from conversations where role = 'assistant' and conv_id % 2 = 0 and turn % 4 = 1
     union all select conv_id, turn, 2, 'tool_call', null, 'f' || turn, 'query' from conversations where role = 'assistant' and conv_id % 2 = 1 and turn % 4 = 1
         and conv_id in (select conv_id from conversations where role = 'assistant' and conv_id % 2 = 1)
-    union all select conv_id, turn, 1, 'thinking', md5(text), null, null from conversations where role = 'assistant' and conv_id % 2 = 1 and turn % 4 <> 1)
+    union all select conv_id, turn, 1, 'thinking', coalesce(text, ''), null, null from conversations where role = 'assistant' and conv_id % 2 = 1 and turn % 4 <> 1)
 """
 
 
@@ -65,7 +65,7 @@ def register(r: Registry) -> None:
             "trace_id", "seq", J.content_text(F.get_json_object("message", "$.content")).alias("content")
         ),
         "select conv_id as trace_id, turn as seq, case when role = 'user' and turn % 4 = 2 then '' when role = 'assistant' and conv_id % 2 = 1 and turn % 4 = 1 then '' "
-        "else case when role = 'assistant' and conv_id % 2 = 0 and turn % 4 = 3 then 'FINAL_SQL: ' else '' end || md5(text) end as content from conversations",
+        "else case when role = 'assistant' and conv_id % 2 = 0 and turn % 4 = 3 then 'FINAL_SQL: ' else '' end || coalesce(text, '') end as content from conversations",
     )
     r.add(
         "extract_tagged",
@@ -81,7 +81,7 @@ def register(r: Registry) -> None:
     r.add(
         "extract_question_parts",
         lambda t: J.extract_question_parts(t.responses, "prompt", "answer").select("conv_id", "turn", "question", "evidence", "final_sql"),
-        "select conv_id, turn, regexp_extract(prompt, '\\*\\*Question:\\*\\* (.*?) \\*\\*Hints', 1) as question, regexp_extract(prompt, 'see [0-9a-f]+') as evidence, "
+        "select conv_id, turn, regexp_extract(prompt, '\\*\\*Question:\\*\\* (.*?) \\*\\*Hints', 1) as question, regexp_replace(regexp_extract(prompt, '(?s)\\*\\*Hints:\\*\\* (.*?)(?:\n\nHints define things)?$', 1), '^\\s+|\\s+$', '', 'g') as evidence, "
         "case when turn % 2 = 0 then 'select ' || turn end as final_sql from responses",
     )
     r.add(

@@ -117,6 +117,13 @@ def register(r: Registry) -> None:
     r.add(
         "replay",
         lambda t: H.replay(t.exchanges, _completed(t)),
+        replay,
+        doubles="cost",
+        extra=_P,
+    )
+    r.add(
+        "replay_last_runs",
+        lambda t: H.replay(t.exchanges, _completed(t), last_runs=3),
         replay + " where e.run_id in (select run_id from completed order by run_id desc limit 3)",
         doubles="cost",
         extra=_P,
@@ -339,7 +346,8 @@ def register(r: Registry) -> None:
                 "run_id",
                 "event_time",
                 F.when(F.col("config") == "full", "").otherwise(F.col("config")).alias("config"),
-                F.concat(F.lit("my_bench_b_"), F.col("db_id")).alias("database"),
+                F.when(F.col("event_id").cast("long") % 2 == 0, F.concat(F.lit("my_bench_b_"), F.col("db_id"))).alias("database"),
+                F.when(F.col("event_id").cast("long") % 2 == 1, F.concat(F.lit("x-bench_b-"), F.col("event_id"))).alias("exchange_id"),
             )
         ),
         "select run_id, min(event_time) as first_time, min(case when config = 'full' then 'B' else upper(config[1]) end) as config_label from eval_raw group by 1",

@@ -48,7 +48,7 @@ def register(r: Registry) -> None:
         "error_types",
         lambda t: I.error_types(t.eval_results),
         """
-        select error_type, n, cast(sample as integer) as sample, question_id, substr(error, 1, 100) as preview from (
+        select error_type, n, cast(sample as integer) as sample, question_id, replace(error, chr(10), ' ') as preview from (
             select *, count(*) over (partition by error_type) as n, row_number() over (partition by error_type order by event_id) as sample from (
                 select *, case when contains(error, 'Binder Error') then 'Binder Error' when contains(error, 'Catalog Error') then 'Catalog Error'
                     when contains(error, 'Parser Error') then 'Parser Error' when contains(lower(error), 'timeout') then 'Timeout' else 'Other' end as error_type

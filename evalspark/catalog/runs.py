@@ -100,7 +100,7 @@ def register(r: Registry) -> None:
         lambda t: C.matrix_volatility(_transitions(t)),
         """
         select question_id, count(kind) as flips from trans group by 1
-        order by 2 desc, case when regexp_matches(question_id, '^[0-9]+$') then cast(question_id as bigint) end nulls last, 1 limit 100
+        order by 2 desc, case when regexp_matches(question_id, '^[0-9]+$') then cast(question_id as bigint) end nulls last, 1
         """,
         extra=_M,
     )

@@ -135,7 +135,7 @@ def register(r: Registry) -> None:
             )
         ),
         "select doc_id, 'HTTPError' as error_type, source as error_message, cast(n_chars as integer) as status_code, lang as request_id, "
-        "case when length(c) > 1000 then substr(c, 1, 997) || '...' when length(c) > 0 then c end as body_excerpt from (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as c from documents)",
+        "nullif(c, '') as body_excerpt from (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as c from documents)",
     )
     r.add(
         "short_name",

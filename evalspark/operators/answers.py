@@ -36,7 +36,9 @@ def fixed_decimals(value: Column, places: Column) -> Column:
     out = F.when(places == 0, chain)
     for k in range(1, 13):
         out = out.when(places == k, F.format_string(f"%.{k}f", F.bround(value, k)))
-    return out.otherwise(value.cast("string"))
+    # beyond, all digits of the shortest writing are there and zeros follow
+    longer = F.call_function("format_string", F.concat(F.lit("%."), places.cast("string"), F.lit("f")), value)
+    return out.otherwise(F.when(places > 12, longer).otherwise(value.cast("string")))
 
 
 # ---------------------------------------------------------------- rows to an answer

@@ -164,7 +164,7 @@ def cost_by_run(exchanges: DataFrame) -> DataFrame:
     )
 
 
-def replay(exchanges: DataFrame, completed: DataFrame, last_runs: int | None = 3, page: int | None = None) -> DataFrame:
+def replay(exchanges: DataFrame, completed: DataFrame, last_runs: int | None = None, page: int | None = None) -> DataFrame:
     """Ordered attempts of the last runs with the outcome of their puzzle."""
     runs = completed.select("run_id").distinct()
     if last_runs is not None:
@@ -550,8 +550,8 @@ def attach_investigations(results: DataFrame, investigations: DataFrame, judgeme
 
 
 def run_start_times(results: DataFrame) -> DataFrame:
-    """Earliest event per run and the configuration letter, from the column or the database name."""
-    database = F.lower("database")
+    """Earliest event per run and the configuration letter, from the column, or the database name or exchange id."""
+    database = F.lower(F.concat_ws(" ", *[c for c in ("exchange_id", "database") if c in results.columns]))
     letter = (
         F.when(F.length("config") > 0, F.upper(F.substring("config", 1, 1)))
         .when(database.contains("bench_a"), "A")

@@ -70,11 +70,12 @@ def error_type(message: Column) -> Column:
     )
 
 
-def error_types(results: DataFrame, samples: int = 2) -> DataFrame:
-    """Errors by type with their number and the first sample messages."""
+def error_types(results: DataFrame, samples: int = 2, preview_chars: int | None = None) -> DataFrame:
+    """Errors by type with their number and the first sample messages, cut to ``preview_chars`` if given."""
     errors = results.filter(outcome_bucket() == "error").withColumn("error_type", error_type(F.col("error")))
     counts = errors.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
-    preview = F.replace(F.substring("error", 1, 100), F.lit("\n"), F.lit(" "))
+    shown = F.col("error") if preview_chars is None else F.substring("error", 1, preview_chars)
+    preview = F.replace(shown, F.lit("\n"), F.lit(" "))
     first = top_n(
         errors.select("error_type", "question_id", "event_id", preview.alias("preview")),
         ["error_type"],

@@ -145,8 +145,8 @@ def matrix_transitions(matrix: DataFrame, runs: DataFrame, chunk_seconds: int =
     return chained.select("run_id", "question_id", "is_correct", "prev", kind.alias("kind"))
 
 
-def matrix_volatility(transitions: DataFrame, cap: int | None = 100) -> DataFrame:
-    """Flips per question, most first, then numeric question ids before text ids."""
+def matrix_volatility(transitions: DataFrame, cap: int | None = None) -> DataFrame:
+    """Flips per question, most first, then numeric question ids before text ids; the first ``cap`` if given."""
     flips = transitions.groupBy("question_id").agg(F.count("kind").alias("flips"))
     number = F.when(F.col("question_id").rlike("^[0-9]+$"), F.col("question_id").try_cast("decimal(38,0)"))
     ordered = flips.orderBy(F.desc("flips"), number.asc_nulls_last(), F.col("question_id"))

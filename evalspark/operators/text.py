@@ -173,7 +173,11 @@ def pair_tool_calls(steps: DataFrame) -> DataFrame:
         .unionByName(split.withColumn("r", none.cast(in_order.schema["r"].dataType)))
         .unionByName(split.withColumn("c", none.cast(in_order.schema["c"].dataType)))
     )
-    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.col("c.place") + 1, F.lit(1))
+    # a to z, then aa, ab and so on
+    place, small = F.col("c.place"), F.lit("abcdefghijklmnopqrstuvwxyz")
+    round_of = F.floor(place / 26).cast("int")
+    ahead = F.when(round_of > 26, round_of.cast("string")).when(round_of > 0, F.substring(small, round_of, F.lit(1))).otherwise("")
+    letter = F.concat(ahead, F.substring(small, place % 26 + 1, F.lit(1)))
     label = F.concat(F.col("c.response_no").cast("string"), F.when(F.col("c.total") > 1, letter).otherwise(""))
     return pairs.select(
         "trace_id",
@@ -239,8 +243,9 @@ def extract_question_parts(df: DataFrame, prompt: str, answer: str) -> DataFrame
 VERDICT_SCHEMA = "verdict string, confidence string, reasoning string, recommendation string"
 
 
-def extract_json_block(df: DataFrame, response: str) -> DataFrame:
-    """Verdict record from the fenced or first braced JSON of a response, else a fallback record."""
+def extract_json_block(df: DataFrame, response: str, shown_chars: int | None = None) -> DataFrame:
+    """Verdict record from the fenced or first braced JSON of a response, else a fallback record with the
+    response, cut to ``shown_chars`` if given."""
     text = F.col(response)
     fenced = F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)
     braced = F.regexp_extract(text, r"(?s)\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}", 0)
@@ -252,20 +257,22 @@ def extract_json_block(df: DataFrame, response: str) -> DataFrame:
     fallback = F.struct(
         F.lit("UNCLEAR").alias("verdict"),
         F.lit("LOW").alias("confidence"),
-        F.concat(F.lit("Failed to parse response: "), F.substring(text, 1, 500)).alias("reasoning"),
+        F.concat(F.lit("Failed to parse response: "), text if shown_chars is None else F.substring(text, 1, shown_chars)).alias("reasoning"),
         F.lit("NEEDS_REVIEW").alias("recommendation"),
     )
     staged = df.withColumn("_block", F.coalesce(parsed(fenced), parsed(braced), fallback))
     return staged.select(*df.columns, "_block.*")
 
 
-def exception_fields(df: DataFrame, limit: int = 1000) -> DataFrame:
-    """Typed error columns; the body excerpt has single spaces and at most ``limit`` characters.
+def exception_fields(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Typed error columns; the body excerpt has single spaces and, if given, at most ``limit`` characters.
 
     Input columns: error_type, error_message, status_code, request_id, fallback_id, body.
     """
     clean = F.trim(F.regexp_replace("body", r"\s+", " "))
-    cut = F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit - 3), F.lit("..."))).otherwise(clean)
+    cut = clean
+    if limit is not None:
+        cut = F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit - 3), F.lit("..."))).otherwise(clean)
     return df.withColumns(
         {
             "status_code": F.col("status_code").cast("int"),

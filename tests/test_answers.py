@@ -90,3 +90,8 @@ def test_score_answer(spark, row, want):
     df = spark.createDataFrame([row], "answer string, gold string, has_sql boolean, failed boolean, hit_limit boolean")
     r = A.score_answer(df).collect()[0]
     assert (r["correctness"], r["score"], r["reason"]) == want
+
+
+def test_many_decimals(spark):
+    df = spark.createDataFrame([(0.00001234, 14), (1.5, 13), (2.345, 2), (1e-5, 5)], "v double, p int")
+    assert [r[0] for r in df.select(A.fixed_decimals(F.col("v"), F.col("p"))).collect()] == ["0.00001234000000", "1.5000000000000", "2.34", "0.00001"]

@@ -27,6 +27,13 @@ def steps(spark, *messages):
 CALL = '{"role":"assistant","content":null,"tool_calls":[%s]}'
 
 
+def test_more_calls_than_letters(spark):
+    calls = ",".join('{"id":"i%d","name":"q%d"}' % (i, i) for i in range(60))
+    labels = {r["name"]: r["label"] for r in J.pair_tool_calls(steps(spark, CALL % calls)).collect()}
+    assert len(set(labels.values())) == 60
+    assert [labels[f"q{i}"][1:] for i in (0, 25, 26, 51, 52)] == ["a", "z", "aa", "az", "ba"]
+
+
 def test_first_open_call_and_unanswered(spark):
     st = steps(
         spark,

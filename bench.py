@@ -13,7 +13,7 @@ import sys
 import time
 
 from evalspark import catalog
-from evalspark.session import local_session
+from evalspark.session import clear_scratch, local_session
 
 HEADLINE = [
     "total_fees",
@@ -50,6 +50,7 @@ def main() -> int:
         start = time.perf_counter()
         registry.run(name, spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
     result = {
         "metric": "total_query_seconds",
         "value": round(sum(timings.values()), 3),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.plans.keyed import join_null_safe, pick_per_key
-from evalspark.session import broadcast_if_small, materialize
+from evalspark.session import materialize
 
 # Bucket bounds (exclusive upper bounds) and their labels.
 VOLUME_BOUNDS = [(100000, "<100k"), (1000000, "100k-1m"), (5000000, "1m-5m")]
@@ -142,10 +142,10 @@ def wildcard_rule_join(
 
     A direct ``equal or NULL`` condition has no hash key, so Spark would compare every fact
     with every rule. Each rule has a wildcard mask over ``key_dims``; a fact is expanded into
-    one probe per mask (``2 ** len(key_dims)``, a constant) and meets rules through an equi
-    join. The full condition is checked again on the candidates, so the result is exact. A rule
-    set of checked size is broadcast, so facts are not shuffled; a larger one is hash joined.
-    Rule columns come out with the prefix ``rule_``.
+    one probe per mask that some rule has (``2 ** len(key_dims)`` at most) and meets rules through an
+    equi join. The full condition is checked again on the candidates, so the result is exact.
+    Spark broadcasts the rules while their size allows it and sorts otherwise, splitting hot keys such as
+    the one of rules without any key dimension. Rule columns come out with the prefix ``rule_``.
     """
     keys = [d for d in KEY_DIMS if d in dims] if key_dims is None else key_dims
     keys = keys or dims[:4]
@@ -154,12 +154,11 @@ def wildcard_rule_join(
         lambda a, b: a.bitwiseOR(b),
         [F.when(F.col(f"rule_{d}").isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, d in enumerate(keys)],
     )
-    right = broadcast_if_small(
-        prefixed.withColumn("_rmask", mask).withColumn(
-            "_rkey", _mask_key([F.col(f"rule_{d}") for d in keys], F.col("_rmask"))
-        )
+    right = prefixed.withColumn("_rmask", mask).withColumn(
+        "_rkey", _mask_key([F.col(f"rule_{d}") for d in keys], F.col("_rmask"))
     )
-    masks = F.array(*[F.lit(m) for m in range(1 << len(keys))])
+    # the masks that some rule has, at most 2 ** len(keys)
+    masks = right.agg(F.array_sort(F.collect_set("_rmask")).alias("m")).scalar()
     left = facts.withColumn("_mask", F.explode(masks)).withColumn(
         "_key", _mask_key([F.col(d).cast(rules.schema[d].dataType) for d in keys], F.col("_mask"))
     )
@@ -169,15 +168,6 @@ def wildcard_rule_join(
     return left.join(right, cond, "inner").drop("_mask", "_key", "_rmask", "_rkey")
 
 
-def wildcard_rule_join_pairwise(facts: DataFrame, rules: DataFrame, dims: list[str] = RULE_DIMS) -> DataFrame:
-    """The same pairs by the plain condition; for tiny rule sets and as a check in tests."""
-    prefixed = rules.select(*[F.col(c).alias(f"rule_{c}") for c in rules.columns])
-    cond = F.lit(True)
-    for d in dims:
-        cond = cond & (F.col(f"rule_{d}").isNull() | (F.col(f"rule_{d}") == F.col(d)))
-    return facts.join(prefixed, cond, "inner")
-
-
 def explode_rules(rules: DataFrame, list_dims: list[str]) -> DataFrame:
     """List form to scalar-or-NULL form: one row per combination of listed values.
 

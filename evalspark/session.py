@@ -46,31 +46,33 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return session
 
 
-_LOCAL_DIRS: dict[str, str] = {}
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder in spark.checkpoint.dir; where it is unset, a local master sets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="evalspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a temporary one only on a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_DIRS:
-            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="evalspark-")
-        return _LOCAL_DIRS[app]
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+_MADE: list[str] = []
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, not yet existing path below the shared folder; ``clear_scratch`` removes it."""
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a narrow table of at most ``max_rows`` rows; a larger one is left to a shuffle join."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df.hint("shuffle_hash")
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediates of this driver. Results that still read them must have been written or collected."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -31,7 +31,8 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.frames import map_batches, scratch, written
+from evalspark.llm.frames import map_batches, written
+from evalspark.session import fresh_dir
 
 ARCHIVE_BYTES, RANGE_BYTES = 16_000_000, 4_000_000
 LEAST_REVISIT = 1000
@@ -162,7 +163,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of equal payloads of at least LEAST_REVISIT bytes the one with the largest id is the response and the others
     revisit it; rows that share the largest id are responses all.
     """
-    folder = scratch(pages.sparkSession, "archives")
+    folder = fresh_dir(pages.sparkSession, "archives")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))

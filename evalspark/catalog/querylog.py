@@ -147,15 +147,24 @@ _WRITE = "|".join(Q.WRITE_WORDS)
 _LOWER = {"l": "select lower(gold_sql) as g, lower(pred_sql) as p from sql_pairs"}
 
 
-def _diff_sql() -> str:
-    parts = []
-    for name, in_gold, in_pred, not_in_pred in Q._DIFF_RULES:
-        conds = ["(" + " or ".join(f"contains(g, '{w}')" for w in x.split("|")) + ")" for x in in_gold]
-        conds += [f"contains(p, '{w}')" for w in in_pred] + [f"not contains(p, '{w}')" for w in not_in_pred]
-        if name == "extra_group_by":
-            conds.append("not contains(g, 'group by')")
-        parts.append(f"select '{name}' as pattern, count(*) as n from l where {' and '.join(conds)}")
-    return f"select * from ({' union all '.join(parts)}) where n > 0"
+_DIFF_SQL = """
+select pattern, count(*) as n from (select unnest([
+        case when g like '%group by%' and p not like '%group by%' then 'missing_group_by' end,
+        case when g not like '%group by%' and p like '%group by%' then 'extra_group_by' end,
+        case when g like '%order by%' and p not like '%order by%' then 'missing_order_by' end,
+        case when g like '%limit 1%' and p not like '%limit 1%' then 'missing_limit' end,
+        case when g like '%distinct%' and p not like '%distinct%' then 'missing_distinct' end,
+        case when g like '%having%' and p not like '%having%' then 'missing_having' end,
+        case when g like '%sum(%' and p like '%count(%' then 'sum_vs_count' end,
+        case when g like '%count(%' and p like '%sum(%' then 'count_vs_sum' end,
+        case when g like '%avg(%' and p not like '%avg(%' then 'missing_avg' end,
+        case when g like '%case when%' and p not like '%case when%' then 'missing_case_when' end,
+        case when g like '%iif(%' and p not like '%iif(%' and p not like '%case%' then 'missing_conditional_agg' end,
+        case when regexp_matches(g, 'strftime|substr') and not regexp_matches(p, 'strftime|substr') then 'missing_date_extraction' end,
+        case when g like '%inner join%' and p like '%left join%' then 'inner_vs_left_join' end,
+        case when g like '%left join%' and p like '%inner join%' then 'left_vs_inner_join' end]) as pattern
+    from l) where pattern is not null group by 1
+"""
 
 
 def register(r: Registry) -> None:
@@ -260,7 +269,7 @@ def register(r: Registry) -> None:
         """,
         extra={**_BASE, "sig": _SIG},
     )
-    r.add("sql_pattern_diff", lambda t: Q.sql_pattern_diff(t.sql_pairs), _diff_sql(), extra=_LOWER)
+    r.add("sql_pattern_diff", lambda t: Q.sql_pattern_diff(t.sql_pairs), _DIFF_SQL, extra=_LOWER)
     trimmed = "regexp_replace(trim(query_text), ';+\\s*$', '')"
     r.add(
         "read_only_guard",

@@ -31,6 +31,10 @@ _INTEGERS = ["BIGINT", "INTEGER", "INT", "SMALLINT", "TINYINT"]
 _KEY = ["table", "column"]
 
 
+# Key names.
+_KEY_NAME = "^(id|pk|key)$|(_id|_pk|_key|id)$|^(pk_|id_)"
+
+
 def has_key_name(name: Column) -> Column:
     return F.lower(name).rlike("^(id|pk|key)$|(_id|_pk|_key|id)$|^(pk_|id_)")
 

@@ -441,44 +441,32 @@ def diverse_samples(log: DataFrame, n: int = SAMPLES) -> DataFrame:
 # ---------------------------------------------------------------- audits
 
 
-# Fixed values: (name, in the gold statement, in or not in the predicted one).
-_DIFF_RULES = [
-    ("missing_group_by", ["group by"], [], ["group by"]),
-    ("extra_group_by", [], ["group by"], []),
-    ("missing_order_by", ["order by"], [], ["order by"]),
-    ("missing_limit", ["limit 1"], [], ["limit 1"]),
-    ("missing_distinct", ["distinct"], [], ["distinct"]),
-    ("missing_having", ["having"], [], ["having"]),
-    ("sum_vs_count", ["sum("], ["count("], []),
-    ("count_vs_sum", ["count("], ["sum("], []),
-    ("missing_avg", ["avg("], [], ["avg("]),
-    ("missing_case_when", ["case when"], [], ["case when"]),
-    ("missing_conditional_agg", ["iif("], [], ["iif(", "case"]),
-    ("missing_date_extraction", ["strftime|substr"], [], ["strftime", "substr"]),
-    ("inner_vs_left_join", ["inner join"], ["left join"], []),
-    ("left_vs_inner_join", ["left join"], ["inner join"], []),
-]
+# Clauses whose absence from the predicted statement is reported.
+_MISSING = {
+    "missing_group_by": "group by",
+    "missing_order_by": "order by",
+    "missing_limit": "limit 1",
+    "missing_distinct": "distinct",
+    "missing_having": "having",
+    "missing_avg": "avg(",
+    "missing_case_when": "case when",
+}
 
 
 def sql_pattern_diff(pairs: DataFrame) -> DataFrame:
     """Clause differences between ``gold_sql`` and ``pred_sql``, counted per rule."""
     gold, pred = F.lower("gold_sql"), F.lower("pred_sql")
-    flags = []
-    for name, in_gold, in_pred, not_in_pred in _DIFF_RULES:
-        hit = F.lit(True)
-        for word in in_gold:
-            any_of = F.lit(False)
-            for w in word.split("|"):
-                any_of = any_of | gold.contains(w)
-            hit = hit & any_of
-        for word in in_pred:
-            hit = hit & pred.contains(word)
-        for word in not_in_pred:
-            hit = hit & ~pred.contains(word)
-        if name == "extra_group_by":
-            hit = hit & ~gold.contains("group by")
-        flags.append(F.when(hit, name))
-    found = pairs.select(F.explode(F.array_compact(F.array(*flags))).alias("pattern"))
+    rules = {name: gold.contains(clause) & ~pred.contains(clause) for name, clause in _MISSING.items()} | {
+        "extra_group_by": pred.contains("group by") & ~gold.contains("group by"),
+        "sum_vs_count": gold.contains("sum(") & pred.contains("count("),
+        "count_vs_sum": gold.contains("count(") & pred.contains("sum("),
+        "missing_conditional_agg": gold.contains("iif(") & ~pred.contains("iif(") & ~pred.contains("case"),
+        "missing_date_extraction": (gold.contains("strftime") | gold.contains("substr")) & ~pred.contains("strftime") & ~pred.contains("substr"),
+        "inner_vs_left_join": gold.contains("inner join") & pred.contains("left join"),
+        "left_vs_inner_join": gold.contains("left join") & pred.contains("inner join"),
+    }
+    flags = F.array(*[F.when(hit, name) for name, hit in rules.items()])
+    found = pairs.select(F.explode(F.array_compact(flags)).alias("pattern"))
     return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,11 +6,11 @@ constant at its place if it stands there in at least ``min_docs`` documents; eve
 variable field, and a line's template is what is constant. A line whose template keeps less than ``similar`` of
 its tokens is its own template.
 
-A template recurs if it stands in at least ``min_docs`` documents that are told apart by another line: a document
-counts by the least hash of its other lines. Copies of one document repeat every line of it together and
-mostly count once; a template is kept as long as such copies are more than half of what holds it,
-since copies of documents are for the near-duplicate join to remove. Recurring lines are dropped in all
-documents.
+A template recurs if it stands in at least ``min_docs`` documents that are told apart by their other lines: a
+document counts by the least hash of the three-word grams of these. Copies of one document, with a word changed here
+and there, repeat every line of it together and mostly count once; a template is kept as long as such
+copies are more than half of what holds it, since copies of documents are for the near-duplicate join to remove.
+Recurring lines are dropped in all documents.
 
 Counting is by aggregates that merge in each task first, so a line in a third of all documents is one row per
 task. Tokens are looked at only for lines of leaves that may recur; those are marked in a bitmap of a fixed
@@ -60,17 +60,29 @@ class Lines:
         # the text each line belongs to
         self.text = np.searchsorted(offsets, self.offsets[self.at], "right") - 1
 
+    def least_grams(self) -> np.ndarray:
+        """The least hash of the three-word grams of each line; of shorter lines their own."""
+        grams, count = self.w.run_starts(3)
+        found = mix(self.body.view(np.uint64))
+        long = count[self.at] > 0
+        if len(grams):
+            lines = np.flatnonzero(count)
+            least = np.zeros(len(count), dtype=np.uint64)
+            least[lines] = np.minimum.reduceat(mix(self.w.runs(grams, 3)), (np.cumsum(count) - count)[lines])
+            found[long] = least[self.at][long]
+        return found
+
 
 def _line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
-    """(id, leaf, body, other): the distinct lines of each text, with the least hash of its other lines."""
+    """(id, leaf, body, other): the distinct lines of each text, with the least gram hash of its other lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for low, high, data, offsets in slices(b.column("text")):
                 x = Lines(data, offsets, depth, least)
                 ids = np.asarray(b.column("id").slice(low, high - low))
-                rank = mix(x.body.view(np.uint64))
-                order = np.lexsort((rank, x.text))
+                rank = x.least_grams()
+                order = np.lexsort((x.body, rank, x.text))
                 text, body, leaf, rank = x.text[order], x.body[order], x.leaf[order], rank[order]
                 new = np.ones(len(text), dtype=bool)
                 new[1:] = (text[1:] != text[:-1]) | (body[1:] != body[:-1])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.plans.keyed import top_n
+from evalspark.plans.sequence import rank_rows
 
 # Statements about the log or the metadata themselves.
 META_MARKS = ["summarize", "comment on", "information_schema.query_history", "metadata."]
@@ -535,6 +536,9 @@ def catalog_search(
 
 
 def stored_pattern_lookup(patterns: DataFrame, keys: list[str], value: str, count: str, n: int | None = None) -> DataFrame:
-    """Stored patterns per key, most frequent first, numbered."""
-    ranked = top_n(patterns, keys, [F.desc(count), F.col(value)], n or 2**31 - 1)
+    """Stored patterns per key, most frequent first, numbered; the first ``n`` if given."""
+    if n is None:
+        ranked = rank_rows(patterns.withColumn("_order", -F.col(count)), keys, ["_order", value])
+    else:
+        ranked = top_n(patterns, keys, [F.desc(count), F.col(value)], n)
     return ranked.select(*keys, "rank", value, count)

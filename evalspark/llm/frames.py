@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from evalspark.session import fresh_dir
 
@@ -45,5 +45,13 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(run, schema)
 
 
+def bounded_rows(df: DataFrame, most: int) -> list[Row]:
+    """The rows of ``df``, of which a parameter allows at most ``most``."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than the {most} rows that may reach the driver")
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.frames import map_batches
+from evalspark.llm.frames import bounded_rows, map_batches
 
 # fixed values: elements of HTML by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -339,7 +339,7 @@ def train(pages: DataFrame, sample: int = 250, variants: int = 8, passes: int =
         chain.learn(examples, passes)
         yield {"model": pa.array([json.dumps([chain.weights, chain.pairs, chain.bias])])}
 
-    found = map_batches(marked.repartition(1), learn, "model string").collect()
+    found = bounded_rows(map_batches(marked.repartition(1), learn, "model string"), 1)
     if found:
         return Chain(*json.loads(found[0]["model"]))
     chain = Chain()

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.frames import map_batches, written
+from evalspark.llm.frames import bounded_rows, map_batches, written
 from evalspark.llm.tokens import tokenizers_encoder
 from evalspark.llm.words import slices
 
@@ -139,8 +139,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_c
     spark = docs.sparkSession
     cut = written(pieces(docs, path, capacity, end_id, id_col, text_col, with_ids), "pieces")
     per_task = written(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    # at most ``capacity`` rows
-    counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    lengths = per_task.groupBy("length").agg(F.sum("n").alias("n"))
+    counts = {r["length"]: r["n"] for r in bounded_rows(lengths, capacity)}
     places = slots(plan(counts, capacity))
     # a row per place of a pattern: their number depends on the capacity alone
     placed = spark.createDataFrame(places, "length long, low long, high long, first long, offset long")

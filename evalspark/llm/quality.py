@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.frames import map_batches
+from evalspark.llm.frames import bounded_rows, map_batches
 from evalspark.llm.words import Words, mix, slices, spans_hash
 
 BITS = 18
@@ -139,7 +139,7 @@ def train(
 
     gathered = map_batches(rows.select("text", "order", "y"), collect, "order long, y int, at binary, x binary")
     one = gathered.repartition(1).sortWithinPartitions("order", "y", "at", "x")
-    found = map_batches(one, learn, "weights binary").collect()
+    found = bounded_rows(map_batches(one, learn, "weights binary"), 1)
     weights = np.frombuffer(found[0]["weights"], "<f4") if found else np.zeros(2**BITS + 1, np.float32)
     return weights[:-1], float(weights[-1])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.frames import map_batches, written
+from evalspark.llm.frames import bounded_rows, map_batches, written
 from evalspark.llm.words import Words, mix, signed, slices
 
 LAST = 2**63 - 1
@@ -133,10 +133,9 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, similar: float,
     leaves = bodies.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     slot = F.shiftrightunsigned("leaf", 64 - BITS)
     marks = leaves.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    # at most 2**(BITS - 6) rows
-    words = marks.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
+    words = marks.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     bitmap = np.zeros(2 ** (BITS - 6), dtype=np.uint64)
-    for r in words:
+    for r in bounded_rows(words, 2 ** (BITS - 6)):
         bitmap[r["word"]] = np.uint64(r["bits"] % 2**64)
     tokens = _token_rows(docs, depth, min_tokens, spark.sparkContext.broadcast(bitmap))
     known = bodies.join(leaves, "leaf", "left_semi")

@@ -23,7 +23,7 @@ from evalspark.llm.words import mix, powers, ranges
 
 LETTER, NUMBER, OTHER, SPACE, END, UNKNOWN = range(6)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE = 1_500_000  # distinct pre-tokens kept by a worker, some 60 MB; beyond that it starts anew
+CACHE = 500_000  # distinct pre-tokens kept by a worker, some 20 MB; beyond that it starts anew
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _table: list[np.ndarray] = []
 
@@ -32,14 +32,14 @@ def classes() -> np.ndarray:
     """The class of each code point."""
     if not _table:
         found = np.full(0x110000, OTHER, dtype=np.uint8)
-        every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        text = "".join(every)
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
-            for m in regex.finditer(pattern, text):
-                found[codes[m.start() : m.end()]] = kind
-        unassigned = [ord(c) for c in every if unicodedata.category(c) == "Cn"]
-        found[unassigned] = UNKNOWN
+        for low in range(0, 0x110000, 0x4000):  # in pieces, to build it in little memory
+            codes = [c for c in range(low, low + 0x4000) if not 0xD800 <= c < 0xE000]
+            text = "".join(map(chr, codes))
+            at = np.array(codes, dtype=np.int64)
+            for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+                for m in regex.finditer(pattern, text):
+                    found[at[m.start() : m.end()]] = kind
+            found[[c for c, sign in zip(codes, text, strict=True) if unicodedata.category(sign) == "Cn"]] = UNKNOWN
         _table.append(found)
     return _table[0]
 

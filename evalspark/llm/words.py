@@ -13,7 +13,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _random = np.random.Generator(np.random.PCG64(20_250_101))
 _BYTE = _random.integers(0, 2**64, 256, dtype=np.uint64)
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "back" if inverse else "step"
     if key not in _powers or len(_powers[key]) < n:
-        base = np.full(max(n, 4_000_000), _BACK if inverse else _STEP, dtype=np.uint64)
+        base = np.full(max(n, SLICE_BYTES + 100_000), _BACK if inverse else _STEP, dtype=np.uint64)
         base[0] = 1
         _powers[key] = np.multiply.accumulate(base)
     return _powers[key][:n]
@@ -46,9 +46,8 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """A 64-bit hash of each run values[start:end], whose place does not matter."""
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(len(values)), out=total[1:])
-    at = starts if len(starts) == 0 or starts.max() < len(powers(1, True)) else starts
     back = powers(len(values) + 1, inverse=True)
-    return mix((total[ends] - total[starts]) * back[at])
+    return mix((total[ends] - total[starts]) * back[starts])
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

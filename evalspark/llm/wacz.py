@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.frames import map_batches, written
 from evalspark.session import fresh_dir
 
-ARCHIVE_BYTES, RANGE_BYTES = 16_000_000, 4_000_000
+ARCHIVE_BYTES, RANGE_BYTES, RANGES_PER_TASK = 16_000_000, 4_000_000, 4
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END, END64, LOCATOR64, ENTRY, LOCAL = 0x06054B50, 0x06064B50, 0x07064B50, 0x02014B50, 0x04034B50
@@ -248,6 +248,8 @@ def locate(paths: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 def read_records(paths: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of the archives named in ``path``, read by ranges."""
     ranges = written(locate(paths, range_bytes), "record-ranges")
+    # rows are short and what they stand for is not: the number of tasks follows the number of ranges
+    tasks = max(1, -(-ranges.count() // RANGES_PER_TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -265,4 +267,4 @@ def read_records(paths: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
                 yield {c: pa.array([x[c] for x in found], kinds.get(c, pa.string())) for c in (x.split()[0] for x in RECORD.split(", "))}
 
-    return map_batches(ranges.repartition("path", "first"), run, RECORD)
+    return map_batches(ranges.repartition(tasks, "path", "first"), run, RECORD)

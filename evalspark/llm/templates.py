@@ -6,11 +6,13 @@ constant at its place if it stands there in at least ``min_docs`` documents; eve
 variable field, and a line's template is what is constant. A line whose template keeps less than ``similar`` of
 its tokens is its own template.
 
-A template recurs if it stands in at least ``min_docs`` documents that are told apart by their other lines: a
-document counts by the least hash of the three-word grams of these. Copies of one document, with a word changed here
-and there, repeat every line of it together and mostly count once; a template is kept as long as such
-copies are more than half of what holds it, since copies of documents are for the near-duplicate join to remove.
-Recurring lines are dropped in all documents.
+A template recurs if it stands in at least ``min_docs`` documents that are told apart by what boilerplate can't share: a
+digest of their own lines. A line is not a document's own if its template stands in ``min_docs`` documents, if at least
+``similar`` of its tokens are constants of its leaf, or if it has six tokens or more and begins or ends with the
+three words of a line of the first kind (a changed copy of it). Documents without lines of their own, such as
+copies of one document with a word changed here and there, are told apart by the rarest of their other templates that
+stand in ``min_docs`` documents, so that such copies mostly count once; how many copies there are doesn't matter. Recurring
+lines are dropped in all documents.
 
 Counting is by aggregates that merge in each task first, so a line in a third of all documents is one row per
 task. Tokens are looked at only for lines of leaves that may recur; those are marked in a bitmap of a fixed
@@ -60,43 +62,36 @@ class Lines:
         # the text each line belongs to
         self.text = np.searchsorted(offsets, self.offsets[self.at], "right") - 1
 
-    def least_grams(self) -> np.ndarray:
-        """The least hash of the three-word grams of each line; of shorter lines their own."""
-        grams, count = self.w.run_starts(3)
-        found = mix(self.body.view(np.uint64))
-        long = count[self.at] > 0
-        if len(grams):
-            lines = np.flatnonzero(count)
-            least = np.zeros(len(count), dtype=np.uint64)
-            least[lines] = np.minimum.reduceat(mix(self.w.runs(grams, 3)), (np.cumsum(count) - count)[lines])
-            found[long] = least[self.at][long]
-        return found
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first and the last three words of each line; of lines of less than six words their body's."""
+        long = self.n >= 6
+        head, tail = self.body.view(np.uint64).copy(), self.body.view(np.uint64).copy()
+        head[long] = self.w.runs(self.first[long], 3)
+        tail[long] = self.w.runs((self.first + self.n - 3)[long], 3)
+        return signed(head), signed(tail)
 
 
 def _line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
-    """(id, leaf, body, other): the distinct lines of each text, with the least gram hash of its other lines."""
+    """(id, leaf, body, head, tail, whole): the distinct lines of each text, with a digest of all of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for low, high, data, offsets in slices(b.column("text")):
                 x = Lines(data, offsets, depth, least)
                 ids = np.asarray(b.column("id").slice(low, high - low))
-                rank = x.least_grams()
-                order = np.lexsort((x.body, rank, x.text))
-                text, body, leaf, rank = x.text[order], x.body[order], x.leaf[order], rank[order]
+                order = np.lexsort((x.body, x.text))
+                text, body = x.text[order], x.body[order]
                 new = np.ones(len(text), dtype=bool)
                 new[1:] = (text[1:] != text[:-1]) | (body[1:] != body[:-1])
-                text, body, leaf, rank = text[new], body[new], leaf[new], rank[new]
+                order, text, body = order[new], text[new], body[new]
                 start = np.ones(len(text), dtype=bool)
                 start[1:] = text[1:] != text[:-1]
                 first = np.flatnonzero(start)
-                size = np.diff(np.append(first, len(text)))
-                second = np.where(size > 1, rank[np.minimum(first + 1, max(len(rank) - 1, 0))], 0) if len(first) else rank[:0]
-                other = np.repeat(rank[first], size)
-                other[first] = second
-                yield {"id": ids[text], "leaf": leaf, "body": body, "other": signed(other)}
+                whole = np.repeat(np.bitwise_xor.reduceat(body, first), np.diff(np.append(first, len(text)))) if len(first) else body
+                head, tail = x.ends()
+                yield {"id": ids[text], "leaf": x.leaf[order], "body": body, "head": head[order], "tail": tail[order], "whole": whole}
 
-    return map_batches(docs, run, "id long, leaf long, body long, other long")
+    return map_batches(docs, run, "id long, leaf long, body long, head long, tail long, whole long")
 
 
 def _token_rows(docs: DataFrame, depth: int, least: int, bitmap) -> DataFrame:
@@ -126,7 +121,7 @@ def _token_rows(docs: DataFrame, depth: int, least: int, bitmap) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, depth: int, min_docs: int, similar: float, min_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(lines, recurring): all distinct lines by document (id, leaf, body, other), and the bodies that recur."""
+    """(lines, recurring): all distinct lines by document (id, leaf, body, ...), and the bodies that recur."""
     spark = docs.sparkSession
     lines = written(_line_rows(docs, depth, min_tokens), "lines")
     bodies = lines.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("docs"))
@@ -147,16 +142,38 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, similar: float,
     named = parts.groupBy("leaf", "body").agg(
         F.bit_xor(F.xxhash64("place", "token")).alias("template"), (F.count(F.lit(1)) / F.first("n")).alias("share")
     )
-    named = named.where(F.col("share") >= similar).select("leaf", "body", F.xxhash64("leaf", "template").alias("template"))
+    named = named.where(F.col("share") >= similar).select("leaf", "body", F.xxhash64("leaf", "template").alias("template"), F.lit(True).alias("alike"))
     named = written(named, "templates")
-    held = lines.join(named, ["leaf", "body"])
-    counted = held.select("template", "id", "other").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    apart = held.select("template", "other").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("apart"))
-    found = counted.join(apart, "template").where((F.col("apart") >= min_docs) & (F.col("apart") * 2 >= F.col("docs")))
+    found = _held_apart(lines, named.join(known, ["leaf", "body"]), min_docs)
     recurring = named.join(found.select("template"), "template", "left_semi").select("leaf", "body", "template")
     return lines, written(recurring, "recurring-lines")
 
 
+def _held_apart(lines: DataFrame, named: DataFrame, min_docs: int) -> DataFrame:
+    """The templates of ``named`` (leaf, body, template, docs, alike) that ``min_docs`` documents hold which are told apart."""
+    common = named.groupBy("template").agg(F.sum("docs").alias("seen")).where(F.col("seen") >= min_docs)
+    common = written(common, "common-templates")
+    shared = written(named.join(common, "template", "left").where("alike or seen is not null"), "shared-lines")
+    # changed copies of common lines are found by their other end
+    ends = lines.join(shared.where("seen is not null").select("leaf", "body"), ["leaf", "body"], "left_semi")
+    ends = written(ends.select("head", "tail").distinct(), "common-ends")
+    kin = [lines.join(ends.select(c).distinct(), c, "left_semi").select("leaf", "body") for c in ("head", "tail")]
+    marked = shared.select("leaf", "body", F.when(F.col("seen").isNotNull(), F.col("template")).alias("template"), "seen")
+    marked = marked.unionByName(kin[0].union(kin[1]).distinct().join(marked, ["leaf", "body"], "left_anti"), allowMissingColumns=True)
+    held = lines.select("id", "whole", "leaf", "body").join(written(marked, "marked-lines"), ["leaf", "body"])
+    held = written(held.select("id", "whole", "body", "template", "seen").distinct(), "held-lines")
+    docs = held.groupBy("id", "whole").agg(
+        F.bit_xor("body").alias("shared"),
+        F.slice(F.sort_array(F.collect_set(F.when(F.col("template").isNotNull(), F.struct("seen", "template")))), 1, 2).alias("rare"),
+    )
+    docs = docs.select("id", "whole", F.col("whole").bitwiseXOR(F.col("shared")).alias("own"), F.col("rare.template").alias("rare"))
+    votes = held.where("template is not null").select("id", "whole", "template").join(written(docs, "own-lines"), ["id", "whole"])
+    rare = F.when(F.get("rare", F.lit(0)) != F.col("template"), F.get("rare", F.lit(0))).otherwise(F.get("rare", F.lit(1)))
+    vote = F.when(F.col("own") != 0, F.col("own")).otherwise(F.coalesce(rare, F.lit(0)))
+    apart = votes.select("template", (F.col("own") != 0).alias("by_own"), vote.alias("vote")).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("apart"))
+    return apart.where(F.col("apart") >= min_docs)
+
+
 def drop_recurring(
     docs: DataFrame, depth: int = 3, min_docs: int = 10, similar: float = 0.7, min_tokens: int = 3,
     id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,

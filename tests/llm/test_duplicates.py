@@ -152,3 +152,41 @@ def test_copies_in_many_rows(sql):
     found = near.link(docs).where("doc_id % 3 < 2")
     assert {r["component_id"] for r in found.collect()} == {0}
     assert repeats.remove_repeats(docs).where("n_removed = n_words").count() == 199
+
+
+def _letters(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+
+
+def _bodies(rnd, n, lines=3, length=8):
+    """Lines that share neither a word with another document."""
+    return ["\n".join(" ".join(f"q{_letters(rnd.randrange(10000))}{_letters(i)}" for _ in range(length)) for _ in range(lines)) for i in range(n)]
+
+
+def test_header_and_footer_of_the_same_documents(sql):
+    """Whatever the hashes of the words, lines that stand in the same distinct documents go together."""
+    rnd = random.Random(11)
+    kept = []
+    for draw in range(6):
+        mark = _letters(rnd.randrange(10000))
+        docs = [(i, f"Start {mark} of every page here\n{b}\n" + " ".join(f"foot{mark}{_letters(k)}" for k in range(14))) for i, b in enumerate(_bodies(rnd, 15, 1, 22))]
+        got = templates.drop_recurring(sql.createDataFrame(docs, "doc_id long, text string").repartition(2))
+        kept += [(draw, r["doc_id"]) for r in got.collect() if r["n_dropped"] != 2]
+    assert kept == []
+
+
+def test_copies_neither_hide_nor_make_recurring_lines(sql):
+    rnd = random.Random(12)
+    line = "This line stands in distinct pages"
+    bodies = _bodies(rnd, 40)
+    docs = [f"{line}\n{b}" for b in bodies[:20]] + [f"{line}\n{bodies[20]}"] * 60  # more copies than distinct documents
+    docs += [f"Twelve texts with many copies hold this\n{b}" for b in bodies[21:33] for _ in range(12)]
+    changed = []
+    for _ in range(120):  # copies of one text with a word changed, also at the ends of lines
+        words = [x.split(" ") for x in bodies[33].split("\n")]
+        words[rnd.randrange(3)][rnd.randrange(8)] = f"new{_letters(rnd.randrange(10000))}"
+        changed.append("\n".join(" ".join(x) for x in words))
+    df = sql.createDataFrame(list(enumerate(docs + changed)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in templates.drop_recurring(df).collect()}
+    want = ["\n".join(t.split("\n")[1:]) for t in docs] + changed
+    assert [got[i] for i in range(len(want))] == want

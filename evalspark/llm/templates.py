@@ -4,7 +4,8 @@ Lines are parsed to a fixed depth: the first level is the number of tokens, the
 leading tokens. Tokens with a digit are variable fields from the start. In a leaf of the tree a token is
 constant at its place if it stands there in at least ``min_docs`` documents; every other token is one more
 variable field, and a line's template is what is constant. A line whose template keeps less than ``similar`` of
-its tokens is its own template.
+its tokens is its own template: all its tokens, those with a digit masked. Lines of nothing but tokens with a digit have
+no constant to be told apart by, so of these only equal ones share a template.
 
 A template recurs if it stands in at least ``min_docs`` documents that are told apart by what boilerplate can't share: a
 digest of their own lines. A line is not a document's own if its template stands in ``min_docs`` documents, if at least
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.frames import bounded_rows, map_batches, written
-from evalspark.llm.words import Words, mix, signed, slices
+from evalspark.llm.words import Words, mix, signed, slices, spans_hash
 
 LAST = 2**63 - 1
 BITS = 25
@@ -49,7 +50,8 @@ class Lines:
         w = Words(data, self.offsets)
         digits = np.append(0, np.cumsum((data >= 48) & (data <= 57)))
         self.field = digits[w.ends] > digits[w.starts]
-        w.__dict__["hashes"] = np.where(self.field, _FIELD, w.hashes)
+        spelt = w.hashes
+        w.__dict__["hashes"] = np.where(self.field, _FIELD, spelt)
         self.w = w
         count = w.counts
         self.at = np.flatnonzero(count >= least)
@@ -58,7 +60,11 @@ class Lines:
         self.first = first
         size = self.n.astype(np.uint64)
         self.leaf = signed(mix(w.runs(first, np.minimum(self.n, depth)) ^ mix(size)))
-        self.body = signed(mix(w.runs(first, self.n) + size))
+        body = mix(w.runs(first, self.n) + size)
+        fields = np.append(0, np.cumsum(self.field))
+        bare = (self.n > 0) & (fields[first + self.n] - fields[first] == self.n)
+        body[bare] = mix(spans_hash(spelt, first[bare], (first + self.n)[bare]) + size[bare])
+        self.body = signed(body)
         # the text each line belongs to
         self.text = np.searchsorted(offsets, self.offsets[self.at], "right") - 1
 
@@ -142,9 +148,12 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, similar: float,
     named = parts.groupBy("leaf", "body").agg(
         F.bit_xor(F.xxhash64("place", "token")).alias("template"), (F.count(F.lit(1)) / F.first("n")).alias("share")
     )
-    named = named.where(F.col("share") >= similar).select("leaf", "body", F.xxhash64("leaf", "template").alias("template"), F.lit(True).alias("alike"))
+    named = named.where(F.col("share") >= similar).select("leaf", "body", F.xxhash64("leaf", "template").alias("template"))
+    alike = F.col("template").isNotNull()
+    own = F.when(alike, F.col("template")).otherwise(F.xxhash64("leaf", "body"))
+    named = spelt.select("leaf", "body", "docs").join(named, ["leaf", "body"], "left").select("leaf", "body", "docs", own.alias("template"), alike.alias("alike"))
     named = written(named, "templates")
-    found = _held_apart(lines, named.join(known, ["leaf", "body"]), min_docs)
+    found = _held_apart(lines, named, min_docs)
     recurring = named.join(found.select("template"), "template", "left_semi").select("leaf", "body", "template")
     return lines, written(recurring, "recurring-lines")
 

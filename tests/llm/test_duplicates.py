@@ -190,3 +190,14 @@ def test_copies_neither_hide_nor_make_recurring_lines(sql):
     got = {r["doc_id"]: r["text"] for r in templates.drop_recurring(df).collect()}
     want = ["\n".join(t.split("\n")[1:]) for t in docs] + changed
     assert [got[i] for i in range(len(want))] == want
+
+
+def test_lines_below_similar_are_their_own_template(sql):
+    """At production parameters; digits are masked, lines of digits only are not."""
+    rnd = random.Random(13)
+    docs = []
+    for i, b in enumerate(_bodies(rnd, 24)):
+        lines = ["(c) 2024 Acme", f"Page {i} of 34", f"Posted {i + 1} March 2021 at 10:{i + 10}", "12 of", f"{i} {i * 7} {i * 9}", "2024 10 12"]
+        docs.append((i, "\n".join([*lines[:3], b, *lines[3:]])))
+    got = {r["doc_id"]: r["text"] for r in templates.drop_recurring(sql.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()}
+    assert got == {i: "\n".join([*t.split("\n")[3:6], "12 of", f"{i} {i * 7} {i * 9}"]) for i, t in docs}

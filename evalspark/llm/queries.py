@@ -81,7 +81,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.drop_recurring(table(prepare(spark), sf_dir, "documents"))
+    return templates.drop_recurring(table(prepare(spark), sf_dir, "documents"), min_tokens=1)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,8 +216,8 @@ def drop_recurring(
                 stay[hit] = False
                 raw = data.tobytes()
                 left = b"".join(raw[x.offsets[i] : x.offsets[i + 1]] for i in np.flatnonzero(stay).tolist())
-                if len(hit) and not stay[-1] and left.endswith(b"\n"):
-                    left = left[:-1]  # the break before a dropped last line
+                if len(hit) and not stay[-1] and left.endswith(b"\n") and not raw.endswith(b"\n"):
+                    left = left[:-1]  # the break before a dropped last line without one
                 texts.append(left.decode("utf-8", "replace"))
             part = {c: b.column(c) for c in carried}
             yield part | {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "text": pa.array(texts, pa.string())}

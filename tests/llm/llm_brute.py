@@ -59,6 +59,50 @@ def without_repeats(docs, window):
     return out
 
 
+def without_recurring(docs, depth=3, min_docs=10, similar=0.7, min_tokens=1):
+    """id, lines with a word, dropped lines and text of each row, by the rule in the docstring of templates."""
+
+    def parsed(line):
+        tokens = words(line)
+        masked = [None if re.search("[0-9]", t) else t for t in tokens]
+        body = tuple(tokens) if not any(masked) else ("masked", *masked)
+        return (len(tokens), *masked[:depth]), body, masked
+
+    split = [[(x, parsed(x)) for x in (t or "").split("\n")] for _, t in docs]
+    held = [{(leaf, body): m for _, (leaf, body, m) in x if len(m) >= min_tokens} for x in split]
+    times = Counter(k for h in held for k in h)
+    tokens = {k: m for h in held for k, m in h.items()}
+    places = Counter()
+    for k, n in times.items():
+        places.update({(k[0], p, t): n for p, t in enumerate(tokens[k]) if t})
+    template, alike = {}, set()
+    for k, m in tokens.items():
+        constant = tuple((p, t) for p, t in enumerate(m) if t and places[k[0], p, t] >= min_docs)
+        template[k] = (k[0], constant) if len(constant) / len(m) >= similar else k
+        if len(constant) / len(m) >= similar:
+            alike.add(k)
+    seen = Counter()
+    for k, n in times.items():
+        seen[template[k]] += n
+    common = {k for k in times if seen[template[k]] >= min_docs}
+    heads = {tuple(tokens[k][:3]) for k in common if len(tokens[k]) >= 6}
+    tails = {tuple(tokens[k][-3:]) for k in common if len(tokens[k]) >= 6}
+    kin = {k for k, m in tokens.items() if len(m) >= 6 and (tuple(m[:3]) in heads or tuple(m[-3:]) in tails)}
+    votes = {}
+    for h in held:
+        own = frozenset(h) - common - alike - kin
+        rare = sorted({(seen[template[k]], str(template[k])) for k in h if k in common})
+        for k in common & set(h):
+            other = [r for r in rare if r[1] != str(template[k])][:1]
+            votes.setdefault(template[k], set()).add(own or tuple(other))
+    gone = {k for k in common if len(votes[template[k]]) >= min_docs}
+    out = []
+    for (doc_id, text), x in zip(docs, split, strict=True):
+        stay = [line for line, (leaf, body, _) in x if (leaf, body) not in gone]
+        out.append((doc_id, sum(1 for _, (_, _, m) in x if m), len(x) - len(stay), None if text is None else "\n".join(stay)))
+    return out
+
+
 def sha(data):
     return hashlib.sha256(data).hexdigest()
 

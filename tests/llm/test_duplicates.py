@@ -201,3 +201,32 @@ def test_lines_below_similar_are_their_own_template(sql):
         docs.append((i, "\n".join([*lines[:3], b, *lines[3:]])))
     got = {r["doc_id"]: r["text"] for r in templates.drop_recurring(sql.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()}
     assert got == {i: "\n".join([*t.split("\n")[3:6], "12 of", f"{i} {i * 7} {i * 9}"]) for i, t in docs}
+
+
+def test_recurring_lines_equal_brute_force(sql, tmp_path):
+    """The registered query at its own parameters, with lines of one and two words."""
+    from evalspark.llm import queries
+
+    rnd = random.Random(14)
+    bodies = _bodies(rnd, 60, 4, 9)
+    docs = []
+    for i, b in enumerate(bodies[:50]):
+        lines = b.split("\n")
+        lines += [x for x, n in (("Read more", 30), ("Advertisement", 25), ("Sign in", 10), ("Nine only", 9), ("Ten pages hold this line", 10), ("7", 12)) if i < n]
+        lines += [f"Posted by {rnd.choice(['ann', 'bob', 'cem', 'dan'])} on day {i} of March at noon", "(c) 2024 Acme", "", " \t", f"{i} {i}"]
+        rnd.shuffle(lines)
+        docs.append((i, "\n".join(lines) + "\r\n" * (i % 3)))
+    docs += [(100 + i, f"Read more\nOnly copies hold this line\nShort\n{bodies[50]}") for i in range(40)]
+    docs += [(200 + 20 * k + i, f"Of many copied texts\n{bodies[51 + k % 6]}\nThird {_letters(k % 6)}") for k in range(6) for i in range(12)]
+    for i in range(60):
+        words = bodies[58].replace("\n", " \n ").split(" ")
+        words[rnd.choice([p for p, w in enumerate(words) if w != "\n"])] = f"new{_letters(i)}"
+        docs.append((500 + i, " ".join(words).replace(" \n ", "\n") + "\nRead more"))
+    docs += [(None, None), (None, docs[3][1]), (None, docs[3][1]), (5, docs[5][1]), (600, ""), (601, "\n"), (602, "Read more"), (603, "Read more\n")]
+    sql.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in queries.op8_line_dedup(sql, str(tmp_path)).collect()]
+    want = B.without_recurring(docs)
+    assert B.by_text(got) == B.by_text(want)
+    left = {x.strip() for _, _, _, t in want for x in (t or "").split("\n")}
+    assert not left & {"Read more", "Advertisement", "Sign in", "Ten pages hold this line", "(c) 2024 Acme", "7"}
+    assert left >= {"Nine only", "Only copies hold this line", "Short", "Of many copied texts", *bodies[50].split("\n")}

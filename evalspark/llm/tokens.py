@@ -19,11 +19,11 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from evalspark.llm.words import mix, powers, ranges
+from evalspark.llm.words import ranges, spans_hash
 
 LETTER, NUMBER, OTHER, SPACE, END, UNKNOWN = range(6)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE = 500_000  # distinct pre-tokens kept by a worker, some 20 MB; beyond that it starts anew
+CACHE, CACHE_CHARS = 200_000, 4_000_000  # distinct pre-tokens a worker keeps, and their characters; beyond that it starts anew
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _table: list[np.ndarray] = []
 
@@ -103,50 +103,35 @@ def _newline_parted(many: Callable[[list[str]], list[list[int]]], most: int = 20
     return encode
 
 
-class Encoder:
-    """Encodes batches of texts by a library's ``many``, which gives the ids of each text of a list."""
+class Lexicon:
+    """The ids of distinct pieces of text, each encoded once by ``encode`` (ids of all pieces, their number per piece)."""
 
-    def __init__(self, many: Callable[[list[str]], list[list[int]]]):
-        self.many, self.encode = many, _newline_parted(many)
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
         self._clear()
 
     def _clear(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
-        self.first = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
+        # where a piece's ids and characters begin in the pools, and how many there are
+        self.first, self.count, self.begin, self.length = (np.zeros(0, dtype=np.int64) for _ in range(4))
         self.pool = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, at: np.ndarray, keys: np.ndarray, pieces: list[str]) -> None:
-        flat, count = self.encode(pieces)
-        first = len(self.pool) + np.cumsum(count) - count
+        self.spelt = np.zeros(0, dtype=np.uint32)
+
+    def _learn(self, at: np.ndarray, keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: str) -> None:
+        flat, count = self.encode([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        length = ends - starts
+        self.first = np.insert(self.first, at, len(self.pool) + np.cumsum(count) - count)
+        self.begin = np.insert(self.begin, at, len(self.spelt) + np.cumsum(length) - length)
+        self.known, self.count, self.length = np.insert(self.known, at, keys), np.insert(self.count, at, count), np.insert(self.length, at, length)
         self.pool = np.concatenate([self.pool, flat])
-        self.known = np.insert(self.known, at, keys)
-        self.first = np.insert(self.first, at, first)
-        self.count = np.insert(self.count, at, count)
+        self.spelt = np.concatenate([self.spelt, codes[ranges(starts, length)]])
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and where each text's ids begin (one more at the end)."""
-        if not texts:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        joined = "\0".join(texts) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        marks = np.cumsum(lengths + 1) - 1
-        kind = classes()[codes]
-        kind[marks] = END
-        odd = np.unique(np.searchsorted(marks, np.flatnonzero(kind == UNKNOWN)))
-        starts = pre_tokens(codes, kind)
-        ends = np.append(starts[1:], len(codes))
-        real = kind[starts] != END
-        starts, ends = starts[real], ends[real]
-        total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    def ids(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the pieces, how many each has, and the pieces that only share a hash with another piece."""
         value = (codes.astype(np.uint64) + np.uint64(1)) * _SPREAD
         value ^= value >> np.uint64(29)
-        value *= powers(len(codes))
-        np.cumsum(value, out=total[1:])
-        keys = mix((total[ends] - total[starts]) * powers(len(codes) + 1, True)[starts])
-        unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        unique, where, inverse = np.unique(spans_hash(value, starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) > CACHE or len(self.spelt) > CACHE_CHARS:
             self._clear()
         at = np.searchsorted(self.known, unique)
         old = at < len(self.known)
@@ -154,19 +139,60 @@ class Encoder:
         fresh = np.flatnonzero(~old)
         if len(fresh):
             w = where[fresh]
-            self._learn(at[fresh], unique[fresh], [joined[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
+            self._learn(at[fresh], unique[fresh], codes, starts[w], ends[w], joined)
             at = np.searchsorted(self.known, unique)
-        count = self.count[at][inverse]
-        flat = self.pool[ranges(self.first[at][inverse], count)]
-        ends_of = np.append(0, np.cumsum(count))
-        bounds = ends_of[np.append(0, np.searchsorted(starts, marks))]
-        if len(odd):
-            parts = [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-            for i in odd.tolist():
-                parts[i] = np.array(self.many([texts[i]])[0], dtype=np.uint32)
-            bounds = np.append(0, np.cumsum([len(p) for p in parts]))
-            flat = np.concatenate(parts)
-        return flat, bounds
+        slot = at[inverse]
+        length = ends - starts
+        wrong = self.length[slot] != length
+        alike = np.flatnonzero(~wrong & (length > 0))
+        n = length[alike]
+        differ = codes[ranges(starts[alike], n)] != self.spelt[ranges(self.begin[slot[alike]], n)]
+        if differ.any():
+            wrong[np.repeat(alike, n)[differ]] = True
+        count = self.count[slot]
+        return self.pool[ranges(self.first[slot], count)], count, np.flatnonzero(wrong)
+
+
+class Encoder:
+    """Encodes batches of texts by a library's ``many``, which gives the ids of each text of a list."""
+
+    def __init__(self, many: Callable[[list[str]], list[list[int]]]):
+        self.many, self.lexicon = many, Lexicon(_newline_parted(many))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text's ids begin (one more at the end)."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        joined, codes, marks = end_marked(texts)
+        kind = classes()[codes]
+        kind[marks] = END
+        starts = pre_tokens(codes, kind)
+        ends = np.append(starts[1:], len(codes))
+        real = kind[starts] != END
+        starts, ends = starts[real], ends[real]
+        flat, count, wrong = self.lexicon.ids(codes, starts, ends, joined)
+        odd = np.union1d(np.searchsorted(marks, np.flatnonzero(kind == UNKNOWN)), np.searchsorted(marks, starts[wrong]))
+        return with_whole(texts, flat, count, np.append(0, np.searchsorted(starts, marks)), odd, self.many)
+
+
+def end_marked(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts with one mark behind each, their code points, and the places of the marks."""
+    joined = "\0".join(texts) + "\0"
+    codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    return joined, codes, np.cumsum(lengths + 1) - 1
+
+
+def with_whole(texts: list[str], flat: np.ndarray, count: np.ndarray, first: np.ndarray, odd: np.ndarray, many: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their bounds per text, text i having the pieces first[i]:first[i + 1]; ``odd`` texts go to the library whole."""
+    bounds = np.append(0, np.cumsum(count))[first]
+    if len(odd):
+        parts = [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        for i in odd.tolist():
+            parts[i] = np.array(many([texts[i]])[0], dtype=np.uint32)
+        bounds = np.append(0, np.cumsum([len(p) for p in parts]))
+        flat = np.concatenate(parts)
+    return flat, bounds
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

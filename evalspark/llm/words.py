@@ -15,15 +15,16 @@ import pyarrow as pa
 
 SLICE_BYTES = 1_000_000
 
+P31 = np.uint64(2**31 - 1)
+_WIDTH = np.uint64(31)
 _random = np.random.Generator(np.random.PCG64(20_250_101))
 _BYTE = _random.integers(0, 2**64, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be inverted modulo 2**64
-_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_BASES = (0x4F1BBCDC, 0x2545F491)  # two hashes modulo the prime 2**31 - 1 are taken together
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,21 +34,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    key = "back" if inverse else "step"
-    if key not in _powers or len(_powers[key]) < n:
-        base = np.full(max(n, SLICE_BYTES + 100_000), _BACK if inverse else _STEP, dtype=np.uint64)
-        base[0] = 1
-        _powers[key] = np.multiply.accumulate(base)
-    return _powers[key][:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & P31) + (x >> _WIDTH)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Values below 2**63 modulo the prime."""
+    x = _fold(_fold(x))
+    return np.where(x >= P31, x - P31, x)
+
+
+def _accumulate(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo the prime, by doubling."""
+    found = np.ones(1, dtype=np.uint64)
+    while len(found) < n:
+        found = np.concatenate([found, _mod(found * np.uint64(pow(base, len(found), int(P31))))])
+    return found[:n]
+
+
+def _forward(k: int, n: int) -> np.ndarray:
+    if k not in _powers or len(_powers[k]) < n:
+        _powers[k] = _accumulate(_BASES[k], max(n, SLICE_BYTES + 100_000)).astype(np.uint32)
+    return _powers[k][:n]
+
+
+def _backward(k: int, at: np.ndarray) -> np.ndarray:
+    """The inverse powers for the given exponents, from two small tables."""
+    inverse = pow(_BASES[k], -1, int(P31))
+    low = _accumulate(inverse, 1024)
+    high = _accumulate(pow(inverse, 1024, int(P31)), (int(at.max()) >> 10) + 1 if len(at) else 1)
+    return _mod(low[at & 1023] * high[at >> 10])
+
+
+def run_sums(values: np.ndarray) -> list[np.ndarray]:
+    """Prefix sums of ``values`` (62 bits of each count) times powers, for ``run_hash``."""
+    found = []
+    for k in range(2):
+        total = np.zeros(len(values) + 1, dtype=np.uint64)
+        part = (values if k == 0 else values >> _WIDTH) & P31
+        part *= _forward(k, len(values))
+        np.cumsum(_fold(part), out=total[1:])  # wraps without harm: only differences below 2**63 are used
+        found.append(total)
+    return found
+
+
+def run_hash(sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run [start, end) of the summed values; its place doesn't matter, its length does.
+
+    Polynomials modulo 2**64 collide on Thue-Morse strings for every odd base; modulo a prime they don't.
+    """
+    one, two = (_mod(_mod(total[ends] - total[starts]) * _backward(k, starts)) for k, total in enumerate(sums))
+    return mix((one | (two << _WIDTH)) + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run values[start:end], whose place does not matter."""
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(len(values)), out=total[1:])
-    back = powers(len(values) + 1, inverse=True)
-    return mix((total[ends] - total[starts]) * back[starts])
+    return run_hash(run_sums(values), starts, ends)
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -101,15 +143,12 @@ class Words:
         return spans_hash(_BYTE[self.data], self.starts, self.ends)
 
     @cached_property
-    def _sums(self) -> np.ndarray:
-        total = np.zeros(len(self.hashes) + 1, dtype=np.uint64)
-        np.cumsum(self.hashes * powers(len(self.hashes)), out=total[1:])
-        return total
+    def _sums(self) -> list[np.ndarray]:
+        return run_sums(self.hashes)
 
     def runs(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         """A 64-bit hash of each run of ``length`` words."""
-        back = powers(len(self.hashes) + 1, inverse=True)
-        return mix((self._sums[starts + length] - self._sums[starts]) * back[starts])
+        return run_hash(self._sums, starts, starts + length)
 
     def run_starts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all runs of ``length`` words inside one text, and their number per text."""

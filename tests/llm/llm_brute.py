@@ -109,3 +109,8 @@ def sha(data):
 
 def by_text(rows):
     return sorted(rows, key=str)
+
+
+def thue_morse(n: int, letters: str = "ab") -> str:
+    """The letters by the parity of each place's set bits: strings on which polynomials modulo 2**64 collide."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, mainpage, near, packing, quality, repeats, templates, vafile, wacz, weak
+from evalspark.llm import align, bpe, chat, importance, mainpage, near, packing, quality, repeats, templates, vafile, wacz, weak
 from evalspark.llm.frames import prepare, table
 
 
@@ -97,6 +97,42 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(prepare(spark), sf_dir, "conversations")
+    said = "\\### Assistant: </turn> ok"
+    tricky = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = chat.canonical(rows.select(tricky.columns).unionByName(tricky), "conv_id")
+    return chat.digest(chat.render(turns, "conv_id"), "conv_id")
+
+
+OP12_SQL = r"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (
+    select *, length(replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '</turn>', '<\/turn>'))
+        + length(replace(replace(replace(replace(role, '\', '\\'), '<turn>', '<\turn>'), '</turn>', '<\/turn>'), chr(10), '\' || chr(10)))
+        + length('<turn>') + 1 + length('</turn>') + 1 as written
+    from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    cast(sum(written) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -108,5 +144,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": weak.oracle(), "op2_warc": OP2_SQL, "op6_exact_topk": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": weak.oracle(), "op2_warc": OP2_SQL, "op6_exact_topk": OP6_SQL, "op12_chat_formatting": OP12_SQL}

@@ -115,10 +115,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 class Words:
     """The words of the texts data[offsets[i]:offsets[i + 1]]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, inside: np.ndarray | None = None):
+        """``inside`` tells which of the 256 bytes belong to words, where these aren't all but white space."""
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        solid = ~_SPACE[data]
+        solid = ~_SPACE[data] if inside is None else inside[self.data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(len(data), dtype=bool)

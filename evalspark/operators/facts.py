@@ -36,7 +36,7 @@ _KEY_NAME = "^(id|pk|key)$|(_id|_pk|_key|id)$|^(pk_|id_)"
 
 
 def has_key_name(name: Column) -> Column:
-    return F.lower(name).rlike("^(id|pk|key)$|(_id|_pk|_key|id)$|^(pk_|id_)")
+    return F.lower(name).rlike(_KEY_NAME)
 
 
 def detect_primary_key(profile: DataFrame) -> DataFrame:

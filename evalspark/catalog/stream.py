@@ -1,7 +1,7 @@
-"""Registered queries of the streaming family: the stream runs to its end, its output is returned.
+"""Registered queries of the streaming family: the stream runs to its end, its whole output is returned.
 
-A streaming result only holds what the final watermark has closed, so the checks leave out the
-windows, sessions and prompts that were still open.
+Windows, sessions and prompts that are still open are in the results as upserts. Moves and timeouts of tasks follow the watermark,
+which a last event without a move carries past all of them.
 """
 
 from __future__ import annotations
@@ -27,12 +27,50 @@ def _events(t: Inputs) -> DataFrame:
     return dedupe_latest(t.ledger_events, "event_id", ["ingest_time"])
 
 
+def _in_two(t: Inputs, df: DataFrame, *closing: DataFrame) -> DataFrame:
+    """A stream of a batch for each half of the time, and of what closes it."""
+    path = fresh_dir(t.spark, "stream-in")
+    span = df.agg(F.min("event_time").alias("a"), F.max("event_time").alias("b"))
+    middle = span.select(F.timestamp_seconds((F.unix_timestamp("a") + F.unix_timestamp("b")) / 2)).scalar()
+    for part in (df.filter(F.col("event_time") < middle), df.filter(F.col("event_time") >= middle), *closing):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return S.read_stream(t.spark, path, df.schema, files_per_batch=1)
+
+
 def _appended(t: Inputs, df: DataFrame) -> DataFrame:
     out = fresh_dir(t.spark, "stream-out")
     S.write_append(df, out, fresh_dir(t.spark, "stream-state"))
     return t.spark.read.schema(df.schema).parquet(out)
 
 
+def _upserted(t: Inputs, df: DataFrame, keys: list[str]) -> DataFrame:
+    out = fresh_dir(t.spark, "stream-out")
+    S.write_upserts(df, out, fresh_dir(t.spark, "stream-state"))
+    return S.read_upserts(t.spark, out, df.schema, keys)
+
+
+def _closing(events: DataFrame, days: int) -> DataFrame:
+    """An event of no task, far behind all others."""
+    late = events.agg((F.max("event_time") + F.expr(f"interval {days} days")).alias("event_time"))
+    return late.select(*[
+        (F.col("event_time") if f.name == "event_time" else F.lit("heartbeat") if f.name == "kind" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in events.schema.fields
+    ])
+
+
+_TASK_MOVES = "select actor_task_id as task_id, event_id, event_time, payload_json->>'$.from' as f, payload_json->>'$.to' as s from deduped where kind = 'state_move'"
+# a pause of two days ends a run of moves
+_TASK_RUNS = """
+select *, sum(fresh) over (partition by task_id order by event_time, event_id rows unbounded preceding) as run from (
+    select *, case when event_time - lag(event_time) over (partition by task_id order by event_time, event_id) >= interval 2 day then 1 else 0 end as fresh from m)
+"""
+_TASK_VIEWS = """
+select *, lag(s) over w as prev, coalesce(max(case when s in ('DONE', 'FAILED') then 1 else 0 end) over (partition by task_id, run order by event_time, event_id
+    rows between unbounded preceding and 1 preceding), 0) = 1 as ended_before
+from g window w as (partition by task_id, run order by event_time, event_id)
+"""
+
+
 def register(r: Registry) -> None:
     def ingest(t: Inputs) -> DataFrame:
         target = fresh_dir(t.spark, "stream-table")
@@ -62,68 +100,65 @@ def register(r: Registry) -> None:
         "select account_type, unit, sum(delta_numeric) as net, count(*) as posting_count from ledger_postings group by 1, 2 having abs(sum(delta_numeric)) > 1e-4",
         doubles="net",
     )
-    closed = "(select max(event_time) - interval 1 hour from deduped)"
+    window = ["window_start", "window_end", "kind"]
     r.add(
         "stream_kind_windows",
-        lambda t: _appended(t, S.stream_kind_windows(_source(t, _events(t)))),
-        f"""
-        select * from (select date_trunc('day', event_time)::timestamp as window_start, date_trunc('day', event_time)::timestamp + interval 1 day as window_end, kind, count(*) as n
-            from deduped group by 1, 2, 3) where window_end <= {closed}
+        lambda t: _upserted(t, S.stream_kind_windows(_in_two(t, _events(t))), window),
+        """
+        select date_trunc('day', event_time)::timestamp as window_start, date_trunc('day', event_time)::timestamp + interval 1 day as window_end, kind, count(*) as n
+        from deduped group by 1, 2, 3
         """,
         extra=_D,
     )
     r.add(
         "stream_kind_windows_sliding",
-        lambda t: _appended(t, S.stream_kind_windows(_source(t, _events(t)), "1 hour", "15 minutes")),
-        f"""
-        select * from (select time_bucket(interval 15 minute, event_time) - interval 15 minute * k as window_start,
+        lambda t: _upserted(t, S.stream_kind_windows(_in_two(t, _events(t)), "1 hour", "15 minutes"), window),
+        """
+        select time_bucket(interval 15 minute, event_time) - interval 15 minute * k as window_start,
             time_bucket(interval 15 minute, event_time) - interval 15 minute * k + interval 1 hour as window_end, kind, count(*) as n
-            from deduped, (select unnest([0, 1, 2, 3]) as k) group by 1, 2, 3) where window_end <= {closed}
+        from deduped, (select unnest([0, 1, 2, 3]) as k) group by 1, 2, 3
         """,
         extra=_D,
     )
     r.add(
         "stream_sessions",
-        lambda t: _appended(t, S.stream_sessions(_source(t, _events(t)), "actor_task_id", "3 hours")),
-        f"""
-        select * from (select actor_task_id, min(event_time) as session_start, max(event_time) + interval 3 hour as session_end, count(*) as events from (
+        lambda t: S.sessions(_upserted(t, S.stream_sessions(_in_two(t, _events(t)), "actor_task_id", "3 hours"), ["actor_task_id", "session_start"])),
+        """
+        select actor_task_id, min(event_time) as session_start, max(event_time) + interval 3 hour as session_end, count(*) as events from (
             select *, sum(fresh) over (partition by actor_task_id order by event_time, event_id rows unbounded preceding) as no from (
                 select *, case when event_time - lag(event_time) over (partition by actor_task_id order by event_time, event_id) < interval 3 hour then 0 else 1 end as fresh from deduped))
-            group by actor_task_id, no) where session_end <= {closed}
+            group by actor_task_id, no
         """,
         extra=_D,
     )
 
-    def exchanges(t: Inputs) -> DataFrame:
-        events = _events(t)
-        horizon = events.agg(F.max("event_time") - F.expr("interval 6 hours")).scalar()
-        joined = _appended(t, S.stream_exchange_join(_source(t, events)))
-        return joined.filter(F.col("prompt_time") < horizon)
-
     r.add(
         "stream_exchange_join",
-        exchanges,
+        lambda t: S.exchanges(_appended(t, S.stream_exchange_join(_in_two(t, _events(t))))),
         """
         select p.x as exchange_id, p.event_id as prompt_id, p.event_time as prompt_time, c.event_id as completion_id, c.event_time as completion_time
         from (select *, payload_json->>'$.exchange_id' as x from deduped where kind = 'model_prompt') p
         left join (select *, payload_json->>'$.exchange_id' as x from deduped where kind = 'model_completion') c
             on p.x = c.x and c.event_time >= p.event_time and c.event_time <= p.event_time + interval 2 hour
-        where p.event_time < (select max(event_time) - interval 6 hour from deduped)
         """,
         extra=_D,
     )
+
+    def tasks(t: Inputs) -> DataFrame:
+        events = _events(t)
+        # the first closing event has all moves judged, the second one fires the timers that these set
+        return _appended(t, S.stream_task_state(_in_two(t, events, _closing(events, 30), _closing(events, 60))))
+
     r.add(
         "stream_task_state",
-        lambda t: _appended(t, S.stream_task_state(_source(t, _events(t)))).filter("verdict <> 'timeout'"),
+        tasks,
         """
         select task_id, event_id, event_time, f as from_state, s as to_state, case when ended_before then 'after_end' when prev is null and f <> 'NEW' then 'wrong_start'
-            when prev is not null and f <> prev then 'broken_chain' else 'legal' end as verdict
-        from (select *, lag(s) over w as prev, coalesce(max(case when s in ('DONE', 'FAILED') then 1 else 0 end) over (partition by task_id order by event_time, event_id
-                rows between unbounded preceding and 1 preceding), 0) = 1 as ended_before
-            from (select actor_task_id as task_id, event_id, event_time, payload_json->>'$.from' as f, payload_json->>'$.to' as s from deduped where kind = 'state_move')
-            window w as (partition by task_id order by event_time, event_id))
+            when prev is not null and f <> prev then 'broken_chain' else 'legal' end as verdict from v
+        union all
+        select task_id, null, null, arg_max(s, (event_time, event_id)), null, 'timeout' from g group by task_id, run having not bool_or(s in ('DONE', 'FAILED'))
         """,
-        extra=_D,
+        extra={**_D, "m": _TASK_MOVES, "g": _TASK_RUNS, "v": _TASK_VIEWS},
     )
     r.add(
         "late_data_report",

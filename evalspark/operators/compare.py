@@ -7,13 +7,14 @@ work on sort ranges instead of whole cases.
 
 Tolerant steps look for candidates by hash keys. Text cells, and columns of small whole numbers, have to
 agree literally; of the other columns the one with most values gives tolerance buckets, such that equal cells
-share one. Only candidates are compared cell by cell. Where rows have one candidate each, these are pairs;
-the others are paired greedily in row order.
+share one. Only candidates are compared cell by cell. They are paired greedily in row order, as one after the other
+would be, but in rounds of joins and aggregates over all cases at once.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +77,8 @@ _BUCKET = 2 * X.RELATIVE_TOLERANCE
 def _candidates(rows: DataFrame) -> DataFrame:
     """Pairs of rows of one case that are equal within tolerance.
 
-    ``rows`` has case_id, is_needle, row and places (the decimals of needles, which govern). The result has
-    case_id, part (a hash of the literal cells), and the rows ``a`` (needle) and ``b``.
+    ``rows`` has case_id, is_needle, row, places (the decimals of needles, which govern), no (a number of the row on
+    its side) and times. The result has case_id, a_no, a_times (needles), b_no and b_times; cells stay behind.
     """
     cells = rows.select("case_id", "places", F.posexplode("row").alias("pos", "c"))
     num = F.col("c.num")
@@ -93,7 +94,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
         "row", lambda c, i: F.when(c["num"].isNull() | F.col("exact")[i], F.struct(c["num"].alias("n"), c["txt"].alias("t"), F.lit(True).alias("l")))
     )
     keyed = rows.join(layout.where("block is not null"), "case_id").select(
-        "case_id", "is_needle", "row", "places", F.xxhash64(literal).alias("part"),
+        "case_id", "is_needle", "row", "places", "no", "times", F.xxhash64(literal).alias("part"),
         F.get("row", F.col("block.pos"))["num"].alias("v"), F.get("places", F.col("block.pos")).alias("own"), F.col("block.decimals").alias("decimals"),
     )
     v = F.col("v")
@@ -110,25 +111,49 @@ def _candidates(rows: DataFrame) -> DataFrame:
     needle_keys = F.array(none, near_zero, rounded(F.col("own")), close(-1), close(0), close(1))
     other_keys = F.concat(F.array(none, near_zero, close(0)), F.transform("decimals", rounded))
     keys = F.array_distinct(F.array_compact(F.when(F.col("is_needle"), needle_keys).otherwise(other_keys)))
-    dealt = keyed.select("case_id", "part", "is_needle", "row", "places", F.explode(keys).alias("key"))
-    a = dealt.where("is_needle").select("case_id", "part", "key", F.col("row").alias("a"), "places")
-    b = dealt.where("not is_needle").select("case_id", "part", "key", F.col("row").alias("b"))
+    dealt = keyed.select("case_id", "part", "is_needle", "row", "places", "no", "times", F.explode(keys).alias("key"))
+    of = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("no", "times")]
+    a = dealt.where("is_needle").select("case_id", "part", "key", F.col("row").alias("a"), "places", *of("a"))
+    b = dealt.where("not is_needle").select("case_id", "part", "key", F.col("row").alias("b"), *of("b"))
     same = X.rows_equal_adaptive(F.col("a"), F.col("b"), F.col("places"))
-    return a.join(b, ["case_id", "part", "key"]).where(same).select("case_id", "part", "a", "b").distinct()
+    return a.join(b, ["case_id", "part", "key"]).where(same).select("case_id", "a_no", "b_no", "a_times", "b_times").distinct()
+
 
+def _pair_greedily(edges: DataFrame) -> DataFrame:
+    """case_id, paired: how many rows pair up if each gold row in turn takes its first predicted rows that are left.
 
-def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
-    """Pair gold rows in their order with the first predicted row that is left."""
-    left = dict(zip(edges["b_no"], edges["b_times"], strict=True))
-    paired = 0
-    for _, own in edges.sort_values(["a_no", "b_no"]).groupby("a_no", sort=True):
-        need = int(own["a_times"].iloc[0])
-        for b in own["b_no"]:
-            taken = min(need, left[b])
-            left[b] -= taken
-            need -= taken
-            paired += taken
-    return pd.DataFrame({"case_id": [edges["case_id"].iloc[0]], "paired": [paired]})
+    In a round, a predicted row whose first open gold row is one that has it as its own first open choice goes to that
+    one: nothing earlier can change that. Gold rows with the same choices, all of which are wanted by just these rows, need no turns:
+    as many pair up as the smaller side has. Rows that are used up leave with their edges, till none are left.
+    """
+    found = []
+    while True:
+        links = edges
+        for side, other in (("a", "b"), ("b", "a")):
+            name = F.col(f"{other}_no")
+            seen = edges.groupBy("case_id", f"{side}_no").agg(
+                F.min(name).alias(f"{side}_first"), F.count(F.lit(1)).alias(f"{side}_degree"), F.bit_xor(F.xxhash64(name)).alias(f"{side}_set")
+            )
+            links = links.join(seen, ["case_id", f"{side}_no"])
+        links = materialize(links, "links")
+        group = ["case_id", "a_set", "b_set", "a_degree", "b_degree"]
+        blocks = links.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("a_times").alias("a_sum"), F.sum("b_times").alias("b_sum"))
+        # each row of a whole block stands in as many edges as it has choices
+        whole = materialize(blocks.where("n = a_degree * b_degree"), "whole_blocks")
+        per_side = [(F.col(f"{x}_sum") / F.col(f"{x}_degree")).cast("bigint") for x in "ab"]
+        found.append(whole.select("case_id", F.least(*per_side).alias("paired")))
+        rest = links.join(whole.select(group), group, "left_anti")
+        taken = rest.where("b_no = a_first and a_no = b_first").select("case_id", "a_no", "b_no", F.least("a_times", "b_times").alias("paired"))
+        taken = materialize(taken, "taken")
+        if taken.isEmpty():  # the first open gold row of all always takes something, so nothing is open
+            return reduce(DataFrame.unionByName, found).groupBy("case_id").agg(F.sum("paired").alias("paired"))
+        found.append(taken.select("case_id", "paired"))
+        left = rest
+        for side in ("a", "b"):  # a row is in one of the taken edges at most
+            used = taken.select("case_id", f"{side}_no", F.col("paired").alias(f"{side}_used"))
+            left = left.join(used, ["case_id", f"{side}_no"], "left")
+        times = [(F.col(f"{x}_times") - F.coalesce(f"{x}_used", F.lit(0))).alias(f"{x}_times") for x in "ab"]
+        edges = left.select("case_id", "a_no", "b_no", *times).where("a_times > 0 and b_times > 0")
 
 
 def _unpaired(distinct: DataFrame, stats: DataFrame) -> DataFrame:
@@ -143,20 +168,7 @@ def _unpaired(distinct: DataFrame, stats: DataFrame) -> DataFrame:
     )
     rest = distinct.join(open_cases.select("case_id"), "case_id").select("case_id", "row", F.explode(sides).alias("s")).select("case_id", "row", "s.*").where("times > 0")
     rest = materialize(rest, "open_rows")
-    found = _candidates(rest.select("case_id", "is_needle", "row", "places"))
-    for side, flag in (("a", "is_needle"), ("b", "not is_needle")):
-        own = rest.where(flag).select("case_id", F.col("row").alias(side), F.col("times").alias(f"{side}_times"), F.col("no").alias(f"{side}_no"))
-        found = found.join(own, ["case_id", side])
-    edges = materialize(found.drop("a", "b"), "candidate_pairs")
-    for side in ("a", "b"):
-        degree = edges.groupBy("case_id", f"{side}_no").agg(F.count(F.lit(1)).alias(f"{side}_degree"))
-        edges = edges.join(degree, ["case_id", f"{side}_no"])
-    single = (F.col("a_degree") == 1) & (F.col("b_degree") == 1)
-    plain = edges.where(single).select("case_id", F.least("a_times", "b_times").alias("paired"))
-    kind = rest.schema["case_id"].dataType.simpleString()
-    rest_edges = edges.where(~single).select("case_id", "part", "a_no", "b_no", "a_times", "b_times")
-    other = rest_edges.groupBy("case_id", "part").applyInPandas(_greedy, f"case_id {kind}, paired long")
-    paired = plain.unionByName(other).groupBy("case_id").agg(F.sum("paired").alias("paired"))
+    paired = _pair_greedily(materialize(_candidates(rest), "candidate_pairs"))
     return open_cases.join(paired, "case_id", "left").select(
         "case_id", (F.col("n_gold") - F.coalesce("paired", F.lit(0))).alias("unpaired")
     )
@@ -175,14 +187,16 @@ def _unfound(distinct: DataFrame, stats: DataFrame) -> DataFrame:
     rows = distinct.join(open_cases, "case_id").where(small != large)
     twins = distinct.join(open_cases, "case_id").where(small & large)
     places = F.when(F.col("fewer_pred"), F.col("pred_places")).otherwise(F.col("gold_places"))
+    number = F.when(F.col("g") > 0, F.col("gold_no")).otherwise(F.col("pred_no"))
+    own = ["case_id", "row", number.alias("no"), F.lit(1).alias("times")]
     rows = materialize(
-        rows.select("case_id", small.alias("is_needle"), "row", F.when(small, places).alias("places"))
+        rows.select(*own, small.alias("is_needle"), F.when(small, places).alias("places"))
         # a row with a twin may be near to others as well
-        .unionByName(twins.select("case_id", F.lit(False).alias("is_needle"), "row", F.lit(None).cast("array<int>").alias("places"))),
+        .unionByName(twins.select(*own, F.lit(False).alias("is_needle"), F.lit(None).cast("array<int>").alias("places"))),
         "open_rows",
     )
-    found = _candidates(rows).select("case_id", F.col("a").alias("row")).distinct()
-    missing = rows.where("is_needle").join(found, ["case_id", "row"], "left_anti")
+    found = _candidates(rows).select("case_id", F.col("a_no").alias("no")).distinct()
+    missing = rows.where("is_needle").join(found, ["case_id", "no"], "left_anti")
     return rows.where("is_needle").select("case_id").distinct().join(
         missing.groupBy("case_id").agg(F.count(F.lit(1)).alias("unfound")), "case_id", "left"
     ).select("case_id", F.coalesce("unfound", F.lit(0)).alias("unfound"))

@@ -182,3 +182,34 @@ def test_parse_result_text(spark):
     for r in G.parse_result_text(df).orderBy("row_no").collect():
         got.setdefault(r["case_id"], []).append(r["cells"])
     assert got == {"lines": [["a", "1"], ["b", None]], "nested": [["a"], ["b"]], "flat": [["203.8"]]}
+
+
+def sequential(edges):
+    """Gold rows in order, each taking its first predicted rows that are left."""
+    left = {(c, b): n for c, _, b, _, n in edges}
+    paired = {}
+    for c, a in sorted({(e[0], e[1]) for e in edges}):
+        own = sorted((e[2], e[3]) for e in edges if e[0] == c and e[1] == a)
+        need = own[0][1]
+        for b, _ in own:
+            taken = min(need, left[c, b])
+            left[c, b] -= taken
+            need -= taken
+            paired[c] = paired.get(c, 0) + taken
+    return paired
+
+
+def test_rounds_equal_one_after_the_other(spark):
+    rnd = random.Random(11)
+    edges = []
+    for case in range(40):
+        n = rnd.randint(1, 7)
+        times = [[rnd.choice([1, 1, 2, 3]) for _ in range(n)] for _ in "ab"]
+        edges += [(f"c{case}", a, b, times[0][a], times[1][b]) for a in range(n) for b in range(n) if rnd.random() < 0.45]
+    # half of all rows in one case: all near each other, and a chain in which each row waits for the one before
+    edges += [("dense", a, b, 1, 1) for a in range(30) for b in range(25)]
+    edges += [("chain", a, b, 1, 1) for a in range(6) for b in (a, a + 1)]
+    df = spark.createDataFrame(edges, "case_id string, a_no long, b_no long, a_times long, b_times long")
+    found = {r["case_id"]: r["paired"] for r in G._pair_greedily(df).collect()}
+    assert found == sequential(edges) and found["dense"] == 25
+    assert G._pair_greedily(df.where("false")).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,10 +42,26 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
         for out in function(batches):
             names = list(out)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names)
+            del out
+            give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage, beside each other and the heap."""
+    pa.default_memory_pool().release_unused()
+    if "libc" not in _LIBRARY:
+        _LIBRARY["libc"] = ctypes.CDLL(None)
+    trim = getattr(_LIBRARY["libc"], "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+_LIBRARY: dict[str, ctypes.CDLL] = {}
+
+
 def bounded_rows(df: DataFrame, most: int) -> list[Row]:
     """The rows of ``df``, of which a parameter allows at most ``most``."""
     rows = df.take(most + 1)

@@ -4,11 +4,14 @@ A text is the set of its distinct word n-grams, each a 64-bit hash. Two sets are
 least ``num / den`` of their union; then they differ in at most D = floor(a * (den - num) / num) elements, a being
 the size of the smaller one.
 
-* Sizes are cut into classes. A class deals elements into k > D parts by hash and XORs the hashes of each part:
-  one differing element changes one part, so by the pigeonhole principle k - D parts agree. Parts without
-  elements agree with each other and say nothing; a set hands them out only if it has at least k - D of them,
-  without which two linked sets have another part in common. A set takes part in its own class and, if it can be
-  the larger one of a pair, in the class below.
+* Sizes are cut into classes. A class deals elements into k, some 2 D, parts by hash and XORs the hashes of each part:
+  one differing element changes one part, so by the pigeonhole principle k - D parts agree. A set takes part in its own
+  class and, if it can be the larger one of a pair, in the class below.
+* Under any one order of all parts, the first part that two linked sets have in common is among the first D + 1 of each, for no
+  more than D of a set's parts are not common to both. So a set hands out only its D + 1 first parts, rare ones before
+  frequent ones: what a common passage or license line makes up is left out, and unrelated texts don't meet. The order
+  is by counts over all texts: tasks count parts in windows of ``WINDOW`` and hand out those met twice, the ``HEAVY``
+  most frequent of their sums are known to every task, others count as rare. Parts without elements come last.
 * A second sketch of 512 bits flips one bit per element. Its Hamming distance never exceeds the number of
   differing elements, so pairs beyond D are dropped before their texts are fetched.
 * The rest is verified on the whole sets.
@@ -40,6 +43,9 @@ from evalspark.llm.frames import map_batches, written
 from evalspark.llm.words import Words, mix, signed, slices
 
 SKETCH = 512
+HEAVY = 100_000  # frequent parts that every task knows
+WINDOW = 1_000_000  # parts that a task counts together
+SEEN = 200_000  # sets that a task remembers in order not to repeat them; beyond that it starts anew
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -73,10 +79,8 @@ class Rule:
         found = []
         for c, t in ((number, top), (number - 1, low - 1)):
             most = self.differing(t) if t > 0 else 0
-            if c > 0 and size * self.num <= t * self.den and most > 0:
-                found.append((c, most, most + 1 + max(1, -(-most // 10))))
-            elif c > 0 and c == number and most > 0:
-                found.append((c, most, most + 1 + max(1, -(-most // 10))))
+            if c > 0 and most > 0 and (c == number or size * self.num <= t * self.den):
+                found.append((c, most, 2 * most + 1))
         return found
 
 
@@ -109,8 +113,8 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(">i8").astype(np.int64)
 
 
-def parts(grams: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of the parts that the set hands out."""
+def parts(grams: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(keys of all parts, which of them hold elements, most differing elements) per class of the set."""
     found = []
     for c, most, k in rule.classes(len(grams)):
         spread = mix(grams + np.uint64(c * int(_SEED) % 2**64))
@@ -118,9 +122,59 @@ def parts(grams: np.ndarray, rule: Rule) -> np.ndarray:
         value = np.zeros(k, dtype=np.uint64)
         np.bitwise_xor.at(value, part, grams)
         held = np.bincount(part, minlength=k) > 0
-        keys = mix(value ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 40)))
-        found.append(keys if k - int(held.sum()) >= k - most else keys[held])
-    return signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        found.append((signed(mix(value ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 40)))), held, most))
+    return found
+
+
+class Frequent:
+    """The most frequent parts and their counts, by which parts are ordered."""
+
+    def __init__(self, keys: list[int], counts: list[int]):
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys, self.counts = np.array(keys, dtype=np.int64)[order], np.array(counts, dtype=np.int64)[order]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
+def handed_out(grams: np.ndarray, rule: Rule, frequent: Frequent) -> np.ndarray:
+    """The D + 1 rarest parts of each class of the set."""
+    found = [keys[np.lexsort((keys, frequent(keys), ~held))[: most + 1]] for keys, held, most in parts(grams, rule)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _frequent(docs: DataFrame, rule: Rule) -> Frequent:
+    """Counts of parts over all texts, equal sets of a task counted once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        waiting: list[np.ndarray] = []
+        size = 0
+        seen: set[int] = set()
+        for b in batches:
+            for _, _, data, offsets in slices(b.column("text")):
+                for grams in sets(Words(data, offsets, lower=True), rule.words):
+                    if len(grams) and (name := identity(grams)) not in seen:
+                        seen.add(name)
+                        own = [keys[held] for keys, held, _ in parts(grams, rule)]
+                        waiting += own
+                        size += sum(map(len, own))
+                    if size >= WINDOW:
+                        yield _repeated(waiting)
+                        waiting, size, seen = [], 0, set()
+        if waiting:
+            yield _repeated(waiting)
+
+    counted = map_batches(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "key").limit(HEAVY).collect()  # bounded by the parameter
+    return Frequent([r["key"] for r in top], [r["n"] for r in top])
+
+
+def _repeated(waiting: list[np.ndarray]) -> dict:
+    keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+    return {"key": keys[n > 1], "n": n[n > 1]}
 
 
 def _set_rows(docs: DataFrame, rule: Rule, kind: str) -> DataFrame:
@@ -136,7 +190,7 @@ def _set_rows(docs: DataFrame, rule: Rule, kind: str) -> DataFrame:
 
 
 def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str) -> DataFrame:
-    """``rows`` (a generator over identity, set and text) for each set that a task has not met yet."""
+    """``rows`` (a generator over identity, set and text) for each set that a task does not remember to have met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
@@ -146,6 +200,8 @@ def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str) -> DataFrame:
                 fresh = []
                 for i, grams in enumerate(sets(w, rule.words)):
                     if len(grams) and (name := identity(grams)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(name)
                         fresh.append((name, grams, w.text_of(i)))
                 if fresh:
@@ -203,8 +259,10 @@ def link(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100
     kind = rows.schema["id"].dataType.simpleString()
     named = written(_set_rows(rows, rule, kind), "sets")
 
+    frequent = _frequent(rows, rule)
+
     def keys(fresh: list) -> dict:
-        own = [parts(grams, rule) for _, grams, _ in fresh]
+        own = [handed_out(grams, rule, frequent) for _, grams, _ in fresh]
         names = np.repeat(np.array([x[0] for x in fresh], dtype=np.int64), [len(k) for k in own])
         return {"key": np.concatenate(own), "set": names}
 

@@ -61,6 +61,14 @@ def test_parts_agree_for_linked_sets():
 
     rnd = np.random.default_rng(3)
     rule = near.Rule(4, 85, 100)
+
+    def orders(a, b):
+        """Nothing known to be frequent; some common parts; all common parts, which is the worst order."""
+        keys = [np.concatenate([k for k, _, _ in near.parts(x, rule)] or [np.zeros(0, np.int64)]) for x in (a, b)]
+        common = np.intersect1d(*keys)
+        for some in (common[:0], common[::2], common):
+            yield near.Frequent(some.tolist(), rnd.integers(2, 9, len(some)).tolist())
+
     for size in [6, 7, 8, 9, 11, 12, 13, 16, 17, 25, 60, 200, 1000]:
         for _ in range(20):
             a = np.unique(rnd.integers(0, 2**64, size, dtype=np.uint64))
@@ -69,7 +77,7 @@ def test_parts_agree_for_linked_sets():
             b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 2**64, most - drop, dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (len(a) + len(b) - common):
-                assert set(near.parts(a, rule)) & set(near.parts(b, rule))
+                assert all(set(near.handed_out(a, rule, order)) & set(near.handed_out(b, rule, order)) for order in orders(a, b))
                 bits = sum(int(x).bit_count() for x in (near.sketch(a) ^ near.sketch(b)).view(np.uint64))
                 assert bits <= len(a) + len(b) - 2 * common
 

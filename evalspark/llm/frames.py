@@ -42,15 +42,13 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
         for out in function(batches):
             names = list(out)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names)
-            del out
-            give_back()
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
 def give_back() -> None:
-    """Return freed memory to the system: workers live on from stage to stage, beside each other and the heap."""
+    """Return a finished task's memory to the system: workers live on from stage to stage, beside each other and the heap."""
     pa.default_memory_pool().release_unused()
     if "libc" not in _LIBRARY:
         _LIBRARY["libc"] = ctypes.CDLL(None)

@@ -19,6 +19,7 @@ import base64
 import gzip
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -132,6 +133,15 @@ def parse(raw: bytes) -> dict:
     }
 
 
+def plain_length(raw: bytes) -> int:
+    """The bytes of the first record of ``raw``, headers and block."""
+    head, mark, _ = raw.partition(b"\r\n\r\n")
+    size = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+    if not mark or size is None:
+        raise ValueError("a record without an end of its headers or without a length")
+    return len(head) + len(mark) + int(size[1])
+
+
 def _hex(digest: str | None) -> str | None:
     """A digest field in lower-case hex, from its usual base 32."""
     algorithm, _, value = (digest or "").partition(":")
@@ -216,7 +226,10 @@ def locate(paths: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         for b in batches:
             for path in b.column("path").to_pylist():
                 with _open(path) as file:
-                    stored = [m for m in members(file, file.size()) if m.method == 0]
+                    stored = members(file, file.size())
+                    for m in stored:
+                        if m.method != 0 and (m.name.startswith("archive/") and ".warc" in m.name or m.name.startswith("indexes/") and ".cdx" in m.name):
+                            raise ValueError(f"{path}: {m.name} is compressed by the archive, so no ranges of it can be read")
                     warcs = {m.name.rsplit("/", 1)[1]: m for m in stored if m.name.startswith("archive/") and ".warc" in m.name}
                     known: dict[str, list[tuple[int, int]]] = {name: [] for name in warcs}
                     for m in stored:
@@ -260,10 +273,15 @@ def read_records(paths: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 found = []
                 for r in records:
                     raw = data[r["offset"] - first : r["offset"] - first + r["length"]]
-                    while raw:  # one gzip member per record
-                        member = zlib.decompressobj(31)
-                        found.append(parse(member.decompress(raw)))
-                        raw = member.unused_data
+                    while raw:
+                        if raw.startswith(b"WARC/"):  # written plainly: its headers tell where it ends
+                            end = plain_length(raw)
+                            found.append(parse(raw[:end]))
+                            raw = raw[end:].lstrip(b"\r\n")
+                        else:  # one gzip member per record
+                            member = zlib.decompressobj(31)
+                            found.append(parse(member.decompress(raw)))
+                            raw = member.unused_data
                 kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
                 yield {c: pa.array([x[c] for x in found], kinds.get(c, pa.string())) for c in (x.split()[0] for x in RECORD.split(", "))}
 

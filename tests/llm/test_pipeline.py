@@ -98,8 +98,8 @@ def test_run_packs_what_the_stages_keep(sql, folder):
 def test_entry_lists_every_operator():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
-    assert set(entry.oracle_sql()) >= {"op1_quality_rules", "op2_warc", "op6_exact_topk"}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
+    assert set(entry.oracle_sql()) >= {"op1_quality_rules", "op2_warc", "op6_exact_topk", "op12_chat_formatting"}
 
 
 def test_no_rows(sql, folder):

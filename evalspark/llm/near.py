@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.components import components
-from evalspark.llm.frames import map_batches, written
+from evalspark.llm.frames import bounded_rows, map_batches, written
 from evalspark.llm.words import Words, mix, signed, slices
 
 SKETCH = 512
@@ -168,7 +168,7 @@ def _frequent(docs: DataFrame, rule: Rule) -> Frequent:
             yield _repeated(waiting)
 
     counted = map_batches(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "key").limit(HEAVY).collect()  # bounded by the parameter
+    top = bounded_rows(counted.orderBy(F.desc("n"), "key").limit(HEAVY), HEAVY)
     return Frequent([r["key"] for r in top], [r["n"] for r in top])
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.plans.keyed import exact_medians, join_null_safe, latest_per_key, top_n
-from evalspark.plans.sequence import running_sums
+from evalspark.plans.keyed import join_null_safe, latest_per_key, top_n
+from evalspark.plans.sequence import exact_medians, rank_rows
 
 # Partial matches that earn the point.
 ACCEPTED_PARTIALS = ["extra_columns", "extra_duplicates", "implicit_distinct", "aggregated_equivalent"]
@@ -428,25 +428,18 @@ def rep_variance(results: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- splits and samples
 
 
-def _hash_position(seed: str, key: str) -> tuple[Column, Column]:
-    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")).cast("binary"))
-    return digest, F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-
-
 def stratified_split(
-    questions: DataFrame, key: str, stratum: str, ratio: float = 0.3, seed: str = "42", chunks: int = 4096
+    questions: DataFrame, key: str, stratum: str, ratio: float = 0.3, seed: str = "42"
 ) -> DataFrame:
     """Reproducible split: the first ``round(n * ratio)`` ids of each stratum in hash order.
 
     At least one and, with more than one id, at most ``n - 1`` go to train. The rank of an id
-    comes from running counts over hash ranges, so a large stratum is spread over many tasks.
+    comes from running counts over sort ranges, so a large stratum is spread over many tasks.
     """
-    digest, position = _hash_position(seed, key)
+    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")).cast("binary"))
     rows = questions.select(key, F.coalesce(F.col(stratum), F.lit("unknown")).alias(stratum)).distinct()
-    rows = rows.withColumn("_digest", digest).withColumn("_position", position)
-    ranked = running_sums(
-        rows, [stratum], F.col("_position"), ["_digest", key], {"_rank": F.lit(1)}, width=2**32 // chunks
-    )
+    rows = rows.withColumn("_digest", digest)
+    ranked = rank_rows(rows, [stratum], ["_digest", key], "_rank")
     sizes = rows.groupBy(stratum).agg(_n().alias("_n"))
     wanted = F.greatest(F.bround(F.col("_n") * F.lit(float(ratio)), 0), F.lit(1.0))
     take = F.when(F.col("_n") > 1, F.least(wanted, (F.col("_n") - 1).cast("double"))).otherwise(wanted)

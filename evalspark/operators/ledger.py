@@ -273,7 +273,7 @@ def exchange_completeness(events: DataFrame) -> DataFrame:
     return counts.filter((F.col("prompts") != 1) | (F.col("completions") != 1))
 
 
-def task_lifecycle_check(events: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def task_lifecycle_check(events: DataFrame) -> DataFrame:
     """Lifecycle counters per task: starts, ends, moves after the end, broken chains, open tasks."""
     moves = events.filter(F.col("kind") == "state_move").select(
         F.col("actor_task_id").alias("task_id"),
@@ -285,10 +285,8 @@ def task_lifecycle_check(events: DataFrame, chunk_seconds: int = 86_400) -> Data
     chained = previous_values(
         moves,
         ["task_id"],
-        F.unix_timestamp("event_time"),
         ["event_time", "event_id"],
         {"to_state": "previous_state"},
-        width=chunk_seconds,
     )
     terminal = F.col("to_state").isin("DONE", "FAILED")
     ends = moves.filter(terminal).groupBy("task_id").agg(

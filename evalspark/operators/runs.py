@@ -120,11 +120,11 @@ def eval_matrix(events: DataFrame, run_ids: list[str | None] | None = None) -> D
     return last.select("run_id", "question_id", "is_correct")
 
 
-def matrix_transitions(matrix: DataFrame, runs: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def matrix_transitions(matrix: DataFrame, runs: DataFrame) -> DataFrame:
     """Change of every cell against the same question's previous run in time order.
 
     ``runs`` has run_id and first_time. Runs that lack the question are skipped; an unknown
-    correctness counts as wrong. A question's cells are cut into time ranges, so one question
+    correctness counts as wrong. A question's cells are cut into sort ranges, so one question
     that is in every run does not end up in one task.
     """
     cells = join_null_safe(
@@ -135,10 +135,8 @@ def matrix_transitions(matrix: DataFrame, runs: DataFrame, chunk_seconds: int =
     chained = previous_values(
         cells.withColumn("_run", F.coalesce("run_id", F.lit(""))),
         ["question_id"],
-        F.unix_timestamp("first_time"),
         ["first_time", "_run"],
         {"is_correct": "prev"},
-        width=chunk_seconds,
     )
     changed = F.col("prev").isNotNull() & (F.col("prev") != F.col("is_correct"))
     kind = F.when(changed, F.when(F.col("is_correct"), "prog").otherwise("regr"))
@@ -171,7 +169,7 @@ def matrix_pivot(matrix: DataFrame, runs: list[str | None]) -> DataFrame:
 # ---------------------------------------------------------------- trends and totals
 
 
-def trend_series(summary: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def trend_series(summary: DataFrame) -> DataFrame:
     """Cost, latency and utility per run in time order within a project, with the change."""
     measures = ["cost", "latency_ms", "utility"]
     rows = summary.select("project", "run_id", "first_time", *measures).withColumn(
@@ -180,10 +178,8 @@ def trend_series(summary: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     chained = previous_values(
         rows,
         ["project"],
-        F.unix_timestamp("first_time"),
         ["first_time", "_run"],
         {m: f"{m}_before" for m in measures},
-        width=chunk_seconds,
     )
     return chained.select(
         "project",

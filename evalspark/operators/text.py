@@ -121,7 +121,6 @@ def step_counters(steps: DataFrame) -> DataFrame:
     return running_sums(
         steps,
         ["trace_id"],
-        F.col("seq"),
         ["seq", "part"],
         {
             "thinking_no": F.when(kind == "thinking", 1).otherwise(0),
@@ -146,7 +145,6 @@ def pair_tool_calls(steps: DataFrame) -> DataFrame:
     ranked = running_sums(
         numbered,
         ["trace_id", "call_id", "kind"],
-        F.col("seq"),
         ["seq", "part"],
         {"_use": F.lit(1)},
     )
@@ -162,7 +160,7 @@ def pair_tool_calls(steps: DataFrame) -> DataFrame:
     open_calls = by_id.filter(F.col("r").isNull()).select("trace_id", F.lit("tool_call").alias("kind"), "c.*")
     open_results = by_id.filter(F.col("c").isNull()).select("trace_id", F.lit("tool_result").alias("kind"), "r.*")
     rest = running_sums(
-        open_calls.unionByName(open_results), ["trace_id", "kind"], F.col("seq"), ["seq", "part"], {"_use": F.lit(1)}
+        open_calls.unionByName(open_results), ["trace_id", "kind"], ["seq", "part"], {"_use": F.lit(1)}
     )
     in_order = sides(rest, ["trace_id", "_use"]).select("trace_id", "c", "r")
     fits = F.col("c").isNull() | F.col("r").isNull() | (F.col("c.seq") < F.col("r.seq"))

@@ -53,45 +53,3 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def add_missing(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose key has no row in ``other`` (NULL keys never match)."""
     return df.join(other.select(*keys).distinct(), keys, "left_anti")
-
-
-def exact_medians(
-    df: DataFrame, keys: list[str], values: dict[str, Column], small: int = 100_000, accuracy: int = 10_000
-) -> DataFrame:
-    """Exact medians of several columns per key, for groups of any size.
-
-    ``percentile`` keeps every distinct value of a group in one buffer. Here equal values are
-    counted first; a bounded sketch then brackets the median of large groups, and only the
-    values inside the bracket are ranked. Groups of up to ``small`` values are ranked whole.
-    """
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("_m"), v.cast("double").alias("_v")) for n, v in values.items()]
-    )
-    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._m", "_p._v")
-    long = long.filter(F.col("_v").isNotNull())
-    group = [*keys, "_m"]
-    counts = long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    margin = 0.5 - 4.0 / accuracy, 0.5 + 4.0 / accuracy
-    sketch = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(F.lit(margin[0]), F.lit(margin[1])), accuracy).alias("_q"),
-    )
-    joined = join_null_safe(counts, sketch, group)
-    is_small = F.col("_n") <= small
-    inside = is_small | F.col("_v").between(F.col("_q")[0], F.col("_q")[1])
-    below = joined.filter(~inside & (F.col("_v") < F.col("_q")[0])).groupBy(*group).agg(
-        F.sum("_c").alias("_below")
-    )
-    ordered = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = join_null_safe(joined.filter(inside), below, group, "left").withColumn(
-        "_hi", F.sum("_c").over(ordered) + F.coalesce("_below", F.lit(0))
-    )
-    first, last = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    low = F.col("_hi") - F.col("_c")
-    middle = ranked.groupBy(*group).agg(
-        F.max(F.when((first > low) & (first <= F.col("_hi")), F.col("_v"))).alias("_a"),
-        F.max(F.when((last > low) & (last <= F.col("_hi")), F.col("_v"))).alias("_b"),
-    )
-    return middle.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_m") == n, (F.col("_a") + F.col("_b")) / 2)).alias(n) for n in values]
-    )

@@ -50,14 +50,13 @@ def test_scores(spark):
     assert H.needs_judge(df).count() == 4
 
 
-@pytest.mark.parametrize("chunks", [1, 4096])
-def test_split_sizes(spark, chunks):
+def test_split_sizes(spark):
     rows = [(f"q{d}-{i}", f"db{d}") for d, n in enumerate([1, 2, 5, 10, 33]) for i in range(n)] + [("lone", None)]
     df = spark.createDataFrame(rows, "id string, db string")
-    split = H.stratified_split(df, "id", "db", 0.3, chunks=chunks)
+    split = H.stratified_split(df, "id", "db", 0.3)
     got = {r["db"]: (r["train"], r["total"]) for r in H.split_distribution(split, "db").collect()}
     assert got == {"db0": (1, 1), "db1": (1, 2), "db2": (2, 5), "db3": (3, 10), "db4": (10, 33), "unknown": (1, 1), "TOTAL": (18, 52)}
-    other = H.stratified_split(df, "id", "db", 0.3, seed="43", chunks=chunks)
+    other = H.stratified_split(df, "id", "db", 0.3, seed="43")
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, H.stratified_split(df, "id", "db", 0.3).collect()))
     assert split.exceptAll(other).count() > 0
 

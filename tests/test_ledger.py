@@ -141,7 +141,7 @@ def test_matrix_progression(spark):
     ev = spark.createDataFrame([cell(i, *c) for i, c in enumerate(cells)], "event_id string, event_time string, kind string, run_id string, payload_json string")
     ev = ev.withColumn("event_time", F.to_timestamp("event_time"))
     runs = ev.groupBy("run_id").agg(F.min("event_time").alias("first_time"))
-    trans = C.matrix_transitions(C.eval_matrix(ev), runs, chunk_seconds=1)
+    trans = C.matrix_transitions(C.eval_matrix(ev), runs)
     assert {(r["question_id"], r["kind"]) for r in trans.collect() if r["kind"]} == {("q1", "prog"), ("q2", "regr")}
     order = [r["question_id"] for r in C.matrix_volatility(trans).collect()]
     assert order == ["q1", "q2", "q3", "q4"]
@@ -154,7 +154,7 @@ def test_lifecycle(spark):
     ev = spark.createDataFrame(
         [(f"{t}-{s}", t, f"2026-01-0{s}T00:00:00Z", f'{{"from":"{a}","to":"{b}"}}') for t, s, a, b in moves], "event_id string, actor_task_id string, t string, payload_json string"
     ).select("event_id", "actor_task_id", F.to_timestamp("t").alias("event_time"), "payload_json", F.lit("state_move").alias("kind"))
-    got = {r["task_id"]: r for r in L.task_lifecycle_check(ev, chunk_seconds=1).collect()}
+    got = {r["task_id"]: r for r in L.task_lifecycle_check(ev).collect()}
     assert (got["t1"]["starts"], got["t1"]["ends"], got["t1"]["broken_links"], got["t1"]["moves_after_end"]) == (1, 1, 0, 0)
     assert (got["t2"]["starts"], got["t2"]["ends"], got["t2"]["broken_links"], got["t2"]["moves_after_end"]) == (2, 2, 2, 1)
     assert got["t3"]["is_open"]

@@ -132,16 +132,16 @@ def _mask_key(cols: list[Column], mask: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def wildcard_rule_join(
-    facts: DataFrame,
+def match_tuples(
+    tuples: DataFrame,
     rules: DataFrame,
     dims: list[str] = RULE_DIMS,
     key_dims: list[str] | None = None,
 ) -> DataFrame:
-    """Every (fact, rule) pair whose rule dimensions all equal the fact's or are NULL.
+    """Every (row, rule) pair whose rule dimensions all equal the row's or are NULL, for narrow rows.
 
-    A direct ``equal or NULL`` condition has no hash key, so Spark would compare every fact
-    with every rule. Each rule has a wildcard mask over ``key_dims``; a fact is expanded into
+    A direct ``equal or NULL`` condition has no hash key, so Spark would compare every row
+    with every rule. Each rule has a wildcard mask over ``key_dims``; a row is expanded into
     one probe per mask that some rule has (``2 ** len(key_dims)`` at most) and meets rules through an
     equi join. The full condition is checked again on the candidates, so the result is exact.
     Spark broadcasts the rules while their size allows it and sorts otherwise, splitting hot keys such as
@@ -159,7 +159,7 @@ def wildcard_rule_join(
     )
     # the masks that some rule has, at most 2 ** len(keys)
     masks = right.agg(F.array_sort(F.collect_set("_rmask")).alias("m")).scalar()
-    left = facts.withColumn("_mask", F.explode(masks)).withColumn(
+    left = tuples.withColumn("_mask", F.explode(masks)).withColumn(
         "_key", _mask_key([F.col(d).cast(rules.schema[d].dataType) for d in keys], F.col("_mask"))
     )
     cond = (F.col("_mask") == F.col("_rmask")) & (F.col("_key") == F.col("_rkey"))
@@ -168,6 +168,27 @@ def wildcard_rule_join(
     return left.join(right, cond, "inner").drop("_mask", "_key", "_rmask", "_rkey")
 
 
+def wildcard_rule_join(
+    facts: DataFrame,
+    rules: DataFrame,
+    dims: list[str] = RULE_DIMS,
+    key_dims: list[str] | None = None,
+) -> DataFrame:
+    """Every (fact, rule) pair whose rule dimensions all equal the fact's or are NULL.
+
+    Only the distinct dimension tuples of the facts are expanded and meet the rules (``match_tuples``); their
+    matches are joined back, so wide facts are neither copied per mask nor compared with a rule. A fact's tuple is
+    one key, NULL equal to NULL; a tuple that many facts share is split by Spark's skew join.
+    """
+    # many tuples share a hash task's rows with much work each: keep them spread over all tasks
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tuples = facts.select(*dims).repartition(parts, *dims).distinct()
+    matches = match_tuples(tuples, rules, dims, key_dims)
+    found = matches.select(F.struct(*dims).alias("_tuple"), *[f"rule_{c}" for c in rules.columns])
+    joined = facts.withColumn("_own", F.struct(*dims)).join(found, F.col("_own") == F.col("_tuple"))
+    return joined.drop("_own", "_tuple")
+
+
 def explode_rules(rules: DataFrame, list_dims: list[str]) -> DataFrame:
     """List form to scalar-or-NULL form: one row per combination of listed values.
 
@@ -289,7 +310,7 @@ def _with_rule_sums(groups: DataFrame, rules: DataFrame) -> DataFrame:
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few tuples with much work each: keep them spread over all tasks
     tuples = groups.select(*RULE_DIMS).repartition(parts, *RULE_DIMS).distinct()
-    sums = wildcard_rule_join(tuples, rules).groupBy(*RULE_DIMS).agg(
+    sums = match_tuples(tuples, rules).groupBy(*RULE_DIMS).agg(
         F.sum("rule_fixed_amount").alias("sum_fixed"), F.sum("rule_rate").alias("sum_rate")
     )
     return join_null_safe(groups, sums, RULE_DIMS)
@@ -314,7 +335,7 @@ def applicable_fee_ids(
     """Distinct rule ids per ``by`` (default merchant and day)."""
     by = ["merchant", "year", "day_of_year"] if by is None else by
     tuples = _fact_groups(payment_facts(payments, merchants), by).drop("txns", "amount")
-    return wildcard_rule_join(tuples, fees).select(*by, F.col("rule_id").alias("fees_id")).distinct()
+    return match_tuples(tuples, fees).select(*by, F.col("rule_id").alias("fees_id")).distinct()
 
 
 def fee_rules_expanded(fees: DataFrame) -> DataFrame:
@@ -413,7 +434,7 @@ def merchants_affected_by_fee(
     payments, merchants = _scoped(payments, merchants, None, year)
     rules = fees if fee_id is None else fees.filter(F.col("id") == fee_id)
     tuples = _fact_groups(payment_facts(payments, merchants), ["merchant"]).drop("txns", "amount")
-    used = wildcard_rule_join(tuples, rules).select(
+    used = match_tuples(tuples, rules).select(
         F.col("rule_id").alias("fees_id"),
         F.col("merchant").alias("payments_merchant"),
         F.col("account_type").alias("merchants_account_type"),
@@ -571,7 +592,7 @@ def rule_coverage(payments: DataFrame, merchants: DataFrame, fees: DataFrame) ->
     """Rules that never match and transactions that no rule covers, in one long table."""
     facts = payment_facts(payments, merchants)
     tuples = facts.groupBy(*RULE_DIMS).agg(F.count(F.lit(1)).alias("txns"))
-    pairs = wildcard_rule_join(tuples, fees)
+    pairs = match_tuples(tuples, fees)
     used = pairs.select(F.col("rule_id").alias("id")).distinct()
     unused = (
         fees.select("id").distinct().join(used, "id", "left_anti").select(

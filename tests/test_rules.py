@@ -45,6 +45,21 @@ def test_masked_join_equals_pairwise(spark, keys):
     assert a == b and len(a) > 100
 
 
+def test_hot_tuple_joins_back_whole(spark):
+    """Repeated facts, half of them with one dimension tuple that holds NULLs, keep their multiplicity."""
+    rnd = random.Random(11)
+    everything = (999, None, None, None, None, None, None, None, None, 0.5, 7, None)
+    rules = spark.createDataFrame([*random_rules(rnd, 40), everything], RULE)
+    some = random_facts(rnd, 60)
+    hot = [(f"h{i % 50}", "A", None, 1, None, "A", True, 0.0, None, "<7.2%") for i in range(300)]
+    facts = spark.createDataFrame(some * 5 + hot, FACT)
+    got = R.wildcard_rule_join(facts, rules)
+    assert got.columns == facts.columns + [f"rule_{c}" for c in rules.columns]
+    counted = lambda df: sorted(map(tuple, df.groupBy("psp", "rule_id").count().collect()))
+    want = counted(pairwise(facts, rules))
+    assert counted(got) == want and any(r[0] == "h0" for r in want)
+
+
 def test_null_fact_matches_only_wildcards(spark):
     rules = spark.createDataFrame([(1, None), (2, "A")], "id bigint, aci string")
     facts = spark.createDataFrame([("p", None)], "psp string, aci string")

@@ -41,12 +41,18 @@ def _stats_sql(table: str, column: str, dtype: str) -> str:
     def share(pattern: str) -> str:
         return f"coalesce(cast(sum(length(regexp_replace({c}, '{pattern}', '', 'g'))) as double) / {total}, 0)"
 
+    hits = ", ".join(f"count(*) filter (regexp_matches({c}, '{p}'))" for _, p in E.TEXT_PATTERNS)
+    finest = (
+        f"case when bool_or(extract('microsecond' from {c}) <> 0) then 'second' when bool_or(minute({c}) <> 0) then 'minute' "
+        f"when bool_or(hour({c}) <> 0) then 'hour' when count({c}) > 0 then 'day' end"
+    )
     return (
         f"select '{table}' as \"table\", '{column}' as \"column\", '{dtype}' as dtype, cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value, "
         f"{f'avg({c})' if number else 'cast(null as double)'} as avg, {f'stddev({c})' if number else 'cast(null as double)'} as std, count(*) as \"count\", "
         f"coalesce(count(*) filter ({c} is null) * cast(100 as double) / nullif(count(*), 0), 0) as null_percentage, "
         f"{f'min(length({c}))' if text else 'null'} as min_length, {f'max(length({c}))' if text else 'null'} as max_length, {f'avg(length({c}))' if text else 'null'} as avg_length, "
-        f"{share('[^a-zA-Z]') if text else 'null'} as alpha, {share('[^0-9]') if text else 'null'} as digits, count(distinct {c}) as unique_count from {table}"
+        f"{share('[^a-zA-Z]') if text else 'null'} as alpha, {share('[^0-9]') if text else 'null'} as digits, count(distinct {c}) as unique_count, "
+        f"{f'[{hits}]' if text else 'cast(null as bigint[])'} as hits, count({c}) as known, {finest if dtype == 'TIMESTAMP' else 'cast(null as varchar)'} as finest_part from {table}"
     )
 
 
@@ -69,19 +75,15 @@ select f.*, s.samples from flagged f left join (
     where rk <= case when is_categorical then least(unique_count, 10) when dtype = 'VARCHAR' then 20 else 0 end group by 1, 2) s
 on f."table" = s.st and f."column" = s.sc
 """
-_PATTERNS = [(n, p) for n, p in E.TEXT_PATTERNS]
+# the first pattern that at least 80 percent of all values of a column match
 _PATTERN_CASE = (
-    "case when dtype <> 'VARCHAR' or samples is null then null "
-    + " ".join(
-        "when len(list_filter(samples, lambda v: regexp_matches(v, '{}'))) >= len(samples) * cast(0.8 as double) then '{}'".format(p, n)
-        for n, p in _PATTERNS
-    )
+    "case when dtype <> 'VARCHAR' or known = 0 then null "
+    + " ".join(f"when hits[{i}] >= known * cast(0.8 as double) then '{n}'" for i, (n, _) in enumerate(E.TEXT_PATTERNS, start=1))
     + " end"
 )
 _KEYS = "regexp_matches(lower(\"column\"), '^(id|pk|key)$|(_id|_pk|_key|id)$|^(pk_|id_)')"
-_PROFILED = f"""
-select *, {_PATTERN_CASE} as detected_pattern, unique_count > 0 and unique_count >= "count" * cast(0.95 as double) and {_KEYS} as is_primary_key from sampled
-"""
+_IS_KEY = f'unique_count > 0 and unique_count >= "count" * cast(0.95 as double) and {_KEYS}'
+_PROFILED = f"select *, {_PATTERN_CASE} as detected_pattern, {_IS_KEY} as is_primary_key from sampled"
 _PROFILE = {
     "colstats": _STATS,
     "colvalues": _VALUES,
@@ -164,7 +166,7 @@ select p.*, b.tt, b.tc, b.kind, b.card, case when is_primary_key then 'pk' when
     when dtype = 'TIMESTAMP' then 'timestamp' when dtype = 'DOUBLE' then 'fact' when dtype in ('BIGINT', 'INTEGER') and regexp_matches(lower(p."column"), '{_MEASURE}') then 'fact'
     when dtype in ('BIGINT', 'INTEGER') and coalesce(try_cast(min_value as double) = 0 and try_cast(max_value as double) > 1 and unique_count >= (try_cast(max_value as double) + 1) * cast(0.6 as double), false) then 'fact'
     when dtype in ('BIGINT', 'INTEGER') and b.tt is not null and {_KEYS.replace('"column"', 'p."column"')} then 'fk' when is_categorical then 'dimension' when dtype = 'VARCHAR' then 'dimension' end as role,
-    case when dtype = 'TIMESTAMP' then case when samples is null and regexp_matches(min_value, '00:00:00$') and regexp_matches(max_value, '00:00:00$') then 'day' else 'second' end end as granularity
+    case when dtype = 'TIMESTAMP' then coalesce(finest_part, 'day') end as granularity
 from profiled p left join best b on p."table" = b.t and p."column" = b.c
 """
 _FACTROWS = """
@@ -222,6 +224,10 @@ def _profile(t: Inputs):
     return E.profile_columns(_tables(t), exact=True)
 
 
+def _counted(t: Inputs):
+    return E.column_statistics(_tables(t)).join(E.distinct_counts(_values(t)), ["table", "column"])
+
+
 def _similar(t: Inputs):
     return E.with_relationship(E.column_jaccard_exact(_values(t)))
 
@@ -270,7 +276,7 @@ def register(r: Registry) -> None:
     r.add("profile_schema", lambda t: E.profile_columns(_tables(t)).drop("sample_values"))
     r.add(
         "categorical_flag",
-        lambda t: E.categorical_flag(E.column_statistics(_tables(t)).join(E.distinct_counts(_values(t)), base)).select(*base, "unique_count", "is_categorical"),
+        lambda t: E.categorical_flag(_counted(t)).select(*base, "unique_count", "is_categorical"),
         'select "table", "column", unique_count, is_categorical from flagged',
         extra=_PROFILE,
     )
@@ -293,9 +299,9 @@ def register(r: Registry) -> None:
     )
     r.add(
         "detect_pattern",
-        lambda t: _profile(t).select(*base, "detected_pattern"),
-        'select "table", "column", detected_pattern from profiled',
-        extra=_PROFILE,
+        lambda t: E.column_statistics(_tables(t)).select(*base, "detected_pattern"),
+        f'select "table", "column", {_PATTERN_CASE} as detected_pattern from colstats',
+        extra={"colstats": _STATS},
     )
     r.add("minhash_signature", lambda t: E.minhash_signature(_values(t)).withColumn("signature", F.hash("signature")))
     r.add("column_similarity", lambda t: E.column_similarity(E.minhash_signature(_values(t))))
@@ -327,15 +333,15 @@ def register(r: Registry) -> None:
     )
     r.add(
         "detect_primary_key",
-        lambda t: FA.detect_primary_key(_profile(t)).select(*base, "is_primary_key"),
-        'select "table", "column", is_primary_key from profiled',
-        extra=_PROFILE,
+        lambda t: FA.detect_primary_key(_counted(t)).select(*base, "is_primary_key"),
+        f'select "table", "column", {_IS_KEY} as is_primary_key from colstats',
+        extra={"colstats": _STATS},
     )
     r.add(
         "date_granularity",
-        lambda t: FA.date_granularity(_profile(t)).select(*base, "date_granularity"),
-        'select "table", "column", granularity as date_granularity from roles',
-        extra=_FACTS,
+        lambda t: FA.date_granularity(E.column_statistics(_tables(t))).select(*base, "date_granularity"),
+        "select \"table\", \"column\", case when dtype = 'TIMESTAMP' then coalesce(finest_part, 'day') end as date_granularity from colstats",
+        extra={"colstats": _STATS},
     )
     r.add(
         "column_granularity",

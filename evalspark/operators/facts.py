@@ -66,34 +66,10 @@ def semantic_role(confirmed: Column, joined: Column) -> Column:
     )
 
 
-def _clock(text: Column, part: int) -> Column:
-    return F.regexp_extract(text, r"(\d{2}):(\d{2})(?::(\d{2}))?", part)
-
-
 def date_granularity(profile: DataFrame) -> DataFrame:
-    """day, hour, minute or second for date and time columns, from samples or the two extremes."""
-    dtype = F.upper("dtype")
-    samples = F.slice(F.coalesce("sample_values", F.array().cast("array<string>")), 1, 5)
-
-    def any_part(part: int) -> Column:
-        return F.exists(samples, lambda v: ~_clock(v, part).isin("", "00"))
-
-    def zero(column: str) -> Column:
-        c = F.col(column)
-        return c.rlike(r"\d{2}:\d{2}") & (_clock(c, 1) == "00") & (_clock(c, 2) == "00") & _clock(c, 3).isin("", "00")
-
-    kind = (
-        F.when(~dtype.rlike("DATE|TIME"), F.lit(None))
-        .when(dtype == "DATE", "day")
-        .when((F.size(samples) > 0) & any_part(3), "second")
-        .when((F.size(samples) > 0) & any_part(2), "minute")
-        .when((F.size(samples) > 0) & any_part(1), "hour")
-        .when(F.size(samples) > 0, "day")
-        .when(dtype.contains("TIMESTAMP") & zero("min_value") & zero("max_value"), "day")
-        .when(dtype.contains("TIMESTAMP"), "second")
-        .otherwise("day")
-    )
-    return profile.withColumn("date_granularity", kind)
+    """day, hour, minute or second for date and time columns, from all their values; day without values."""
+    timed = F.upper("dtype").rlike("DATE|TIME")
+    return profile.withColumn("date_granularity", F.when(timed, F.coalesce("finest_part", F.lit("day"))))
 
 
 def column_granularity(df: DataFrame, column: str) -> DataFrame:

@@ -158,10 +158,43 @@ def test_cross_database(spark):
 
 
 def test_patterns(spark):
-    samples = [["a@b.co", "c@d.org"], ["https://x", "http://y"], ["12345678-1234-1234-1234-1234567890ab"], ["2024-01-02", "03/04/2024", "01-02-03", "2024/01/01", "x"], ["+1 555 1234"], ["abc"], []]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s array<string>")
-    got = [r[0] for r in df.select("i", E.detect_pattern(F.col("s")).alias("p")).orderBy("i").select("p").collect()]
-    assert got == ["email", "url", "uuid", "date_string", "phone", None, None]
+    samples = [["a@b.co", "c@d.org"], ["https://x", "http://y"], ["12345678-1234-1234-1234-1234567890ab"], ["2024-01-02", "03/04/2024", "01-02-03", "2024/01/01", "x"], ["+1 555 1234"], ["abc"], [], [None]]
+    tables = {f"t{i}": spark.createDataFrame([(v,) for v in vs], "s string") for i, vs in enumerate(samples)}
+    got = {r["table"]: r["detected_pattern"] for r in E.column_statistics(tables).collect()}
+    assert [got[f"t{i}"] for i in range(len(samples))] == ["email", "url", "uuid", "date_string", "phone", None, None, None]
+
+
+def test_whole_column_decides(spark):
+    """Values beyond the smallest ones count: neither 20 e-mails first nor 5 midnights first name a column."""
+    mixed = [f"a{i:02d}@b.co" for i in range(20)] + [f"word {i}" for i in range(20)]
+    mails = ["#"] * 2 + [f"u{i}@b.co" for i in range(8)]
+    times = [f"2024-01-{i:02d} 00:00:00" for i in range(1, 10)]
+    tables = {
+        "mixed": spark.createDataFrame([(v,) for v in mixed], "s string"),
+        "mails": spark.createDataFrame([(v,) for v in mails], "s string"),
+        "days": spark.createDataFrame([(v,) for v in times], "s string").selectExpr("timestamp(s) as s"),
+        "late": spark.createDataFrame([(v,) for v in times + ["2024-02-01 00:30:00"]], "s string").selectExpr("timestamp(s) as s"),
+        "fine": spark.createDataFrame([(v,) for v in times + ["2024-02-01 00:00:00.5"]], "s string").selectExpr("timestamp(s) as s"),
+        "none": spark.createDataFrame([(None,)], "s timestamp"),
+        "date": spark.createDataFrame([("2024-01-01",)], "s string").selectExpr("date(s) as s"),
+    }
+    stats = FA.date_granularity(E.column_statistics(tables))
+    got = {r["table"]: (r["detected_pattern"], r["date_granularity"]) for r in stats.collect()}
+    assert got == {
+        "mixed": (None, None), "mails": ("email", None), "days": (None, "day"), "late": (None, "minute"), "fine": (None, "second"),
+        "none": (None, "day"), "date": (None, "day"),
+    }
+
+
+def test_smallest_values(spark):
+    """The smallest distinct values over many tasks, in byte order, without NULLs."""
+    rnd = random.Random(8)
+    words = [rnd.choice(["", "a", "Z", "\u00e9", "\U0001f600", "zz"]) + str(rnd.randint(0, 60)) for _ in range(900)] + [None] * 9
+    df = spark.createDataFrame([(w, i % 3) for i, w in enumerate(words)], "w string, c int").repartition(7)
+    got = {r["column"]: r["sample_values"] for r in E.sample_values(E.smallest_values({"t": df}, 20)).collect()}
+    assert got["w"] == sorted({w for w in words if w is not None}, key=lambda w: w.encode())[:20]
+    assert got["c"] == ["0", "1", "2"]
+    assert E.smallest_values({"t": df.limit(0)}).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -180,6 +213,23 @@ def test_exact_and_estimated_similarity(pair):
     assert abs(guess[("name", "label")] - exact[("name", "label")]) < 0.1
 
 
+def test_similarity_bands_lose_no_pair(spark):
+    """Against all pairs of signatures, and at least nine in ten of the pairs that exact counts put at 0.5 or more."""
+    step = lambda i: spark.range(i * 40, i * 40 + 300).selectExpr("id as v", "id % 7 as w", "cast(null as string) as n")
+    tables = {f"t{i}": step(i) for i in range(6)}
+    values = E.column_values(tables)
+    signatures = E.minhash_signature(values)
+    rows = [(r["table"], r["column"], r["signature"]) for r in signatures.collect()]
+    key = lambda r: (r["source_table"], r["source_column"], r["target_table"], r["target_column"])
+    got = {key(r): r["jaccard_similarity"] for r in E.column_similarity(signatures).collect()}
+    every = {
+        (a, c, b, d): round(sum(x == y for x, y in zip(s, t)) / len(s), 3) for a, c, s in rows for b, d, t in rows if a < b
+    }
+    assert got == {k: v for k, v in every.items() if v >= 0.5}
+    exact = {key(r) for r in E.column_jaccard_exact(values).collect() if r["jaccard_similarity"] >= 0.5}
+    assert len(exact) >= 20 and len(exact & set(got)) >= 0.9 * len(exact)
+
+
 def test_orphans_both_ways(pair):
     got = {(r["table"], r["column"]): (r["orphan_count"], len(r["orphan_sample"])) for r in E.orphan_values(E.column_values(pair)).collect()}
     assert got == {("left", "team_id"): (50, 10), ("right", "team_id"): (60, 10)}

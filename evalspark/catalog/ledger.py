@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +12,7 @@ from evalspark.catalog.inputs import Inputs
 from evalspark.catalog.registry import Registry
 from evalspark.functions import ids
 from evalspark.operators import ledger as L
+from evalspark.operators import rules as R
 from evalspark.session import fresh_dir
 from evalspark.sources import ledger_files as LF
 from evalspark.sources import tables as TB
@@ -60,6 +64,111 @@ def _phase(p: str) -> str:
     return f"""'{{"model":"' || model || '","phase":"{p}"}}'"""
 
 
+# the namespace of all ids, written down from its definition and not taken from the operator
+_NAMESPACE = "8ba6b5dc1c1c5d299b0e43c4d2c3a9f1"
+_POSTING_NAME = "event_id || chr(0) || 'posting:' || position"
+
+
+def _name_hash(name: str) -> str:
+    return f"sha1(unhex('{_NAMESPACE}') || encode({name}))"
+
+
+def _name_based(h: str) -> str:
+    """SQL for the version 5 UUID of a SHA-1 in hex: version digit 5, the variant's upper bits 10."""
+    variant = f"case when substr({h}, 17, 1) in ('0', '4', '8', 'c') then '8' when substr({h}, 17, 1) in ('1', '5', '9', 'd') then '9' when substr({h}, 17, 1) in ('2', '6', 'a', 'e') then 'a' else 'b' end"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+def _star(t: Inputs, layout) -> dict[str, DataFrame]:
+    """All five files of the star, written once and loaded in a layout; dimensions with lists are JSON."""
+    folder = fresh_dir(t.spark, "star")
+    tables = {
+        "payments": t.payments,
+        "acquirer_countries": t.acquirer_countries,
+        "merchant_category_codes": t.mcc_codes,
+        "merchant_data": t.merchants,
+        "fees": t.fees_list,
+    }
+    paths = {n: f"{folder}/{n}.{'json' if n in ('merchant_data', 'fees') else 'csv'}" for n in tables}
+    for n, df in tables.items():
+        df.write.option("header", "true").format(paths[n].rpartition(".")[2]).save(paths[n])
+    schemas = {n: df.schema for n, df in tables.items()}
+    return TB.load_star(t.spark, paths, schemas, *layout(schemas))
+
+
+def _register_star(r: Registry) -> None:
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
+    r.add(
+        "load_star",
+        lambda t: _star(t, TB.placeholder_layout)["table_1"].groupBy("column_b", "column_c").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("column_g").alias("amount")
+        ),
+        "select merchant as column_b, card_scheme as column_c, count(*) as n, sum(eur_amount) as amount from payments group by 1, 2",
+        doubles="amount",
+        digits=2,
+    )
+    r.add(
+        "load_star_payments",
+        lambda t: _star(t, lambda _: TB.descriptive_layout())["payments"],
+        """
+        select psp_reference as transaction_id, merchant as merchant_id, card_scheme, year, day_of_year, is_credit, eur_amount as transaction_amount_eur,
+            issuing_country as card_issuing_country_code, acquirer_country as acquirer_country_code, email_address, shopper_interaction,
+            has_fraudulent_dispute as is_fraudulent_dispute, is_refused, aci as authorization_characteristics_indicator from payments
+        """,
+        doubles="transaction_amount_eur",
+    )
+    r.add(
+        "load_star_merchants",
+        lambda t: _star(t, lambda _: TB.descriptive_layout())["merchants"].withColumn("acquirers", listed("acquirers")),
+        """
+        select merchant as merchant_id, capture_delay as capture_delay_days_or_immediate_or_manual, array_to_string(acquirer, '|') as acquirers,
+            merchant_category_code, account_type from merchants
+        """,
+    )
+    r.add(
+        "load_star_fee_rules",
+        lambda t: _star(t, lambda _: TB.descriptive_layout())["fee_rules"].withColumns(
+            {c: listed(c) for c in ("card_scheme_filter", "account_types_filter_empty_means_any", "mccs_filter_empty_means_any", "acis_filter_empty_means_any")}
+        ),
+        """
+        select id as fee_rule_id, array_to_string(card_scheme, '|') as card_scheme_filter, array_to_string(account_type, '|') as account_types_filter_empty_means_any,
+            array_to_string(merchant_category_code, '|') as mccs_filter_empty_means_any, array_to_string(aci, '|') as acis_filter_empty_means_any,
+            fixed_amount as fixed_fee_eur, rate as variable_rate_bps from fees_list
+        """,
+        doubles="fixed_fee_eur",
+    )
+    r.add(
+        "load_star_lookups",
+        lambda t: (lambda s: s["acquirer_countries"].select(F.col("acquirer_name").alias("name"), F.col("country_code").alias("value")).unionByName(
+            s["merchant_category_codes"].select(F.col("mcc").alias("name"), F.col("mcc_description").alias("value"))
+        ))(_star(t, lambda _: TB.descriptive_layout())),
+        "select acquirer as name, country_code as value from acquirer_countries union all select mcc, description from mcc_codes",
+    )
+
+    def fees_met(t: Inputs):
+        star = _star(t, TB.placeholder_layout)
+        back = {n: {new: old for old, new in cols.items()} for n, cols in TB.placeholder_layout(
+            {"payments": t.payments.schema, "acquirer_countries": t.acquirer_countries.schema, "merchant_category_codes": t.mcc_codes.schema, "merchant_data": t.merchants.schema, "fees": t.fees_list.schema}
+        )[0].items()}
+        payments, merchants, fees = (star[f"table_{i}"].withColumnsRenamed(back[n]) for i, n in ((1, "payments"), (4, "merchant_data"), (5, "fees")))
+        dims = ["card_scheme", "account_type", "merchant_category_code", "aci"]
+        matched = R.list_rule_join(R.payment_facts(payments, merchants), fees, dims, dims)
+        return matched.groupBy(F.col("rule_id").alias("fees_id")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("eur_amount").alias("amount"))
+
+    anything = lambda d, v: f"(coalesce(len(f.{d}), 0) = 0 or list_contains(f.{d}, {v}))"
+    r.add(
+        "load_star_fee_matches",
+        fees_met,
+        f"""
+        select f.id as fees_id, count(*) as pairs, sum(p.eur_amount) as amount from payments p join merchants m on p.merchant = m.merchant join fees_list f
+            on {anything('card_scheme', 'p.card_scheme')} and {anything('account_type', 'm.account_type')}
+            and {anything('merchant_category_code', 'm.merchant_category_code')} and {anything('aci', 'p.aci')} group by 1
+        """,
+        doubles="amount",
+        digits=2,
+    )
+
+
 def register(r: Registry) -> None:
     r.add(
         "read_ledger",
@@ -123,27 +232,18 @@ def register(r: Registry) -> None:
         union all select -1, cast(count(*) as varchar) from events where event_id % 7 = 0""",
     )
 
-    def star(t: Inputs):
-        folder = fresh_dir(t.spark, "star")
-        t.payments.write.option("header", "true").csv(f"{folder}/payments.csv")
-        schemas = {"payments": t.payments.schema}
-        loaded = TB.load_star(t.spark, {"payments": f"{folder}/payments.csv"}, schemas, *TB.placeholder_layout(schemas))
-        return loaded["table_1"].groupBy("column_b", "column_c").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("column_g").alias("amount")
-        )
+    _register_star(r)
 
-    r.add(
-        "load_star",
-        star,
-        "select merchant as column_b, card_scheme as column_c, count(*) as n, sum(eur_amount) as amount from payments group by 1, 2",
-        doubles="amount",
-        digits=2,
-    )
+    databases = {
+        "geo": ["region", "nation"],
+        "trade": ["customer", "supplier", "part", "orders", "lineitem"],
+        "activity": ["events", "conversations"],
+        "corpus": ["documents", "embeddings", "pages", "benchmark", "labels"],
+    }
 
     def copied(t: Inputs):
         folder = fresh_dir(t.spark, "copy")
-        names = {"geo": ["region", "nation"], "trade": ["customer", "supplier", "orders"]}
-        done = TB.copy_schema_tables({d: {n: t.table(n) for n in ns} for d, ns in names.items()}, folder)
+        done = TB.copy_schema_tables({d: {n: t.table(n) for n in ns} for d, ns in databases.items()}, folder)
         counts = [
             t.spark.read.parquet(f"{folder}/{d}/{n}").agg(
                 F.lit(d).alias("database"), F.lit(n).alias("table"), F.count(F.lit(1)).alias("n")
@@ -151,17 +251,13 @@ def register(r: Registry) -> None:
             for d, ns in done.items()
             for n in ns
         ]
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.unionByName(c)
-        return out
+        return reduce(DataFrame.unionByName, counts)
 
     r.add(
         "copy_schema_tables",
         copied,
         " union all ".join(
-            f"select '{d}' as database, '{n}' as \"table\", count(*) as n from {n}"
-            for d, n in [("geo", "region"), ("geo", "nation"), ("trade", "customer"), ("trade", "supplier"), ("trade", "orders")]
+            f"select '{d}' as database, '{n}' as \"table\", count(*) as n from {n}" for d, ns in databases.items() for n in ns
         ),
     )
     r.add(
@@ -202,11 +298,14 @@ def register(r: Registry) -> None:
         "select project_id, count(*) as n, count(distinct idempotency_key) as ids, count(*) as well_formed from deduped group by 1",
         extra=_D,
     )
-    # the id itself has no SQL form on the checking side (no binary SHA-1 input): rows only, known values are unit tested
     r.add(
         "deterministic_event_id_values",
         lambda t: L.with_event_ids(_events(t).drop("event_id")).select("project_id", "idempotency_key", "event_id"),
+        f"select project_id, idempotency_key, {_name_based('hash')} as event_id from "
+        f"(select *, {_name_hash('project_id || chr(0) || idempotency_key')} as hash from deduped)",
+        extra=_D,
     )
+    legs = "(select event_id, unnest(['a', 'b']) as account_id, unnest([0, 1]) as position from deduped)"
     r.add(
         "deterministic_posting_id",
         lambda t: L.with_posting_ids(
@@ -215,6 +314,9 @@ def register(r: Registry) -> None:
                 F.array(F.struct(F.lit("a").alias("account_id")), F.struct(F.lit("b").alias("account_id"))).alias("postings"),
             )
         ),
+        f"select {_name_based('hash')} as posting_id, event_id, position, account_id from "
+        f"(select *, {_name_hash(_POSTING_NAME)} as hash from {legs})",
+        extra=_D,
     )
     r.add(
         "uuid7_time",

@@ -549,11 +549,14 @@ _define(
     "annotations",
     "nation",
     """
-    select case n_nationkey % 5 when 4 then 'nowhere' else 'orders' end as "table@as@",
-        case n_nationkey % 6 when 0 then 'o_orderkey' when 1 then 'o_orderstatus' when 2 then 'o_missing' when 3 then null
-            when 4 then 'o_totalprice' else 'o_custkey' end as "column@as@",
-        case n_nationkey % 7 when 0 then '' when 1 then 'the o orderstatus column' when 2 then repeat('long ', 60) else 'Set by ' || n_name end as annotation
-    from {nation}
+    select "table@as@", "column@as@", case n_nationkey % 7 when 0 then '' when 1 then 'the ' || replace(coalesce("column@as@", 'whole table'), '_', ' ') || ' column'
+        when 2 then repeat('long ', 60) else 'Set by ' || n_name end as annotation
+    from (select n_nationkey, n_name, case n_nationkey % 5 when 4 then 'nowhere' when 3 then 'documents' when 2 then 'lineitem' else 'orders' end as "table@as@",
+        case n_nationkey % 6 when 2 then 'o_missing' when 3 then null else case n_nationkey % 5
+            when 3 then case n_nationkey % 6 when 0 then 'doc_id' when 1 then 'lang' when 4 then 'n_chars' else 'source' end
+            when 2 then case n_nationkey % 6 when 0 then 'l_orderkey' when 1 then 'l_returnflag' when 4 then 'l_tax' else 'l_shipdate' end
+            else case n_nationkey % 6 when 0 then 'o_orderkey' when 1 then 'o_orderstatus' when 4 then 'o_totalprice' else 'o_custkey' end end end as "column@as@"
+        from {nation}) x
     """.replace('"table@as@"', "@q@table@q@").replace('"column@as@"', "@q@column@q@"),
 )
 _DIALECT["@q@table@q@"] = ("`table`", '"table"')

@@ -212,6 +212,15 @@ def _fact_text() -> dict[str, str]:
     return out
 
 
+# extremes as text in one form for both engines: a fraction by its value in thousandths
+_FIXED_SQL = "case when dtype = 'DOUBLE' then cast(cast(round(cast({c} as double) * 1000) as bigint) as varchar) else regexp_replace({c}, '(\\.[0-9]*[1-9])0+$', '\\1') end as {c}"
+
+
+def _fixed_text(column: str):
+    fraction = F.round(F.col(column).cast("double") * 1000).cast("bigint").cast("string")
+    return F.when(F.col("dtype") == "DOUBLE", fraction).otherwise(F.regexp_replace(column, r"(\.[0-9]*[1-9])0+$", "$1")).alias(column)
+
+
 def _tables(t: Inputs):
     return {name: t.table(name) for name in RAW_TABLES}
 
@@ -257,14 +266,13 @@ def register(r: Registry) -> None:
     joined = lambda df, *cols: df.withColumns({c: F.array_join(c, "|") for c in cols})
     base = ["table", "column"]
 
-    numbers = "dtype in ('INTEGER', 'BIGINT', 'VARCHAR')"
     r.add(
         "profile_columns",
         lambda t: _profile(t).select(
-            *base, "dtype", F.when(F.expr(numbers), F.col("min_value")).alias("min_value"), F.when(F.expr(numbers), F.col("max_value")).alias("max_value"),
+            *base, "dtype", _fixed_text("min_value"), _fixed_text("max_value"),
             "unique_count", "avg", "std", "count", "null_percentage", "is_categorical", "min_length", "max_length", "avg_length", "detected_pattern",
         ),
-        f'select "table", "column", dtype, case when {numbers} then min_value end as min_value, case when {numbers} then max_value end as max_value, unique_count, avg, std, "count", '
+        f'select "table", "column", dtype, {_FIXED_SQL.format(c="min_value")}, {_FIXED_SQL.format(c="max_value")}, unique_count, avg, std, "count", '
         "null_percentage, is_categorical, min_length, max_length, avg_length, detected_pattern from profiled",
         doubles="avg std null_percentage avg_length",
         longs="min_length max_length",
@@ -282,9 +290,8 @@ def register(r: Registry) -> None:
     )
     r.add(
         "sample_values",
-        lambda t: joined(E.sample_values(E.column_values({n: t.table(n) for n in ("orders", "part", "customer", "labels", "events")}).filter("column not in ('o_orderdate', 'ts', 'value')")), "sample_values"),
-        'select "table", "column", string_agg(value, \'|\' order by value) as sample_values from ranked where rk <= 20 and "table" in (\'orders\', \'part\', \'customer\', \'labels\', \'events\') '
-        "and \"column\" not in ('o_orderdate', 'ts', 'value') group by 1, 2",
+        lambda t: joined(E.sample_values(E.smallest_values(_tables(t))), "sample_values"),
+        'select "table", "column", string_agg(value, \'|\' order by value) as sample_values from ranked where rk <= 20 group by 1, 2',
         extra=_PROFILE,
     )
     r.add(
@@ -418,12 +425,10 @@ def register(r: Registry) -> None:
         """,
         extra=_FACTS,
     )
-    # extremes of times and fractions print differently in the two engines
-    plain = "dtype not in ('TIMESTAMP', 'DOUBLE')"
     r.add(
         "format_fact_string",
-        lambda t: FA.format_fact_string(_facts(t)).filter(plain).select(*base, "fact"),
-        f'select t as "table", c as "column", txt as fact from f7 join profiled p on p."table" = t and p."column" = c where {plain}',
+        lambda t: FA.format_fact_string(_facts(t)).select(*base, "fact"),
+        'select t as "table", c as "column", txt as fact from f7',
         extra={**_FACTS, **_fact_text()},
     )
     r.add(
@@ -442,19 +447,20 @@ def register(r: Registry) -> None:
     r.add(
         "annotation_merge",
         lambda t: FA.annotation_merge(
-            E.column_statistics({"orders": t.orders}).select(*base, "dtype"), t.annotations
+            E.column_statistics(_tables(t)).select(*base, "dtype"), t.annotations
         ),
         'select c.t as "table", c.c as "column", c.d as dtype, a.annotation from (values '
-        + ", ".join(f"('{t}', '{c}', '{d}')" for t, c, d in _COLUMNS if t == "orders")
+        + ", ".join(f"('{t}', '{c}', '{d}')" for t, c, d in _COLUMNS)
         + ') c(t, c, d) left join annotations a on a."table" = c.t and a."column" = c.c',
     )
     r.add(
         "validate_annotations",
-        lambda t: FA.validate_annotations(t.annotations, E.column_statistics({"orders": t.orders})),
+        lambda t: FA.validate_annotations(t.annotations, E.column_statistics(_tables(t))),
         """
-        select "table", "column", w as warning from (select "table", "column", case when "table" <> 'orders' then 'unknown_table'
+        select "table", "column", w as warning from (select "table", "column", case when "table" = 'nowhere' then 'unknown_table'
                 when "column" = 'o_missing' then 'unknown_column' when trim(annotation) = '' then 'empty' when length(annotation) > 200 then 'too_long' end as w from annotations
-            union all select "table", "column", 'restates_name' from annotations where "table" = 'orders' and "column" = 'o_orderstatus' and annotation = 'the o orderstatus column')
+            union all select "table", "column", 'restates_name' from annotations
+                where "table" <> 'nowhere' and "column" <> 'o_missing' and annotation = 'the ' || replace("column", '_', ' ') || ' column')
         where w is not null
         """,
     )

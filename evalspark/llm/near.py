@@ -146,47 +146,47 @@ def handed_out(grams: np.ndarray, rule: Rule, frequent: Frequent) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _frequent(docs: DataFrame, rule: Rule) -> Frequent:
-    """Counts of parts over all texts, equal sets of a task counted once."""
+def _sets_and_counts(rows: DataFrame, rule: Rule, kind: str) -> tuple[DataFrame, Frequent]:
+    """(id, n, set) of each row, and counts of parts over all texts, equal sets of a task counted once.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    Both come from one pass over the texts: count rows have no set and set rows no key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         waiting: list[np.ndarray] = []
         size = 0
         seen: set[int] = set()
+        ids = None
         for b in batches:
-            for _, _, data, offsets in slices(b.column("text")):
-                for grams in sets(Words(data, offsets, lower=True), rule.words):
-                    if len(grams) and (name := identity(grams)) not in seen:
+            for low, high, data, offsets in slices(b.column("text")):
+                found = sets(Words(data, offsets, lower=True), rule.words)
+                names = [identity(s) for s in found]
+                ids = b.column("id").slice(low, high - low)
+                none = pa.nulls(len(found), pa.int64())
+                yield {"id": ids, "n": pa.array([len(s) for s in found], pa.int64()), "set": pa.array(names, pa.int64()), "key": none, "times": none}
+                for grams, name in zip(found, names, strict=True):
+                    if len(grams) and name not in seen:
                         seen.add(name)
                         own = [keys[held] for keys, held, _ in parts(grams, rule)]
                         waiting += own
                         size += sum(map(len, own))
                     if size >= WINDOW:
-                        yield _repeated(waiting)
+                        yield _repeated(waiting, ids.type)
                         waiting, size, seen = [], 0, set()
         if waiting:
-            yield _repeated(waiting)
+            yield _repeated(waiting, ids.type)
 
-    counted = map_batches(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    both = written(map_batches(rows, run, f"id {kind}, n long, set long, key long, times long"), "sets")
+    counted = both.where("key is not null").groupBy("key").agg(F.sum("times").alias("n"))
     top = bounded_rows(counted.orderBy(F.desc("n"), "key").limit(HEAVY), HEAVY)
-    return Frequent([r["key"] for r in top], [r["n"] for r in top])
+    return both.where("set is not null").select("id", "n", "set"), Frequent([r["key"] for r in top], [r["n"] for r in top])
 
 
-def _repeated(waiting: list[np.ndarray]) -> dict:
+def _repeated(waiting: list[np.ndarray], kind: pa.DataType) -> dict:
     keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-    return {"key": keys[n > 1], "n": n[n > 1]}
-
-
-def _set_rows(docs: DataFrame, rule: Rule, kind: str) -> DataFrame:
-    """(id, n, set) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            for low, high, data, offsets in slices(b.column("text")):
-                found = sets(Words(data, offsets, lower=True), rule.words)
-                yield {"id": b.column("id").slice(low, high - low), "n": pa.array([len(s) for s in found], pa.int64()), "set": pa.array([identity(s) for s in found], pa.int64())}
-
-    return map_batches(docs, run, f"id {kind}, n long, set long")
+    keys, n = keys[n > 1], n[n > 1]
+    none = pa.nulls(len(keys), pa.int64())
+    return {"id": pa.nulls(len(keys), kind), "n": none, "set": none, "key": pa.array(keys, pa.int64()), "times": pa.array(n, pa.int64())}
 
 
 def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str) -> DataFrame:
@@ -257,27 +257,24 @@ def link(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100
     rule = Rule(words, *similarity)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    named = written(_set_rows(rows, rule, kind), "sets")
+    named, frequent = _sets_and_counts(rows, rule, kind)
 
-    frequent = _frequent(rows, rule)
-
-    def keys(fresh: list) -> dict:
+    def handed(fresh: list) -> dict:
         own = [handed_out(grams, rule, frequent) for _, grams, _ in fresh]
-        names = np.repeat(np.array([x[0] for x in fresh], dtype=np.int64), [len(k) for k in own])
-        return {"key": np.concatenate(own), "set": names}
-
-    def bodies(fresh: list) -> dict:
         marks = np.array([sketch(grams) for _, grams, _ in fresh])
         out = {"set": pa.array([x[0] for x in fresh], pa.int64()), "n": pa.array([len(x[1]) for x in fresh], pa.int64())}
         out |= {f"s{i}": np.ascontiguousarray(marks[:, i]) for i in range(8)}
-        return out | {"body": pa.array([zlib.compress(x[2], 1) for x in fresh], pa.binary())}
+        out["body"] = pa.array([zlib.compress(x[2], 1) for x in fresh], pa.binary())
+        ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+        return out | {"keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))}
 
-    dealt = _once_per_task(rows, rule, keys, "key long, set long")
+    schema = "set long, n long, " + ", ".join(f"s{i} long" for i in range(8)) + ", body binary, keys array<long>"
+    met = written(_once_per_task(rows, rule, handed, schema), "met-sets")
+    dealt = met.select(F.explode("keys").alias("key"), "set")
     group = Window.partitionBy("key")
     shared = dealt.select("key", "set", F.min("set").over(group).alias("low"), F.max("set").over(group).alias("high"))
     shared = written(shared.where("low != high").select("key", "set", "low"), "shared-parts")
-    schema = "set long, n long, " + ", ".join(f"s{i} long" for i in range(8)) + ", body binary"
-    texts = _once_per_task(rows, rule, bodies, schema).join(shared.select("set").distinct(), "set", "left_semi")
+    texts = met.drop("keys").join(shared.select("set").distinct(), "set", "left_semi")
     texts = written(texts.dropDuplicates(["set"]), "shared-texts")
 
     stars = shared.where("set != low").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()

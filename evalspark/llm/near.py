@@ -18,9 +18,10 @@ the size of the smaller one.
 
 Groups of sets that share a part are not expanded into pairs. Equal sets are one class from the start. Then each
 member of a group is compared with the group's smallest member only; the links found give components.
-Groups that still hold several components are joined once more, members of different components only and under
-the Hamming bound. All pairs of different components that share a part have then been compared, so no link
-between components is missed.
+While the groups that still hold several components would make many more pairs than they have members, their members are
+compared with a few further members each, the smallest ones under other orders, and the components are merged.
+What is left is joined once more, members of different components only and under the Hamming bound. All pairs of different
+components that share a part have then been compared, so no link between components is missed, however the rounds end.
 
 Cases: null and empty texts, and texts without words, have no set and are linked with nothing; a text
 with fewer words than n is one n-gram; repeated rows are linked with each other; other columns are not
@@ -45,6 +46,9 @@ from evalspark.llm.words import Words, mix, signed, slices
 SKETCH = 512
 HEAVY = 100_000  # frequent parts that every task knows
 WINDOW = 1_000_000  # parts that a task counts together
+CENTRES = 4  # members of an open group that the others are compared with in a round
+SPARE = 4  # pairs a member beyond which another round is worth its cost
+ROUNDS = 6  # at most; these only decide how much the last join compares
 SEEN = 200_000  # sets that a task remembers in order not to repeat them; beyond that it starts anew
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -252,6 +256,40 @@ def _may_link(rule: Rule):
     )
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(set, root) after further links."""
+    stars = roots.select(F.col("set").alias("a"), F.col("root").alias("b"))
+    return components(stars.unionByName(links)).select(F.col("node").alias("set"), "root")
+
+
+def _open_rows(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, set, root) of the groups with several components, but for their smallest members: these were compared with all."""
+    placed = shared.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    return placed.join(mixed, "key", "left_semi").where("set != low").select("key", "set", "root").distinct()
+
+
+def _worth_a_round(open_rows: DataFrame) -> bool:
+    """Whether all pairs of different components would be many more than the rows of the open groups."""
+    n = F.col("n").cast("double")
+    by_root = open_rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    by_key = by_root.groupBy("key").agg(F.sum("n").alias("rows"), (F.sum(n) * F.sum(n) - F.sum(n * n)).alias("pairs"))
+    total = by_key.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
+    return (total["pairs"] or 0.0) / 2 > SPARE * (total["rows"] or 0)
+
+
+def _with_centres(open_rows: DataFrame, roots: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of a group's centres with its members of other components; an order is a constant that ids are XORed with."""
+    orders = [int(x) for x in signed(mix(np.arange(CENTRES, dtype=np.uint64) + np.uint64(1 + number * CENTRES)))]
+    least = open_rows.groupBy("key").agg(*[F.min(F.col("set").bitwiseXOR(F.lit(x))).alias(f"c{i}") for i, x in enumerate(orders)])
+    chosen = F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(orders)]))
+    centres = least.select("key", F.explode(chosen).alias("centre"))
+    centres = centres.join(roots.select(F.col("set").alias("centre"), F.col("root").alias("its")), "centre", "left")
+    centres = written(centres.select("key", "centre", F.coalesce("its", "centre").alias("its")), "centres")
+    both = open_rows.join(centres, "key").where("root != its")
+    return both.select(F.least("centre", "set").alias("a"), F.greatest("centre", "set").alias("b")).distinct()
+
+
 def link(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (the smallest id reachable by links) of every row."""
     rule = Rule(words, *similarity)
@@ -282,17 +320,23 @@ def link(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100
     roots = written(components(links), "roots").select(F.col("node").alias("set"), "root")
 
     # groups in which several components are left: members of different components, under the bounds
-    placed = shared.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    open_rows = placed.join(mixed, "key", "left_semi").where("set != low").distinct()
+    for number in range(ROUNDS):
+        open_rows = written(_open_rows(shared, roots), "open-rows")
+        if not _worth_a_round(open_rows):
+            break
+        more = written(_linked(_with_centres(open_rows, roots, number), texts, rule), "centre-links")
+        if more.isEmpty():
+            break
+        roots = written(_merged(roots, more), "roots")
+    else:
+        open_rows = written(_open_rows(shared, roots), "open-rows")
     marked = written(open_rows.join(texts.drop("body"), "set"), "open-groups")
-    side = lambda p: marked.select("key", *[F.col(c).alias(f"{p}_{c}") for c in marked.columns if c not in ("key", "low")])
+    side = lambda p: marked.select("key", *[F.col(c).alias(f"{p}_{c}") for c in marked.columns if c != "key"])
     again = side("a").join(side("b"), "key").where((F.col("a_root") < F.col("b_root")) & _may_link(rule))
     pairs = written(again.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct(), "open-pairs")
     more = written(_linked(pairs, texts, rule), "more-links")
     if not more.isEmpty():
-        stars = roots.select(F.col("set").alias("a"), F.col("root").alias("b"))
-        roots = components(stars.unionByName(more)).select(F.col("node").alias("set"), "root")
+        roots = _merged(roots, more)
 
     full = named.where("n > 0").join(roots, "set", "left").select("id", "n", F.coalesce("root", "set").alias("root"))
     least = full.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -48,6 +48,24 @@ def test_links_equal_brute_force(sql, words, num, den):
     assert B.by_text(tuple(r) for r in got.collect()) == B.by_text(B.linked(docs, words, num, den))
 
 
+def test_groups_whose_members_are_barely_linked(sql, monkeypatch):
+    """Copies of one text with changes of their own: about half of all pairs are linked, and rounds of further centres run."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(70)]
+    docs = []
+    for i in range(240):
+        x = list(base)
+        for at in rnd.sample(range(70), rnd.choice([0, 1, 1, 2, 2, 3])):
+            x[at] = f"n{i}x{at}"
+        docs.append((i, " ".join(x)))
+    met = []
+    plain = near._with_centres
+    monkeypatch.setattr(near, "_with_centres", lambda *a: met.append(a[2]) or plain(*a))
+    got = B.by_text(tuple(r) for r in near.link(sql.createDataFrame(docs, "doc_id long, text string").repartition(4), 4, (85, 100)).collect())
+    assert got == B.by_text(B.linked(docs, 4, 85, 100))
+    assert met
+
+
 def test_links_of_odd_rows(odd):
     docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = B.by_text(tuple(r) for r in near.link(odd, 4, (85, 100)).collect())

@@ -19,7 +19,7 @@ the size of the smaller one.
 Groups of sets that share a part are not expanded into pairs. Equal sets are one class from the start. Then each
 member of a group is compared with the group's smallest member only; the links found give components.
 While the groups that still hold several components would make many more pairs than they have members, their members are
-compared with a few further members each, the smallest ones under other orders, and the components are merged.
+compared with a few further members each, the smallest ones under other orders, and the components are merged (once by default).
 What is left is joined once more, members of different components only and under the Hamming bound. All pairs of different
 components that share a part have then been compared, so no link between components is missed, however the rounds end.
 
@@ -46,9 +46,9 @@ from evalspark.llm.words import Words, mix, signed, slices
 SKETCH = 512
 HEAVY = 100_000  # frequent parts that every task knows
 WINDOW = 1_000_000  # parts that a task counts together
-CENTRES = 4  # members of an open group that the others are compared with in a round
+CENTRES = 2  # members of an open group that the others are compared with in a round
 SPARE = 4  # pairs a member beyond which another round is worth its cost
-ROUNDS = 6  # at most; these only decide how much the last join compares
+ROUNDS = 1  # at most; they only decide how much the last join compares
 SEEN = 200_000  # sets that a task remembers in order not to repeat them; beyond that it starts anew
 _SEED = np.uint64(0xA0761D6478BD642F)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,8 +152,7 @@ def _register_star(r: Registry) -> None:
         )[0].items()}
         payments, merchants, fees = (star[f"table_{i}"].withColumnsRenamed(back[n]) for i, n in ((1, "payments"), (4, "merchant_data"), (5, "fees")))
         dims = ["card_scheme", "account_type", "merchant_category_code", "aci"]
-        matched = R.list_rule_join(R.payment_facts(payments, merchants), fees, dims, dims)
-        return matched.groupBy(F.col("rule_id").alias("fees_id")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("eur_amount").alias("amount"))
+        return R.rule_usage(partial(R.list_rule_join, dims=dims, list_dims=dims), R.payment_facts(payments, merchants), fees, dims)
 
     anything = lambda d, v: f"(coalesce(len(f.{d}), 0) = 0 or list_contains(f.{d}, {v}))"
     r.add(

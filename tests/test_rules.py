@@ -149,3 +149,40 @@ def test_most_expensive_mcc_counts_wildcards_once(star):
     # rules 1 and 4 apply to every code
     assert got[10] == (round((2.5 + 2.0 + 9.09) / 3, 6), True)
     assert got[20] == (round((0.0 + 2.0 + 9.09) / 3, 6), False)
+
+
+def test_a_tuple_meets_one_row_per_mask(spark):
+    """Many rules of few kinds: candidates are bounded by the wildcard masks, and pairs stay whole."""
+    rnd = random.Random(3)
+    some = random_rules(rnd, 30)
+    rules = spark.createDataFrame([(i * 1000 + k, *r[1:]) for i, r in enumerate(some) for k in range(20)], RULE)
+    facts = spark.createDataFrame(random_facts(rnd, 40), FACT)
+    numbered = R.with_kinds(rules)
+    met = R._met_kinds(facts, numbered).groupBy("psp").count().agg({"count": "max"}).first()[0]
+    masks = {tuple(v is None for v in (*r[1:9], r[11])) for r in some}
+    assert met <= len(masks) and numbered.count() == rules.count()
+    assert R.wildcard_rule_join(facts, rules).count() == pairwise(facts, rules).count() == 20 * R._met_kinds(facts, numbered).count() > 0
+
+
+def test_usage_joins_no_single_rules(spark):
+    """The rule join behind sums per rule gets one fact per tuple and one rule per kind."""
+    rules = spark.createDataFrame([(1, "A", 0.5), (2, "A", 1.5), (2, None, 1.5), (3, "B", 0.0), (4, None, 1.0)], "id bigint, aci string, rate double")
+    facts = spark.createDataFrame([("A", 1.0), ("A", 2.0), (None, 4.0)], "aci string, eur_amount double")
+    seen = []
+
+    def join(groups, kinds):
+        seen.append((groups.count(), kinds.count()))
+        return R.wildcard_rule_join(groups, kinds, ["aci"])
+
+    got = {r["fees_id"]: (r["pairs"], r["amount"]) for r in R.rule_usage(join, facts, rules, ["aci"]).collect()}
+    assert got == {1: (2, 3.0), 2: (5, 10.0), 4: (3, 7.0)} and seen == [(2, 3)]
+
+
+def test_rules_used_once(spark):
+    """Ids that repeat with equal and with other dimensions come out once per group."""
+    same = dict.fromkeys(R.RULE_DIMS)
+    rows_ = [(1, "A"), (1, "A"), (1, None), (2, None), (None, "A"), (None, None)]
+    rules = spark.createDataFrame([(i, *[{**same, "aci": a}[d] for d in R.RULE_DIMS]) for i, a in rows_], "id bigint, card_scheme string, account_type string, merchant_category_code bigint, capture_delay string, aci string, is_credit boolean, intracountry double, monthly_volume string, monthly_fraud_level string")
+    groups = spark.createDataFrame([(m, "S", "R", 1, "<3", a, True, 1.0, "<100k", "<7.2%") for m, a in (("m", "A"), ("m", "B"), ("n", "B"))], "merchant string, card_scheme string, account_type string, merchant_category_code bigint, capture_delay string, aci string, is_credit boolean, intracountry double, monthly_volume string, monthly_fraud_level string")
+    got = sorted(map(tuple, R.rules_used(groups, rules, ["merchant"]).collect()), key=str)
+    assert got == sorted([("m", 1), ("m", 2), ("m", None), ("n", 1), ("n", 2), ("n", None)], key=str)

@@ -186,3 +186,20 @@ def test_rules_used_once(spark):
     groups = spark.createDataFrame([(m, "S", "R", 1, "<3", a, True, 1.0, "<100k", "<7.2%") for m, a in (("m", "A"), ("m", "B"), ("n", "B"))], "merchant string, card_scheme string, account_type string, merchant_category_code bigint, capture_delay string, aci string, is_credit boolean, intracountry double, monthly_volume string, monthly_fraud_level string")
     got = sorted(map(tuple, R.rules_used(groups, rules, ["merchant"]).collect()), key=str)
     assert got == sorted([("m", 1), ("m", 2), ("m", None), ("n", 1), ("n", 2), ("n", None)], key=str)
+
+
+def test_rules_are_met_by_halves_of_the_dimensions(spark, monkeypatch):
+    """No tuple of all dimensions is expanded per wildcard mask; repeated ids and rules without any dimension are kept."""
+    rnd = random.Random(3)
+    everything = (7, None, None, None, None, None, None, None, None, 0.5, 7, None)
+    rules = spark.createDataFrame([*random_rules(rnd, 50), everything], RULE)
+    facts = spark.createDataFrame(random_facts(rnd, 80), FACT).withColumn("eur_amount", F.lit(2.0))
+    asked, plain = [], R.match_tuples
+    monkeypatch.setattr(R, "match_tuples", lambda t, r, dims, *more: asked.append(dims) or plain(t, r, dims, *more))
+    used = R.rules_used(facts, rules, ["psp"])
+    want = pairwise(facts, rules)
+    assert sorted(map(tuple, used.collect())) == sorted(map(tuple, want.select("psp", "rule_id").distinct().collect()))
+    groups = facts.groupBy(*R.RULE_DIMS).agg(F.count(F.lit(1)).alias("txns"), F.sum("eur_amount").alias("amount"))
+    total = R._with_rule_sums(groups, rules).agg(F.sum(F.col("txns") * F.col("sum_fixed")).alias("f")).first().f
+    assert total == pytest.approx(want.agg(F.sum("rule_fixed_amount")).first()[0])
+    assert asked and max(len(dims) for dims in asked) <= 5

@@ -6,6 +6,8 @@ which a last event without a move carries past all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from evalspark.catalog.inputs import Inputs
 from evalspark.catalog.ledger import _D
 from evalspark.catalog.registry import Registry
 from evalspark.operators.ledger import dedupe_latest
-from evalspark.session import fresh_dir
+from evalspark.session import fresh_dir, materialize
 from evalspark.streaming import ledger_streams as S
 
 
@@ -24,17 +26,25 @@ def _source(t: Inputs, df: DataFrame) -> DataFrame:
 
 
 def _events(t: Inputs) -> DataFrame:
-    return dedupe_latest(t.ledger_events, "event_id", ["ingest_time"])
+    # read for the time span and for each half
+    return materialize(dedupe_latest(t.ledger_events, "event_id", ["ingest_time"]), "stream-events")
 
 
-def _in_two(t: Inputs, df: DataFrame, *closing: DataFrame) -> DataFrame:
-    """A stream of a batch for each half of the time, and of what closes it."""
-    path = fresh_dir(t.spark, "stream-in")
-    span = df.agg(F.min("event_time").alias("a"), F.max("event_time").alias("b"))
+def _in_two(events: DataFrame, *closing: DataFrame) -> list[DataFrame]:
+    """Each half of the time, and what closes it: parts that arrive one after the other."""
+    span = events.agg(F.min("event_time").alias("a"), F.max("event_time").alias("b"))
     middle = span.select(F.timestamp_seconds((F.unix_timestamp("a") + F.unix_timestamp("b")) / 2)).scalar()
-    for part in (df.filter(F.col("event_time") < middle), df.filter(F.col("event_time") >= middle), *closing):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return S.read_stream(t.spark, path, df.schema, files_per_batch=1)
+    return [events.filter(F.col("event_time") < middle), events.filter(F.col("event_time") >= middle), *closing]
+
+
+def _arriving(t: Inputs, parts: list[DataFrame], change: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str, str], None]) -> tuple[str, DataFrame]:
+    """The output folder and form of a stream that goes on from its checkpoint with every part, a batch of any number of files."""
+    path, out, state = (fresh_dir(t.spark, f"stream-{name}") for name in ("in", "out", "state"))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        changed = change(S.read_stream(t.spark, path, part.schema))
+        write(changed, out, state)
+    return out, changed
 
 
 def _appended(t: Inputs, df: DataFrame) -> DataFrame:
@@ -43,9 +53,13 @@ def _appended(t: Inputs, df: DataFrame) -> DataFrame:
     return t.spark.read.schema(df.schema).parquet(out)
 
 
-def _upserted(t: Inputs, df: DataFrame, keys: list[str]) -> DataFrame:
-    out = fresh_dir(t.spark, "stream-out")
-    S.write_upserts(df, out, fresh_dir(t.spark, "stream-state"))
+def _appended_parts(t: Inputs, parts: list[DataFrame], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    out, df = _arriving(t, parts, change, S.write_append)
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+def _upserted(t: Inputs, parts: list[DataFrame], change: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    out, df = _arriving(t, parts, change, S.write_upserts)
     return S.read_upserts(t.spark, out, df.schema, keys)
 
 
@@ -103,7 +117,7 @@ def register(r: Registry) -> None:
     window = ["window_start", "window_end", "kind"]
     r.add(
         "stream_kind_windows",
-        lambda t: _upserted(t, S.stream_kind_windows(_in_two(t, _events(t))), window),
+        lambda t: _upserted(t, _in_two(_events(t)), S.stream_kind_windows, window),
         """
         select date_trunc('day', event_time)::timestamp as window_start, date_trunc('day', event_time)::timestamp + interval 1 day as window_end, kind, count(*) as n
         from deduped group by 1, 2, 3
@@ -112,7 +126,7 @@ def register(r: Registry) -> None:
     )
     r.add(
         "stream_kind_windows_sliding",
-        lambda t: _upserted(t, S.stream_kind_windows(_in_two(t, _events(t)), "1 hour", "15 minutes"), window),
+        lambda t: _upserted(t, _in_two(_events(t)), lambda df: S.stream_kind_windows(df, "1 hour", "15 minutes"), window),
         """
         select time_bucket(interval 15 minute, event_time) - interval 15 minute * k as window_start,
             time_bucket(interval 15 minute, event_time) - interval 15 minute * k + interval 1 hour as window_end, kind, count(*) as n
@@ -122,7 +136,7 @@ def register(r: Registry) -> None:
     )
     r.add(
         "stream_sessions",
-        lambda t: S.sessions(_upserted(t, S.stream_sessions(_in_two(t, _events(t)), "actor_task_id", "3 hours"), ["actor_task_id", "session_start"])),
+        lambda t: S.sessions(_upserted(t, _in_two(_events(t)), lambda df: S.stream_sessions(df, "actor_task_id", "3 hours"), ["actor_task_id", "session_start"])),
         """
         select actor_task_id, min(event_time) as session_start, max(event_time) + interval 3 hour as session_end, count(*) as events from (
             select *, sum(fresh) over (partition by actor_task_id order by event_time, event_id rows unbounded preceding) as no from (
@@ -134,7 +148,7 @@ def register(r: Registry) -> None:
 
     r.add(
         "stream_exchange_join",
-        lambda t: S.exchanges(_appended(t, S.stream_exchange_join(_in_two(t, _events(t))))),
+        lambda t: S.exchanges(_appended_parts(t, _in_two(_events(t)), S.stream_exchange_join)),
         """
         select p.x as exchange_id, p.event_id as prompt_id, p.event_time as prompt_time, c.event_id as completion_id, c.event_time as completion_time
         from (select *, payload_json->>'$.exchange_id' as x from deduped where kind = 'model_prompt') p
@@ -147,7 +161,7 @@ def register(r: Registry) -> None:
     def tasks(t: Inputs) -> DataFrame:
         events = _events(t)
         # the first closing event has all moves judged, the second one fires the timers that these set
-        return _appended(t, S.stream_task_state(_in_two(t, events, _closing(events, 30), _closing(events, 60))))
+        return _appended_parts(t, _in_two(events, _closing(events, 30), _closing(events, 60)), S.stream_task_state)
 
     r.add(
         "stream_task_state",

@@ -114,3 +114,18 @@ def test_ingest_twice(spark):
     for _ in range(2):
         S.stream_ingest(S.read_stream(spark, source, EVENT_SCHEMA), target, fresh_dir(spark, "state"))
     assert sorted(r["event_id"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
+def test_parts_of_a_stream_keep_their_files(spark, monkeypatch):
+    """A half of the events is one batch of all its files, and nothing is brought into one task for it."""
+    from types import SimpleNamespace
+
+    from evalspark.catalog import stream as C
+
+    rows = spark.range(0, 400, 1, 8).selectExpr("timestamp_seconds(id * 3600) as event_time", "concat('k', id % 3) as kind")
+    seen, read = [], S.read_stream
+    monkeypatch.setattr(S, "read_stream", lambda s, path, schema: seen.append(s.read.parquet(path).inputFiles()) or read(s, path, schema))
+    got = C._upserted(SimpleNamespace(spark=spark), C._in_two(rows), S.stream_kind_windows, ["window_start", "window_end", "kind"])
+    want = rows.groupBy(F.date_trunc("day", "event_time").alias("d"), "kind").count()
+    assert sorted(map(tuple, got.select("window_start", "kind", "n").collect())) == sorted(map(tuple, want.collect()))
+    assert len(seen) == 2 and len(seen[0]) >= 4 and len(seen[1]) - len(seen[0]) >= 4

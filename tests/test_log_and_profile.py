@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +250,20 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "id int, name string")
     got = {r["column"]: (r["unique_count"], r["count"]) for r in E.profile_columns({"t": empty}, exact=False).collect()}
     assert got == {"id": (0, 0), "name": (0, 0)}
+
+
+def test_orphans_join_no_column_in_one_task(spark):
+    """Values meet the pairs of columns where they are, also when Spark does not expect the pairs to be few."""
+    values = spark.createDataFrame(
+        [("a", "a_id", "1"), ("a", "a_id", "2"), ("a", "a_id", None), ("b", "b_id", "2"), ("b", "b_id", "3"), ("b", "b_own", "9")], "`table` string, `column` string, value string"
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = E.orphan_values(values, prefix="^[a-z]_")
+        plan = found._jdf.queryExecution().toString()
+        rows = sorted((r["table"], r["other_table"], r["orphan_count"], r["orphan_sample"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == [("a", "b", 1, ["1"]), ("b", "a", 1, ["3"])]
+    assert "BroadcastHashJoin [table" in plan and not re.search(r"SortMergeJoin \[table#\d+, column#\d+\], \[table", plan)

@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.frames import bounded_rows, map_batches, written
-from evalspark.llm.words import Words, mix, signed, slices, spans_hash
+from evalspark.llm.words import Words, blank_bytes, mix, ranges, signed, slices, spans_hash
 
 LAST = 2**63 - 1
 BITS = 25
+SLICE = 250_000  # bytes of texts worked on together: arrays of this size stay in a core's cache
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -48,8 +49,8 @@ class Lines:
         breaks = np.flatnonzero(data == 10) + 1
         self.offsets = np.unique(np.concatenate([offsets, breaks]))
         w = Words(data, self.offsets)
-        digits = np.append(0, np.cumsum((data >= 48) & (data <= 57)))
-        self.field = digits[w.ends] > digits[w.starts]
+        self.field = np.zeros(len(w.starts), dtype=bool)
+        self.field[np.searchsorted(w.starts, np.flatnonzero((data >= 48) & (data <= 57)), "right") - 1] = True
         spelt = w.hashes
         w.__dict__["hashes"] = np.where(self.field, _FIELD, spelt)
         self.w = w
@@ -82,7 +83,7 @@ def _line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for low, high, data, offsets in slices(b.column("text")):
+            for low, high, data, offsets in slices(b.column("text"), SLICE):
                 x = Lines(data, offsets, depth, least)
                 ids = np.asarray(b.column("id").slice(low, high - low))
                 order = np.lexsort((x.body, x.text))
@@ -107,21 +108,20 @@ def _token_rows(docs: DataFrame, depth: int, least: int, bitmap) -> DataFrame:
         seen: set[int] = set()
         bits = bitmap.value
         for b in batches:
-            for _, _, data, offsets in slices(b.column("text")):
+            for _, _, data, offsets in slices(b.column("text"), SLICE):
                 x = Lines(data, offsets, depth, least)
                 slot = x.leaf.view(np.uint64) >> np.uint64(64 - BITS)
                 marked = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
-                leaf, body, tokens = [], [], []
-                for i in marked.tolist():
-                    name = int(x.body[i])
-                    if name not in seen:
-                        seen.add(name)
-                        a, n = int(x.first[i]), int(x.n[i])
-                        leaf.append(int(x.leaf[i]))
-                        body.append(name)
-                        tokens.append(pa.array(signed(x.w.hashes[a : a + n]), mask=x.field[a : a + n]).to_pylist())
-                if leaf:
-                    yield {"leaf": pa.array(leaf, pa.int64()), "body": pa.array(body, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))}
+                name, at = np.unique(x.body[marked], return_index=True)
+                fresh = np.array([n not in seen for n in name.tolist()], dtype=bool)
+                if fresh.any():
+                    seen.update(name[fresh].tolist())
+                    line = marked[at[fresh]]
+                    n = x.n[line]
+                    places = ranges(x.first[line], n)
+                    tokens = pa.array(signed(x.w.hashes[places]), mask=x.field[places])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), tokens)
+                    yield {"leaf": x.leaf[line], "body": x.body[line], "tokens": lists}
 
     return map_batches(docs.select("text"), run, "leaf long, body long, tokens array<long>")
 
@@ -199,28 +199,13 @@ def drop_recurring(
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            n, dropped, texts = [], [], []
-            for text, out in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-                offsets = np.array([0, len(data)])
-                if not len(data) or not out:
-                    n.append(sum(1 for x in (text or "").split("\n") if not _blank(x)))
-                    dropped.append(0)
-                    texts.append(text)
-                    continue
-                x = Lines(data, offsets, depth, min_tokens)
-                n.append(int((x.w.counts > 0).sum()))
-                hit = x.at[np.isin(x.body, np.array(out, dtype=np.int64))]
-                dropped.append(len(hit))
-                stay = np.ones(len(x.offsets) - 1, dtype=bool)
-                stay[hit] = False
-                raw = data.tobytes()
-                left = b"".join(raw[x.offsets[i] : x.offsets[i + 1]] for i in np.flatnonzero(stay).tolist())
-                if len(hit) and not stay[-1] and left.endswith(b"\n") and not raw.endswith(b"\n"):
-                    left = left[:-1]  # the break before a dropped last line without one
-                texts.append(left.decode("utf-8", "replace"))
-            part = {c: b.column(c) for c in carried}
-            yield part | {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "text": pa.array(texts, pa.string())}
+            for low, high, data, offsets in slices(b.column("text"), SLICE):
+                own = lambda c: b.column(c).slice(low, high - low)  # noqa: B023, E731
+                n, dropped, data, offsets = _without(data, offsets, own("gone"), depth, min_tokens)
+                at, held = pa.array(offsets.astype(np.int32)), pa.py_buffer(data)
+                there = np.packbits(own("text").is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+                text = pa.StringArray.from_buffers(high - low, at.buffers()[1], held, pa.py_buffer(there))
+                yield {c: own(c) for c in carried} | {"n_lines": n, "n_dropped": dropped, "text": text}
 
     schema = ", ".join([*extra, "n_lines long, n_dropped long, text string"])
     joined = rows.join(gone, "id", "left")
@@ -229,5 +214,38 @@ def drop_recurring(
     return result.select(*names, "n_lines", "n_dropped", F.col("text").alias(text_col))
 
 
-def _blank(line: str) -> bool:
-    return not line.strip(" \t\n\v\f\r")
+def _without(data: np.ndarray, offsets: np.ndarray, gone: pa.Array, depth: int, least: int) -> tuple[np.ndarray, ...]:
+    """(lines with a word, dropped lines) of each text, and the bytes and offsets of the texts without the lines of ``gone``."""
+    edges = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))
+    starts, lengths = edges[:-1], np.diff(edges)
+    text = np.searchsorted(offsets, starts, "right") - 1
+    size = len(offsets) - 1
+    worded = np.logical_or.reduceat(~blank_bytes(data), starts) if len(starts) else np.zeros(0, dtype=bool)
+    n = np.bincount(text[worded], minlength=size)
+    listed = gone.value_lengths().fill_null(0).to_numpy()
+    stay = np.ones(len(starts), dtype=bool)
+    has = listed > 0
+    if has.any():
+        # only texts with something to drop are parsed
+        mine = np.flatnonzero(has)
+        sizes = np.diff(offsets)[mine]
+        x = Lines(data[np.repeat(has, np.diff(offsets))], np.append(0, np.cumsum(sizes)), depth, least)
+        bodies = np.asarray(gone.flatten())
+        known, code = np.unique(bodies, return_inverse=True)
+        pairs = np.repeat(np.arange(len(mine)), listed[mine]) * len(known) + code
+        near = np.minimum(np.searchsorted(known, x.body), len(known) - 1)
+        hit = (known[near] == x.body) & np.isin(x.text * len(known) + near, pairs)
+        stay[np.flatnonzero(has[text])[x.at[hit]]] = False
+    dropped = np.bincount(text[~stay], minlength=size)
+    kept = np.where(stay, lengths, 0)
+    # the break before a dropped last line without one goes too
+    last = np.flatnonzero(np.append(text[1:] != text[:-1], True)) if len(text) else np.zeros(0, dtype=np.int64)
+    bare = last[~stay[last] & (data[edges[1:][last] - 1] != 10)]
+    whole = np.flatnonzero(stay)
+    before = np.searchsorted(whole, bare) - 1
+    cut = whole[before[before >= 0]]
+    cut = cut[text[cut] == text[bare[before >= 0]]]
+    kept[cut] -= 1
+    left = np.repeat(stay, lengths)
+    left[edges[1:][cut] - 1] = False
+    return n, dropped, data[left], np.append(0, np.cumsum(np.bincount(text, weights=kept, minlength=size).astype(np.int64)))

@@ -25,6 +25,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
+_inverse: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
-    return (x & P31) + (x >> _WIDTH)
+    low = x & P31
+    low += x >> _WIDTH
+    return low
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
     """Values below 2**63 modulo the prime."""
     x = _fold(_fold(x))
-    return np.where(x >= P31, x - P31, x)
+    return np.minimum(x, x - P31)  # below the prime the difference wraps to a large value
 
 
 def _accumulate(base: int, n: int) -> np.ndarray:
@@ -59,10 +62,14 @@ def _forward(k: int, n: int) -> np.ndarray:
 
 
 def _backward(k: int, at: np.ndarray) -> np.ndarray:
-    """The inverse powers for the given exponents, from two small tables."""
+    """The inverse powers for the given exponents: those of a slice from a table made once, higher ones from two small tables."""
     inverse = pow(_BASES[k], -1, int(P31))
+    if k not in _inverse:
+        _inverse[k] = _accumulate(inverse, SLICE_BYTES + 100_000).astype(np.uint32)
+    if not len(at) or int(at.max()) < len(_inverse[k]):
+        return _inverse[k][at].astype(np.uint64)
     low = _accumulate(inverse, 1024)
-    high = _accumulate(pow(inverse, 1024, int(P31)), (int(at.max()) >> 10) + 1 if len(at) else 1)
+    high = _accumulate(pow(inverse, 1024, int(P31)), (int(at.max()) >> 10) + 1)
     return _mod(low[at & 1023] * high[at >> 10])
 
 
@@ -160,6 +167,11 @@ class Words:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+def blank_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space."""
+    return _SPACE[data]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All of start, start + 1, ... for each start and length, one after another."""
     ends = np.cumsum(lengths)

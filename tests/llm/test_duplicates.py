@@ -256,3 +256,22 @@ def test_recurring_lines_equal_brute_force(sql, tmp_path):
     left = {x.strip() for _, _, _, t in want for x in (t or "").split("\n")}
     assert not left & {"Read more", "Advertisement", "Sign in", "Ten pages hold this line", "(c) 2024 Acme", "7"}
     assert left >= {"Nine only", "Only copies hold this line", "Short", "Of many copied texts", *bodies[50].split("\n")}
+
+
+def test_texts_with_dropped_lines_are_parsed_together(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["Keep it here\nGo away now", "\n\n", "", "Go away now\nKeep it here\n", "Go away now", "Keep 1 é\nGo away now\n\nGo away now"]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    one = templates.Lines(np.frombuffer(b"Go away now", dtype=np.uint8), np.array([0, 11]), 3, 3).body.tolist()
+    made = []
+    parse = templates.Lines
+    monkeypatch.setattr(templates, "Lines", lambda *args: made.append(1) or parse(*args))
+    gone = pa.array([one, None, one, one, one, [*one, 5]], pa.list_(pa.int64()))
+    n, dropped, left, at = templates._without(data, offsets, gone, 3, 3)
+    found = [left[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert found == ["Keep it here", "\n\n", "", "Keep it here\n", "", "Keep 1 é\n"]
+    assert n.tolist() == [2, 0, 0, 2, 1, 3] and dropped.tolist() == [1, 0, 0, 1, 1, 2]
+    assert len(made) == 1

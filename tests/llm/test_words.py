@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from evalspark.llm import bpe, near, repeats, templates, tokens
+from evalspark.llm import bpe, near, repeats, templates, tokens, words
 from evalspark.llm.words import Words, spans_hash
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -75,3 +75,19 @@ def test_operators_tell_them_apart(sql):
     few = sql.createDataFrame([(k, f"{both(2048)[k % 2] if k < 2 else 'other'} {k}\nown{k} line") for k in range(8)], "doc_id long, text string")
     lines = templates.drop_recurring(few, min_tokens=1, min_docs=2).where("doc_id < 2").collect()
     assert all("a" in r["text"] for r in lines)
+
+
+def test_inverse_powers_of_a_slice_are_made_once(monkeypatch):
+    values = np.arange(1, 5_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(0, 4_000, 7)
+    first = words.spans_hash(values, at, at + 9)
+    monkeypatch.setattr(words, "_accumulate", None)  # not needed again
+    assert (words.spans_hash(values, at, at + 9) == first).all()
+    assert words.spans_hash(values[7:], at[:-1], at[:-1] + 9).tolist() == first[1:].tolist()
+
+
+def test_powers_beyond_the_table_agree_with_it():
+    at = np.array([0, 1, 1023, 1024, 1_099_999])
+    for k in range(2):
+        near, far = words._backward(k, at), words._backward(k, np.append(at, 1_200_000))
+        assert near.tolist() == far[:-1].tolist()

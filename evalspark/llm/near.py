@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ WINDOW = 1_000_000  # parts that a task counts together
 CENTRES = 2  # members of an open group that the others are compared with in a round
 SPARE = 4  # pairs a member beyond which another round is worth its cost
 ROUNDS = 1  # at most; they only decide how much the last join compares
+SLICE = 250_000  # bytes of texts worked on together: arrays of this size stay in a core's cache
 SEEN = 200_000  # sets that a task remembers in order not to repeat them; beyond that it starts anew
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -96,7 +97,8 @@ def sets(w: Words, n: int) -> list[np.ndarray]:
     found = []
     for i, (words, a, b) in enumerate(zip(w.counts.tolist(), (ends - count).tolist(), ends.tolist(), strict=True)):
         if words >= n:
-            found.append(np.unique(grams[a:b]))
+            own = np.sort(grams[a:b])
+            found.append(own[np.append(True, own[1:] != own[:-1])])
         elif words:
             found.append(mix(w.runs(w.first[i : i + 1], words) + np.uint64(words)))
         else:
@@ -104,11 +106,13 @@ def sets(w: Words, n: int) -> list[np.ndarray]:
     return found
 
 
-def identity(grams: np.ndarray) -> int:
-    """A 64-bit name of the set."""
+def identities(found: list[np.ndarray]) -> list[int]:
+    """A 64-bit name of each set, by one pass over the elements of all."""
+    ends = np.cumsum([0, *map(len, found)])
     with np.errstate(over="ignore"):
-        total = mix(grams ^ _SEED).sum(dtype=np.uint64) + np.uint64(len(grams))
-    return int(signed(mix(np.array([total], dtype=np.uint64)))[0])
+        total = np.append(np.uint64(0), np.cumsum(mix(np.concatenate(found) ^ _SEED), dtype=np.uint64)) if found else np.zeros(1, np.uint64)
+        sums = total[ends[1:]] - total[ends[:-1]] + np.diff(ends).astype(np.uint64)
+    return signed(mix(sums)).tolist()
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -117,6 +121,11 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(">i8").astype(np.int64)
 
 
+@lru_cache(maxsize=1000)
+def _places(c: int, k: int) -> np.ndarray:
+    return mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 40))
+
+
 def parts(grams: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(keys of all parts, which of them hold elements, most differing elements) per class of the set."""
     found = []
@@ -126,7 +135,7 @@ def parts(grams: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, np.ndarray, i
         value = np.zeros(k, dtype=np.uint64)
         np.bitwise_xor.at(value, part, grams)
         held = np.bincount(part, minlength=k) > 0
-        found.append((signed(mix(value ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 40)))), held, most))
+        found.append((signed(mix(value ^ _places(c, k))), held, most))
     return found
 
 
@@ -162,9 +171,9 @@ def _sets_and_counts(rows: DataFrame, rule: Rule, kind: str) -> tuple[DataFrame,
         seen: set[int] = set()
         ids = None
         for b in batches:
-            for low, high, data, offsets in slices(b.column("text")):
+            for low, high, data, offsets in slices(b.column("text"), SLICE):
                 found = sets(Words(data, offsets, lower=True), rule.words)
-                names = [identity(s) for s in found]
+                names = identities(found)
                 ids = b.column("id").slice(low, high - low)
                 none = pa.nulls(len(found), pa.int64())
                 yield {"id": ids, "n": pa.array([len(s) for s in found], pa.int64()), "set": pa.array(names, pa.int64()), "key": none, "times": none}
@@ -199,11 +208,12 @@ def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
         for b in batches:
-            for _, _, data, offsets in slices(b.column("text")):
+            for _, _, data, offsets in slices(b.column("text"), SLICE):
                 w = Words(data, offsets, lower=True)
                 fresh = []
-                for i, grams in enumerate(sets(w, rule.words)):
-                    if len(grams) and (name := identity(grams)) not in seen:
+                found = sets(w, rule.words)
+                for i, (grams, name) in enumerate(zip(found, identities(found), strict=True)):
+                    if len(grams) and name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
@@ -225,24 +235,35 @@ def _linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     both = both.join(body.select(F.col("set").alias("a"), F.col("body").alias("a_body")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_body", "b_body")), strict=True):
-                if held is None or held[0] != a:
-                    held = (a, _set_of(x, rule))
-                other = _set_of(y, rule)
-                common = len(np.intersect1d(held[1], other, assume_unique=True))
-                if rule.den * common >= rule.num * (len(held[1]) + len(other) - common):
-                    found.append((a, b))
-            yield {"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())}
+            for a, b, x, y in _blocks(*(batch.column(c).to_pylist() for c in ("a", "b", "a_body", "b_body"))):
+                first = {name: i for i, name in enumerate(a)}  # a text stands next to all its partners
+                firsts = dict(zip(first, _sets_of([zlib.decompress(x[i]) for i in first.values()], rule), strict=True))
+                hit = []
+                for name, other in zip(a, _sets_of(y, rule), strict=True):
+                    one = firsts[name]
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    hit.append(rule.den * common >= rule.num * (len(one) + len(other) - common))
+                yield {"a": pa.array(a, pa.int64()).filter(pa.array(hit)), "b": pa.array(b, pa.int64()).filter(pa.array(hit))}
 
     return map_batches(both.select("a", "b", "a_body", "b_body"), run, "a long, b long")
 
 
-def _set_of(body: bytes, rule: Rule) -> np.ndarray:
-    data = np.frombuffer(zlib.decompress(body), dtype=np.uint8)
-    return sets(Words(data, np.array([0, len(data)]), lower=True), rule.words)[0]
+def _blocks(a: list[int], b: list[int], x: list[bytes], y: list[bytes]) -> Iterator[tuple[list, ...]]:
+    """The pairs by runs of some ``SLICE`` bytes of second texts, these unpacked."""
+    raw: list[bytes] = []
+    size = low = 0
+    for i, packed in enumerate(y):
+        raw.append(zlib.decompress(packed))
+        size += len(raw[-1])
+        if size >= SLICE or i + 1 == len(y):
+            yield a[low : i + 1], b[low : i + 1], x[low : i + 1], raw
+            raw, size, low = [], 0, i + 1
+
+
+def _sets_of(raw: list[bytes], rule: Rule) -> list[np.ndarray]:
+    offsets = np.append(0, np.cumsum([len(r) for r in raw]))
+    return sets(Words(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, lower=True), rule.words)
 
 
 def _may_link(rule: Rule):

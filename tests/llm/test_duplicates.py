@@ -275,3 +275,23 @@ def test_texts_with_dropped_lines_are_parsed_together(monkeypatch):
     assert found == ["Keep it here", "\n\n", "", "Keep it here\n", "", "Keep 1 é\n"]
     assert n.tolist() == [2, 0, 0, 2, 1, 3] and dropped.tolist() == [1, 0, 0, 1, 1, 2]
     assert len(made) == 1
+
+
+def test_sets_of_a_slice_are_named_and_compared_together():
+    import numpy as np
+    import zlib
+
+    rule = near.Rule(4, 85, 100)
+    raw = [b"One two three four five", b"", b"six", b"one two three four five", b"a b c d e a b c d e"]
+    together = near._sets_of(raw, rule)
+    alone = [near._sets_of([r], rule)[0] for r in raw]
+    assert [x.tolist() for x in together] == [x.tolist() for x in alone]
+    assert [len(x) for x in together] == [2, 0, 1, 2, 5]
+    names = near.identities(together)
+    assert names == [near.identities([x])[0] for x in alone]
+    assert names[0] == names[3] and len(set(names)) == 4
+    assert near.identities([]) == [] and near.identities([np.zeros(0, np.uint64)]) == [names[1]]
+    packed = [zlib.compress(r, 1) for r in raw]
+    blocks = list(near._blocks([1, 1, 2, 2, 3], [4, 5, 6, 7, 8], packed, packed))
+    assert [(a, b, y) for a, b, _, y in blocks] == [([1, 1, 2, 2, 3], [4, 5, 6, 7, 8], raw)]
+    assert list(near._blocks([], [], [], [])) == []

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,22 @@ def test_rules_are_met_by_halves_of_the_dimensions(spark, monkeypatch):
     total = R._with_rule_sums(groups, rules).agg(F.sum(F.col("txns") * F.col("sum_fixed")).alias("f")).first().f
     assert total == pytest.approx(want.agg(F.sum("rule_fixed_amount")).first()[0])
     assert asked and max(len(dims) for dims in asked) <= 5
+
+
+def test_rules_used_tells_rules_apart_before_they_are_joined(spark):
+    rng = random.Random(8)
+    domains = {d: ["a", "b", None] for d in R.RULE_DIMS} | {"merchant_category_code": [1, 2, None], "is_credit": [True, False, None], "intracountry": [0.0, 1.0, None]}
+    types = {"merchant_category_code": "bigint", "is_credit": "boolean", "intracountry": "double"}
+    columns = ", ".join(f"{d} {types.get(d, 'string')}" for d in R.RULE_DIMS)
+    pick = lambda wild: tuple(rng.choice(v if rng.random() < wild else v[:2]) for v in domains.values())
+    # values of one and of several second halves, a value without a name, rules of equal dimensions, ids of several rules, one without an id
+    groups = [(m, *pick(0.1)) for m in ["m1", "m2", None] for _ in range(20)] + [("alone", *pick(0.0))]
+    rules = [(i % 40 if i % 7 else None if i == 7 else 100 + i, *pick(2.0)) for i in range(120)] + [(500, *[None] * 9), (500, *[None] * 9)]
+    want = {(g[0], r[0]) for g in groups for r in rules if all(b is None or a == b for a, b in zip(g[1:], r[1:], strict=True))}
+    frames = spark.createDataFrame(groups, f"merchant string, {columns}"), spark.createDataFrame(rules, f"id bigint, {columns}")
+    for kept in (True, False):
+        got = [tuple(r) for r in R.rules_used(*frames, ["merchant"], kept).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    unique = frames[1].where("id = 500").dropDuplicates()
+    plan = R.rules_used(frames[0], unique, ["merchant"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^\]]*(_met|_kind|fees_id)", plan)  # no distinct over values and rules

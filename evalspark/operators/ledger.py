@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.ids import deterministic_event_id, deterministic_posting_id, text_hash
-from evalspark.plans.keyed import add_missing, join_null_safe, latest_per_key
+from evalspark.plans.keyed import add_missing, join_null_safe, latest_per_key, spread
 from evalspark.plans.sequence import previous_values
 
 EVENT_EPSILON = 1e-9
@@ -26,7 +26,7 @@ ALL_RUNS = object()
 
 def dedupe_latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per id, the newest by ``order``; rows without an id are dropped."""
-    return latest_per_key(df.filter(F.col(key).isNotNull()), [key], order)
+    return latest_per_key(spread(df.filter(F.col(key).isNotNull()), [key]), [key], order)
 
 
 def ingest_idempotent(

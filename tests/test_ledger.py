@@ -158,3 +158,14 @@ def test_lifecycle(spark):
     assert (got["t1"]["starts"], got["t1"]["ends"], got["t1"]["broken_links"], got["t1"]["moves_after_end"]) == (1, 1, 0, 0)
     assert (got["t2"]["starts"], got["t2"]["ends"], got["t2"]["broken_links"], got["t2"]["moves_after_end"]) == (2, 2, 2, 1)
     assert got["t3"]["is_open"]
+
+
+def test_dedupe_deals_rows_before_it_sorts_them(spark):
+    rows = [("hot", i, f"p{i}") for i in range(300)] + [("hot", 299, "p300")] * 3 + [(f"e{i}", 1, None) for i in range(20)] + [(None, 9, "lost")]
+    events = spark.createDataFrame(rows, "event_id string, ingest_time int, payload_json string")
+    found = L.dedupe_latest(events, "event_id", ["ingest_time"])
+    want = {("hot", 299, "p300")} | {(f"e{i}", 1, None) for i in range(20)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange") > plan.rindex("Aggregate")

@@ -14,7 +14,8 @@ the size of the smaller one.
   most frequent of their sums are known to every task, others count as rare. Parts without elements come last.
 * A second sketch of 512 bits flips one bit per element. Its Hamming distance never exceeds the number of
   differing elements, so pairs beyond D are dropped before their texts are fetched.
-* The rest is verified on the whole sets.
+* The rest is verified on the whole sets. Only sets that share a part with another hand out their texts: they are marked in a bitmap
+  of a fixed size, and a pass of its own over the texts writes theirs. One row per set is picked by its number.
 
 Groups of sets that share a part are not expanded into pairs. Equal sets are one class from the start. Then each
 member of a group is compared with the group's smallest member only; the links found give components.
@@ -50,6 +51,7 @@ CENTRES = 2  # members of an open group that the others are compared with in a r
 SPARE = 4  # pairs a member beyond which another round is worth its cost
 ROUNDS = 1  # at most; they only decide how much the last join compares
 SLICE = 250_000  # bytes of texts worked on together: arrays of this size stay in a core's cache
+BITS = 25  # of a set's name, that mark it among those which share a part
 SEEN = 200_000  # sets that a task remembers in order not to repeat them; beyond that it starts anew
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -202,8 +204,9 @@ def _repeated(waiting: list[np.ndarray], kind: pa.DataType) -> dict:
     return {"id": pa.nulls(len(keys), kind), "n": none, "set": none, "key": pa.array(keys, pa.int64()), "times": pa.array(n, pa.int64())}
 
 
-def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str) -> DataFrame:
-    """``rows`` (a generator over identity, set and text) for each set that a task does not remember to have met."""
+def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str, bitmap=None) -> DataFrame:
+    """``rows`` (a generator over identity, set and text) for each set that a task does not remember to have met; with a
+    ``bitmap`` for sets marked there only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
@@ -212,8 +215,10 @@ def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str) -> DataFrame:
                 w = Words(data, offsets, lower=True)
                 fresh = []
                 found = sets(w, rule.words)
-                for i, (grams, name) in enumerate(zip(found, identities(found), strict=True)):
-                    if len(grams) and name not in seen:
+                names = identities(found)
+                wanted = [True] * len(names) if bitmap is None else _marked(names, bitmap.value)
+                for i, (grams, name) in enumerate(zip(found, names, strict=True)):
+                    if len(grams) and wanted[i] and name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
@@ -224,15 +229,34 @@ def _once_per_task(docs: DataFrame, rule: Rule, rows, schema: str) -> DataFrame:
     return map_batches(docs.select("text"), run, schema)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of sets that are linked, verified on whole sets."""
-    marks = texts.select("set", "n", *[f"s{i}" for i in range(8)])
+def _bitmap(named: DataFrame) -> np.ndarray:
+    """The first ``BITS`` bits of every ``set``, marked; each task brings its words together first."""
+    slot = F.shiftrightunsigned("set", 64 - BITS)
+    marks = named.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = marks.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    bits = np.zeros(2 ** (BITS - 6), dtype=np.uint64)
+    for r in bounded_rows(words, 2 ** (BITS - 6)):
+        bits[r["word"]] = np.uint64(r["bits"] % 2**64)
+    return bits
+
+
+def _marked(names: list[int], bits: np.ndarray) -> list[bool]:
+    slot = np.array(names, dtype=np.int64).view(np.uint64) >> np.uint64(64 - BITS)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool).tolist()
+
+
+def _linked(pairs: DataFrame, marks: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of sets that are linked, verified on whole sets.
+
+    ``texts`` may have a set several times; ``marks`` has the number of the one row to take.
+    """
     left = marks.select(*[F.col(c).alias(f"a_{c}") for c in marks.columns])
     right = marks.select(*[F.col(c).alias(f"b_{c}") for c in marks.columns])
-    near = pairs.join(left, F.col("a") == F.col("a_set")).join(right, (F.col("b") == F.col("b_set")) & _may_link(rule)).select("a", "b")
-    body = texts.select("set", "body")
-    both = near.join(body.select(F.col("set").alias("b"), F.col("body").alias("b_body")), "b")
-    both = both.join(body.select(F.col("set").alias("a"), F.col("body").alias("a_body")), "a")
+    near = pairs.join(left, F.col("a") == F.col("a_set")).join(right, (F.col("b") == F.col("b_set")) & _may_link(rule))
+    both = near.select("a", "b", "a_row", "b_row")
+    for side in ("b", "a"):
+        body = texts.select(F.col("set").alias(side), F.col("row").alias(f"{side}_row"), F.col("body").alias(f"{side}_body"))
+        both = both.join(body, [side, f"{side}_row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -320,24 +344,27 @@ def link(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100
 
     def handed(fresh: list) -> dict:
         own = [handed_out(grams, rule, frequent) for _, grams, _ in fresh]
-        marks = np.array([sketch(grams) for _, grams, _ in fresh])
-        out = {"set": pa.array([x[0] for x in fresh], pa.int64()), "n": pa.array([len(x[1]) for x in fresh], pa.int64())}
-        out |= {f"s{i}": np.ascontiguousarray(marks[:, i]) for i in range(8)}
-        out["body"] = pa.array([zlib.compress(x[2], 1) for x in fresh], pa.binary())
-        ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
-        return out | {"keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))}
+        return {"key": np.concatenate(own), "set": np.repeat(np.array([x[0] for x in fresh], dtype=np.int64), [len(x) for x in own])}
 
-    schema = "set long, n long, " + ", ".join(f"s{i} long" for i in range(8)) + ", body binary, keys array<long>"
-    met = written(_once_per_task(rows, rule, handed, schema), "met-sets")
-    dealt = met.select(F.explode("keys").alias("key"), "set")
+    dealt = _once_per_task(rows, rule, handed, "key long, set long")
     group = Window.partitionBy("key")
     shared = dealt.select("key", "set", F.min("set").over(group).alias("low"), F.max("set").over(group).alias("high"))
     shared = written(shared.where("low != high").select("key", "set", "low"), "shared-parts")
-    texts = met.drop("keys").join(shared.select("set").distinct(), "set", "left_semi")
-    texts = written(texts.dropDuplicates(["set"]), "shared-texts")
+
+    def marked_text(fresh: list) -> dict:
+        marks = np.array([sketch(grams) for _, grams, _ in fresh])
+        out = {"set": pa.array([x[0] for x in fresh], pa.int64()), "n": pa.array([len(x[1]) for x in fresh], pa.int64())}
+        out |= {f"s{i}": np.ascontiguousarray(marks[:, i]) for i in range(8)}
+        return out | {"body": pa.array([zlib.compress(x[2], 1) for x in fresh], pa.binary())}
+
+    schema = "set long, n long, " + ", ".join(f"s{i} long" for i in range(8)) + ", body binary"
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(shared.select("set")))
+    texts = _once_per_task(rows, rule, marked_text, schema, bitmap).withColumn("row", F.monotonically_increasing_id())
+    texts = written(texts, "shared-texts")
+    marks = written(texts.drop("body").dropDuplicates(["set"]), "marks")
 
     stars = shared.where("set != low").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
-    links = written(_linked(stars, texts, rule), "links")
+    links = written(_linked(stars, marks, texts, rule), "links")
     roots = written(components(links), "roots").select(F.col("node").alias("set"), "root")
 
     # groups in which several components are left: members of different components, under the bounds
@@ -345,17 +372,17 @@ def link(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100
         open_rows = written(_open_rows(shared, roots), "open-rows")
         if not _worth_a_round(open_rows):
             break
-        more = written(_linked(_with_centres(open_rows, roots, number), texts, rule), "centre-links")
+        more = written(_linked(_with_centres(open_rows, roots, number), marks, texts, rule), "centre-links")
         if more.isEmpty():
             break
         roots = written(_merged(roots, more), "roots")
     else:
         open_rows = written(_open_rows(shared, roots), "open-rows")
-    marked = written(open_rows.join(texts.drop("body"), "set"), "open-groups")
+    marked = written(open_rows.join(marks.drop("row"), "set"), "open-groups")
     side = lambda p: marked.select("key", *[F.col(c).alias(f"{p}_{c}") for c in marked.columns if c != "key"])
     again = side("a").join(side("b"), "key").where((F.col("a_root") < F.col("b_root")) & _may_link(rule))
     pairs = written(again.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct(), "open-pairs")
-    more = written(_linked(pairs, texts, rule), "more-links")
+    more = written(_linked(pairs, marks, texts, rule), "more-links")
     if not more.isEmpty():
         roots = _merged(roots, more)
 

@@ -295,3 +295,24 @@ def test_sets_of_a_slice_are_named_and_compared_together():
     blocks = list(near._blocks([1, 1, 2, 2, 3], [4, 5, 6, 7, 8], packed, packed))
     assert [(a, b, y) for a, b, _, y in blocks] == [([1, 1, 2, 2, 3], [4, 5, 6, 7, 8], raw)]
     assert list(near._blocks([], [], [], [])) == []
+
+
+def test_only_texts_that_share_a_part_are_written(sql, monkeypatch):
+    rnd = random.Random(9)
+    docs = [(i, " ".join(f"u{i}x{k}" for k in range(60))) for i in range(40)]
+    copy = docs[7][1].split()
+    copy[30] = "other"
+    docs += [(40, " ".join(copy)), (41, docs[3][1])]
+    rnd.shuffle(docs)
+    rows = {}
+
+    def kept(df, name, write=near.written):
+        out = write(df, name)
+        if "body" in df.columns:
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near, "written", kept)
+    got = near.link(sql.createDataFrame(docs, "doc_id long, text string").repartition(3), 5, (80, 100)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: {40: 7, 41: 3}.get(i, i) for i in range(42)}
+    assert rows and max(rows.values()) <= 4  # equal sets share no part with another set

@@ -213,3 +213,34 @@ def test_rounds_equal_one_after_the_other(spark):
     found = {r["case_id"]: r["paired"] for r in G._pair_greedily(df).collect()}
     assert found == sequential(edges) and found["dense"] == 25
     assert G._pair_greedily(df.where("false")).count() == 0
+
+
+def test_result_rows_are_read_once_and_meet_their_cases_once(spark, rows):
+    """One pass over the lines gives the rows of the union that the check reads; nothing but the lines is shuffled before distinct rows."""
+    from evalspark.catalog import inputs as I
+
+    lines = [(k, k % 7 + i, i % 3, i % 2, float(i % 5), 10.0 * i + k / 100, "R" if i % 2 else None) for k in range(30) for i in range(k % 6 + 1)]
+    lines += lines[40:60] + [(None, 1, 2, 3, 4.0, 5.0, "N")]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"
+    t = I.Inputs(spark, "nowhere")
+    t._built["lineitem"] = spark.createDataFrame(lines, schema)
+    base = spark.sql(I._dialect(I.INPUTS["result_base"][1], 0), lineitem=t.lineitem)
+    union = spark.sql(I._dialect(I.INPUTS["result_cells"][1], 0), result_base=base)
+    assert rows(t.result_cells) == rows(union)
+    assert t.result_cells.dtypes == union.dtypes
+    plan = G._distinct_rows(G.normalized(t.result_cells))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_values_at_the_edges_of_buckets_pair(spark):
+    from math import exp
+
+    made = []
+    for case, place in enumerate([k + d for k in (-700, 3, 4000, 9001) for d in (1e-9, -1e-9, 0.03, -0.03, 0.06, -0.06, 0.5)]):
+        v = exp(place * G._BUCKET)
+        for sign in (1, -1):
+            for factor in (1 - 0.999e-4, 1 + 0.999e-4, 1 - 1.02e-4, 1 + 1.02e-4):
+                made.append((len(made) + 1000 * case, sign * v, sign * v * factor, abs(factor - 1) < 1e-4))
+    results = [(c, "gold", 1, [f"{a!r}", "x"]) for c, a, _, _ in made] + [(c, "pred", 1, [f"{b!r}", "x"]) for c, _, b, _ in made]
+    found = G.results_match_bag(spark.createDataFrame(results, "case_id long, side string, row_no int, cells array<string>"))
+    assert {r["case_id"]: r["matches"] for r in found.collect()} == {c: ok for c, _, _, ok in made}

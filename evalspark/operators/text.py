@@ -15,6 +15,8 @@ RESPONSE_TYPES = ["function_call", "function_call_output", "message", "reasoning
 FINAL_MARK = "FINAL_SQL:"
 # Limits of a puzzle.
 GROUP_WORDS = 4
+# vectors of a database that a task takes of either side
+DEALT = 8192
 
 _TOOL_CALLS = "array<struct<id:string,name:string,function:struct<name:string>>>"
 
@@ -315,18 +317,15 @@ def guess_features(attempts: DataFrame, puzzles: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- schema linking
 
 
-def link_tables_topk(questions: DataFrame, tables: DataFrame, k: int = 4, block: int = 1024) -> DataFrame:
-    """The ``k`` tables of a question's database that are closest by cosine, with scores.
+def _block_pairs(questions: DataFrame, tables: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers of the block pairs they take part in; blocks of about ``size`` vectors of a database.
 
-    ``questions``: question_id, db_id, vector; ``tables``: table_id, db_id, vector. Both sides are cut
-    into blocks of about ``block`` vectors per database. A task multiplies one block pair and returns
-    only the best ``k`` per question, so a large database is spread over many tasks and no
-    list of all pairs exists.
+    A vector is copied for every block of the other side, so large blocks keep what is shuffled small.
     """
     n = F.count(F.lit(1))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("db_id").agg(F.ceil(n / block).cast("int").alias(name))
+        return df.groupBy("db_id").agg(F.ceil(n / size).cast("int").alias(name))
 
     sizes = blocks(questions, "n_q").join(blocks(tables, "n_t"), "db_id")
 
@@ -336,7 +335,18 @@ def link_tables_topk(questions: DataFrame, tables: DataFrame, k: int = 4, block:
         return rows.withColumn(other_block, spread).select("db_id", key, "vector", "q_block", "t_block")
 
     left = placed(questions, "question_id", "n_q", "n_t", "q_block", "t_block")
-    right = placed(tables, "table_id", "n_t", "n_q", "t_block", "q_block")
+    return left, placed(tables, "table_id", "n_t", "n_q", "t_block", "q_block")
+
+
+def link_tables_topk(questions: DataFrame, tables: DataFrame, k: int = 4, block: int = 1024) -> DataFrame:
+    """The ``k`` tables of a question's database that are closest by cosine, with scores.
+
+    ``questions``: question_id, db_id, vector; ``tables``: table_id, db_id, vector. Both sides are dealt into blocks of
+    about ``DEALT`` vectors per database. A task takes one block pair, multiplies ``block`` by ``block`` vectors at a time and returns
+    only the best ``k`` per question, so a large database is spread over many tasks and no
+    list of all pairs exists.
+    """
+    left, right = _block_pairs(questions, tables, max(block, DEALT))
     keys = ["db_id", "q_block", "t_block"]
     schema = T.StructType(
         [questions.schema["question_id"], tables.schema["table_id"], T.StructField("score", T.DoubleType())]
@@ -354,13 +364,28 @@ def link_tables_topk(questions: DataFrame, tables: DataFrame, k: int = 4, block:
         with np.errstate(divide="ignore", invalid="ignore"):
             a = a / np.linalg.norm(a, axis=1, keepdims=True)
             b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        scores = np.round(a @ b.T, 9)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+        def first(scores):
+            return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+        found = []
+        for x in range(0, len(a), block):
+            places, values = [], []
+            for y in range(0, len(b), block):
+                scores = np.round(a[x : x + block] @ b[y : y + block].T, 9)
+                order = first(scores)
+                places.append(order + y)
+                values.append(np.take_along_axis(scores, order, axis=1))
+            # slices follow each other by table_id, so equal scores still go to the smaller one
+            place, value = np.hstack(places), np.hstack(values)
+            order = first(value)
+            found.append((np.take_along_axis(place, order, axis=1), np.take_along_axis(value, order, axis=1)))
+        place, value = (np.vstack(x) for x in zip(*found, strict=True))
         return pd.DataFrame(
             {
-                "question_id": np.repeat(q["question_id"].to_numpy(), order.shape[1]),
-                "table_id": t["table_id"].to_numpy()[order.ravel()],
-                "score": np.take_along_axis(scores, order, axis=1).ravel(),
+                "question_id": np.repeat(q["question_id"].to_numpy(), place.shape[1]),
+                "table_id": t["table_id"].to_numpy()[place.ravel()],
+                "score": value.ravel(),
             }
         )
 

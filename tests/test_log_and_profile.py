@@ -267,3 +267,39 @@ def test_orphans_join_no_column_in_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert rows == [("a", "b", 1, ["1"]), ("b", "a", 1, ["3"])]
     assert "BroadcastHashJoin [table" in plan and not re.search(r"SortMergeJoin \[table#\d+, column#\d+\], \[table", plan)
+
+
+def test_orphans_need_the_values_of_namesakes_only(spark, rows):
+    tables = {
+        "one": spark.createDataFrame([(1, "a", 0.5), (2, "b", 1.5), (None, "c", None)], "o_Key long, text string, price double"),
+        "two": spark.createDataFrame([(2, "b", "x"), (3, None, "y")], "t_key long, TEXT string, other string"),
+        "three": spark.createDataFrame([(7,)], "alone int"),
+    }
+    names = E.namesakes(tables, "^[a-z]_")
+    assert names == {"one": ["o_Key", "text"], "two": ["t_key", "TEXT"], "three": []}
+    found = E.orphan_values(E.column_values(tables, columns=names), prefix="^[a-z]_")
+    assert rows(found) == rows(E.orphan_values(E.column_values(tables), prefix="^[a-z]_")) and found.count() == 3
+    assert E.namesakes(tables) == {"one": ["text"], "two": ["TEXT"], "three": []}
+    alone = {"three": tables["three"]}
+    assert E.column_values(alone, columns=E.namesakes(alone)).count() == 0
+
+
+def test_facts_gather_distinct_values_once(spark, monkeypatch):
+    from evalspark.catalog import profile as CP
+    from evalspark.catalog.inputs import Inputs
+
+    asked = []
+
+    def counted(tables, key_length=None, columns=None, gather=E.column_values):
+        asked.append((key_length, columns is None))
+        return gather(tables, key_length, columns)
+
+    monkeypatch.setattr(E, "column_values", counted)
+    monkeypatch.setattr(CP, "RAW_TABLES", ("nation", "region"))
+    t = Inputs(spark, "nowhere")
+    t._built["region"] = spark.createDataFrame([(0, "A"), (1, "B")], "r_regionkey int, r_name string")
+    t._built["nation"] = spark.createDataFrame([(i, f"N{i}", i % 2) for i in range(5)], "n_nationkey int, n_name string, n_regionkey int")
+    events = spark.createDataFrame([(i, "2026-01-01 00:00:00", i % 3, "view", 1.5) for i in range(40)], "event_id long, ts string, user_id long, event_type string, value double")
+    t._built["events"] = events.withColumn("ts", F.to_timestamp("ts"))
+    assert CP._facts(t).count() == 5
+    assert sorted(asked, key=str) == [(64, True), (None, False)]
